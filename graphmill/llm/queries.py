@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MISSING, folded, is_real
 from ..scale import skew_join
+from ..session import materialize
 from . import blocks, bpe, components, leaks, lookalike, quantiles, quotas, survivors
 
 QS = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -41,35 +42,29 @@ def p2_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return survivors.survivors(_read(spark, sf, "manifest"), _read(spark, sf, "sources"))
 
 
-def _daily(spark: SparkSession, sf: str, by: list[str]) -> DataFrame:
-    return quantiles.sketches(_read(spark, sf, "metrics"), ["run_day", *by], SCORES)
+def p3_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of each score, and of n_nodes of the drawn graphs, by layout, by source and by run_day.
 
-
-def p3_layout_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles by layout over all days, from the sketches of single days."""
-    return quantiles.percentiles(quantiles.merged(_daily(spark, sf, ["layout"]), ["layout"]), ["layout"], QS)
-
-
-def p3_day_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles of single days."""
-    return quantiles.percentiles(_daily(spark, sf, []), ["run_day"], QS)
-
-
-def p3_source_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles by source: of drawings' scores, by the source of the graph's last manifest row, and of n_nodes of all rows."""
+    Sketches are made for single days (by layout and by source) and then joined into those of all days; those of
+    one day's layouts make the day's. A graph's source and n_nodes are those of its last manifest row.
+    """
     source = F.when(is_real(F.col("source")), folded(F.col("source"))).otherwise(F.lit("(none)"))
-    rows = _read(spark, sf, "manifest").select("graph_id", "row_id", "n_nodes", source.alias("source"))
-    last = rows.groupBy("graph_id").agg(F.max_by("source", "row_id").alias("source"))
-    scores = skew_join(_read(spark, sf, "metrics").select("graph_id", *SCORES), last, ["graph_id"], "left").fillna("(not in manifest)", ["source"])
-    states = quantiles.sketches(scores, ["source"], SCORES).unionByName(quantiles.sketches(rows, ["source"], ["n_nodes"]))
-    return quantiles.percentiles(states, ["source"], QS)
+    last = _read(spark, sf, "manifest").groupBy("graph_id").agg(F.max_by(F.struct(source.alias("source"), "n_nodes"), "row_id").alias("m"))
+    drawn = skew_join(_read(spark, sf, "metrics").select("graph_id", "layout", "run_day", *SCORES), last, ["graph_id"], "left")
+    pair = lambda by, c: F.struct(F.lit(by).alias("by"), c.alias("key"))
+    keys = F.explode(F.array(pair("layout", F.col("layout")), pair("source", F.coalesce("m.source", F.lit("(not in manifest)")))))
+    rows = drawn.select("run_day", *SCORES, F.col("m.n_nodes").alias("n_nodes"), keys.alias("k")).select("run_day", "k.by", "k.key", *SCORES, "n_nodes")
+    daily = materialize(quantiles.sketches(rows, ["run_day", "by", "key"], [*SCORES, "n_nodes"]))
+    of_days = daily.filter("by = 'layout'").select(F.lit("run_day").alias("by"), F.col("run_day").cast("string").alias("key"), "measure", "state")
+    return quantiles.percentiles(quantiles.merged(daily.drop("run_day").unionByName(of_days), ["by", "key"]), ["by", "key"], QS)
 
 
 def p3_within_error(spark: SparkSession, sf: str) -> DataFrame:
     """For each layout and score: the exact number of values, and whether every percentile's rank, counted in the
     table, is within the stated error."""
     table = _read(spark, sf, "metrics")
-    guesses = p3_layout_percentiles(spark, sf)
+    daily = quantiles.sketches(table, ["run_day", "layout"], SCORES)
+    guesses = quantiles.percentiles(quantiles.merged(daily, ["layout"]), ["layout"], QS)
     names = [f"p{round(100 * q):02d}" for q in QS]
     long = table.select("layout", F.posexplode(F.array(*(F.col(m) for m in SCORES))).alias("i", "v")).filter("v IS NOT NULL AND NOT isnan(v)").select("layout", F.element_at(F.array(*map(F.lit, SCORES)), F.col("i") + 1).alias("measure"), "v")
     met = long.join(F.broadcast(guesses), ["layout", "measure"])
@@ -151,7 +146,7 @@ def p8_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    names = (p1_found, p1_groups, p2_found, p2_survivors, p3_layout_percentiles, p3_day_percentiles, p3_source_percentiles, p3_within_error, p4_found, p4_report, p4_sample, p5_sample, p5_source_sample, p5_growth, p6_ids, p7_found, p7_items, p8_found, p8_text)
+    names = (p1_found, p1_groups, p2_found, p2_survivors, p3_percentiles, p3_within_error, p4_found, p4_report, p4_sample, p5_sample, p5_source_sample, p5_growth, p6_ids, p7_found, p7_items, p8_found, p8_text)
     return {f.__name__: f for f in names}
 
 
@@ -228,7 +223,7 @@ _FIRST = f"""WITH f AS (SELECT graph_id, run_no, row_id, CASE WHEN {_real("sourc
 
 
 def sql() -> dict[str, str]:
-    """SQL for the queries that it can express; p3's other queries, p6, p7 and p8 are tested by brute force."""
+    """SQL for the queries that it can express; p3_percentiles, p6, p7 and p8 are tested by brute force."""
     by_source = "SELECT source, graph_id, row_number() OVER (PARTITION BY source ORDER BY run_no, row_id, graph_id) - 1 AS seq FROM f"
     return {
         "p1_found": _GROUPS + "SELECT group_id, graph_id FROM found",
