@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .lookalike import slices
+
 #: Fixed value: the pattern of byte_bpe_50k and byte_bpe_multi_50k.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = 1 << 30
@@ -145,7 +147,7 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, 1)):
             yield pa.RecordBatch.from_arrays([b.column(0), enc.encode_array(b.column(1))], [key, out])
 
     return sent.mapInArrow(run, schema)

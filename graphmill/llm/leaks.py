@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..scale import is_small, skew_join
 from ..session import materialize
-from .lookalike import LIMIT, canonical_array, to_points
+from .lookalike import LIMIT, canonical_array, slices, to_points
 
 #: Words in a row that make a leak.
 WORDS = 10
@@ -124,7 +124,7 @@ def fingerprints(df: DataFrame, key: str, text: str, outside: int, gram: int = G
     width = 2 * least - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, 1)):
             words, rows = words_of(b.column(1))
             hashes, at = winnowed(words, rows, gram, least)
             if wanted is not None and len(hashes):

@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,8 @@ LINE_ENDS = (0x0B, 0x0C, 0x85, 0x2028, 0x2029)
 #: Compatibility decompositions that change neither size, place nor frame of what is drawn.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>")
 LIMIT = 0x110000
+#: Bytes of text whose code points are worked on at once.
+SLICE = 1 << 21
 L0, V0, T0, S0 = 0x1100, 0x1161, 0x11A7, 0xAC00
 LN, VN, TN = 19, 21, 28
 
@@ -204,6 +207,16 @@ def canonical_points(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
         cp, offsets = _kept(cp, offsets, keep)
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows whose texts in a column take about limit bytes together, or of one longer text."""
+    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        if z > a:
+            yield batch.slice(a, z - a)
+
+
 def to_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All code points of a string array, and where each row begins in them; a null has none."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -245,8 +258,9 @@ def canonical_text(df: DataFrame, text: str = "text", out: str = "canonical", ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            form = canonical_array(b.column(b.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], form.cast(pa.string())], [*keep, out])
+            for x in slices(b, b.num_columns - 1):
+                form = canonical_array(x.column(x.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*x.columns[:-1], form.cast(pa.string())], [*keep, out])
 
     return sent.mapInArrow(run, schema)
 
