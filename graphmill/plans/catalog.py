@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import registry
+
+for _name in ("q_corpus", "q_drawings", "q_tables", "q_analysis", "q_algorithms"):
+    importlib.import_module(f"{__package__}.{_name}")
+
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/orders.parquet")
+    from .q_corpus import flagship
+
+    return flagship(spark, sf)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, registry.Query]:
     """All queries by name."""
-    return {}
+    return dict(registry.QUERIES)
 
 
 def sql() -> dict[str, str]:
     """SQL of the queries that it can express."""
-    return {}
+    return dict(registry.SQL)
