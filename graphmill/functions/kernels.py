@@ -120,14 +120,13 @@ def degeneracy(n: int, us: np.ndarray, vs: np.ndarray) -> int:
     return most
 
 
-def _block_is_planar(edges: list[tuple[int, int]]) -> bool:
-    """Demoucron's way: faces of a growing plane subgraph take up one fragment after another."""
+def faces_of(edges: list[tuple[int, int]]) -> list[list[int]] | None:
+    """Faces of a plane drawing of a biconnected graph with a cycle, None if there is none. Demoucron's way: faces of a
+    growing plane subgraph take up one fragment after another."""
     names = sorted({x for e in edges for x in e})
     n, m = len(names), len(edges)
-    if n <= 4 or m <= 8:
-        return True
     if m > 3 * n - 6:
-        return False
+        return None
     near: dict[int, set[int]] = {x: set() for x in names}
     for u, v in edges:
         near[u].add(v)
@@ -169,7 +168,7 @@ def _block_is_planar(edges: list[tuple[int, int]]) -> bool:
         for inner, touch in fragments:
             fits = [i for i, f in enumerate(faces) if touch <= set(f)]
             if not fits:
-                return False
+                return None
             if best is None or len(fits) < best[0]:
                 best = (len(fits), fits[0], inner, touch)
         _, at, inner, touch = best
@@ -201,7 +200,12 @@ def _block_is_planar(edges: list[tuple[int, int]]) -> bool:
         # path runs from face[i] to face[j]
         faces.append(face[: i + 1] + path[1:-1] + face[j:])
         faces.append(face[i : j + 1] + path[-2:0:-1])
-    return True
+    return faces
+
+
+def _block_is_planar(edges: list[tuple[int, int]]) -> bool:
+    n = len({x for e in edges for x in e})
+    return n <= 4 or len(edges) <= 8 or faces_of(edges) is not None
 
 
 def is_planar(n: int, us: np.ndarray, vs: np.ndarray) -> bool:
