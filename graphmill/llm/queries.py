@@ -181,7 +181,7 @@ def _filled(c: str) -> str:
 
 
 _MEMBERS = f"""members AS (SELECT DISTINCT t.target_id, m.graph_id FROM manifest m JOIN sample_targets t ON {_fold("m.source")} = {_fold("t.source")}
-  WHERE m.n_nodes BETWEEN t.n_lo AND t.n_hi AND m.density >= t.density_lo AND m.density < t.density_hi AND NOT isnan(m.density) AND m.graph_id IS NOT NULL),
+  WHERE m.n_nodes BETWEEN t.n_lo AND t.n_hi AND m.density >= t.density_lo AND m.density < t.density_hi AND m.density::VARCHAR NOT IN ('nan', '-nan') AND m.graph_id IS NOT NULL),
 assigned AS (SELECT graph_id, min(target_id) AS target_id FROM members GROUP BY 1),
 base AS (SELECT t.target_id, t.source, {_fold("t.source")} AS s,
     greatest(coalesce(t.floor_rows, 0), floor(coalesce(t.target_share, 0) * (SELECT count(DISTINCT graph_id) // 20 FROM manifest) + 0.5))::BIGINT AS want,
@@ -234,7 +234,7 @@ def sql() -> dict[str, str]:
             x AS (SELECT *, row_number() OVER (PARTITION BY key, alone ORDER BY n_real DESC, trust DESC, seen_at DESC, row_id) AS n FROM k)
             SELECT max(prop_hash) AS prop_hash, max(CASE WHEN n = 1 THEN row_id END) AS row_id, {_filled("graph_id")}, {_filled("category")}, {_filled("source")}, {_filled("generator")}, count(*) AS n_rows
             FROM x GROUP BY key, alone""",
-        "p3_within_error": " UNION ALL ".join(f"SELECT layout, '{m}' AS measure, count(*) AS n, true AS within_error FROM metrics WHERE {m} IS NOT NULL AND NOT isnan({m}) GROUP BY layout" for m in SCORES),
+        "p3_within_error": " UNION ALL ".join(f"SELECT layout, '{m}' AS measure, count(*) AS n, true AS within_error FROM metrics WHERE {m} IS NOT NULL AND {m}::VARCHAR NOT IN ('nan', '-nan') GROUP BY layout" for m in SCORES),
         "p4_found": f"WITH {_MEMBERS} SELECT target_id FROM allotted WHERE available < want",
         "p4_report": f"WITH {_MEMBERS} SELECT target_id, source, want, available, drawable, own, from_siblings, from_cousins, allotted, short, met FROM allotted",
         "p4_sample": f"""WITH {_MEMBERS}, ranked AS (SELECT target_id, graph_id, dense_rank() OVER (PARTITION BY target_id ORDER BY md5('p4|' || graph_id)) AS r FROM assigned)
