@@ -71,18 +71,24 @@ def path_flags(paths: list[str | None]) -> dict[str, bool]:
 def _crossings(seg: np.ndarray, edge: np.ndarray, us: np.ndarray, vs: np.ndarray) -> tuple[int, np.ndarray]:
     """Proper crossings of segments of edges without a common end, and their acute angles."""
     angles, block = [], max(1, PAIRS // max(1, len(seg)))
-    d = seg[:, 2:] - seg[:, :2]
+    low, high = np.minimum(seg[:, :2], seg[:, 2:]), np.maximum(seg[:, :2], seg[:, 2:])
 
-    def turn(p: np.ndarray, e: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return e[..., 0] * (q[..., 1] - p[..., 1]) - e[..., 1] * (q[..., 0] - p[..., 0])
+    def turn(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return (q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0])
 
     for a in range(0, len(seg), block):
-        s, e, k = seg[a : a + block, None], d[a : a + block, None], edge[a : a + block, None]
-        cross = (turn(s[..., :2], e, seg[None, :, :2]) * turn(s[..., :2], e, seg[None, :, 2:]) < 0) & (turn(seg[None, :, :2], d[None], s[..., :2]) * turn(seg[None, :, :2], d[None], s[..., 2:]) < 0)
-        i, j = np.nonzero(cross & (k < edge[None]))
-        p, q = edge[a + i], edge[j]
+        z = min(len(seg), a + block)
+        meet = edge[a:z, None] < edge[None]
+        for axis in (0, 1):  # boxes that don't overlap hold no crossing
+            meet &= (low[a:z, None, axis] <= high[None, :, axis]) & (low[None, :, axis] <= high[a:z, None, axis])
+        i, j = np.nonzero(meet)
+        i += a
+        p, q = edge[i], edge[j]
         ok = (us[p] != us[q]) & (us[p] != vs[q]) & (vs[p] != us[q]) & (vs[p] != vs[q])
-        e, f = d[a + i][ok], d[j][ok]
+        i, j = i[ok], j[ok]
+        s, t = seg[i], seg[j]
+        ok = (turn(s[:, :2], s[:, 2:], t[:, :2]) * turn(s[:, :2], s[:, 2:], t[:, 2:]) < 0) & (turn(t[:, :2], t[:, 2:], s[:, :2]) * turn(t[:, :2], t[:, 2:], s[:, 2:]) < 0)
+        e, f = (x[:, 2:] - x[:, :2] for x in (s[ok], t[ok]))
         angles.append(np.degrees(np.arctan2(np.abs(e[:, 0] * f[:, 1] - e[:, 1] * f[:, 0]), np.abs((e * f).sum(axis=1)))))
     out = np.concatenate(angles) if angles else np.empty(0)
     return len(out), out

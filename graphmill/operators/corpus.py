@@ -93,6 +93,11 @@ def unpack(packed: DataFrame) -> DataFrame:
     return packed.select("graph_id", F.explode(F.arrays_zip("us", "vs")).alias("e")).select("graph_id", F.col("e.us").cast("long").alias("u"), F.col("e.vs").cast("long").alias("v"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all shuffle partitions. Rows that are small but dear to work on would else be coalesced by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def per_graph(packed: DataFrame, kernel: Callable[..., dict], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """kernel(n, us, vs, *extra columns) for every packed row, in Arrow batches; its dict makes the columns of
     schema behind graph_id. A kernel that raises gives nulls."""
@@ -110,4 +115,4 @@ def per_graph(packed: DataFrame, kernel: Callable[..., dict], schema: str, extra
                 rows.append((r.graph_id, *(got.get(c) for c in names)))
             yield pd.DataFrame(rows, columns=out.names).astype({"graph_id": b["graph_id"].dtype})
 
-    return packed.select("graph_id", "n", "us", "vs", *extra).mapInPandas(run, out)
+    return spread(packed.select("graph_id", "n", "us", "vs", *extra), "graph_id").mapInPandas(run, out)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import layouts, scores
 from ..seeds import seed
+from .corpus import spread
 
 
 def scored(edges: DataFrame, at: DataFrame, names: list[str] = scores.NAMES) -> DataFrame:
@@ -19,6 +20,7 @@ def scored(edges: DataFrame, at: DataFrame, names: list[str] = scores.NAMES) ->
     places = at.groupBy("graph_id", "layout").agg(F.array_sort(F.collect_list(F.struct("node", "x", "y"))).alias("p"))
     lines = edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("u", "v"))).alias("e"))
     df = places.join(lines, "graph_id").select("graph_id", "layout", F.col("p.node").alias("node"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("e.u").alias("u"), F.col("e.v").alias("v"))
+    df = spread(df, "graph_id", "layout")
     schema = T.StructType([df.schema["graph_id"], df.schema["layout"], *(T.StructField(c, T.DoubleType()) for c in names)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,7 +63,7 @@ def laid_out_and_scored(packed: DataFrame, names: list[str], root: int = 1, done
             tasks = tasks.filter((F.col("layout") != layout) | F.col(flag))
     if done is not None:
         tasks = tasks.join(done.select("graph_id", "layout").distinct(), ["graph_id", "layout"], "left_anti")
-    tasks = tasks.select("graph_id", "layout", "n", "us", "vs")
+    tasks = spread(tasks.select("graph_id", "layout", "n", "us", "vs"), "graph_id", "layout")
     schema = T.StructType([tasks.schema["graph_id"], tasks.schema["layout"], T.StructField("outcome", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in scores.NAMES), *(T.StructField(c, T.BooleanType()) for c in scores.FLAGS)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1 +1,209 @@
-"""Queries."""
+"""Queries of the analysis: drawings joined with graphs, envelopes, correlations, variance, bins, accounting."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import number
+from ..operators import analysis, tables
+from ..scale import skew_join
+from .q_tables import FIRST_SQL, LAST_SQL, drawn, graphs
+from .registry import query, table
+
+Q, E = analysis.QUALITY, analysis.EMPIRICAL
+ALL = [*Q, "gabriel_ratio_nodes"]
+
+
+def _num(c: str) -> str:
+    # not isnan(): DuckDB folds it by the file's statistics, which leave NaN out
+    return f"CASE WHEN ({c})::VARCHAR NOT IN ('nan', '-nan') THEN {c} END"
+
+
+def _mean(names: list[str]) -> str:
+    total = " + ".join(f"coalesce({c}, 0)" for c in names)
+    n = " + ".join(f"({c} IS NOT NULL)::INT" for c in names)
+    return f"CASE WHEN {n} > 0 THEN ({total}) / ({n}) END"
+
+
+CLEAN = f"{LAST_SQL}, clean AS (SELECT graph_id, layout, {', '.join(f'{_num(c)} AS {c}' for c in ALL)} FROM drawn), q AS (SELECT *, {_mean(Q)} AS quality, {_mean(E)} AS empirical_quality FROM clean)"
+
+
+def clean(spark: SparkSession, sf: str) -> DataFrame:
+    """The last write of each drawing, NaN as null, with the composite scores."""
+    df = drawn(spark, sf).select("graph_id", "layout", *(number(F.col(c)).alias(c) for c in ALL))
+    return df.withColumn("quality", analysis.mean_of(Q)).withColumn("empirical_quality", analysis.mean_of(E))
+
+
+#: Places of means of scores: scores have six, and the mean of up to 16 such numbers that ends at all ends at ten.
+FINE = 10
+
+
+def rounded(df: DataFrame, *keep: str, places: int = 6) -> DataFrame:
+    """df with all columns but keep rounded."""
+    return df.select(*(c if c in keep else (F.round(c, places) + 0.0).alias(c) for c in df.columns))
+
+
+@query(f"""WITH {LAST_SQL}, {FIRST_SQL}, a AS (SELECT 'circular' AS layout, graph_id, kruskal_stress, NULL AS node_uniformity FROM drawn WHERE layout = 'circular' UNION ALL SELECT 'spectral', graph_id, kruskal_stress, node_uniformity FROM drawn WHERE layout = 'spectral')
+  SELECT a.layout, coalesce(g.category, '(none)') AS category, count(*) AS n, count(g.graph_id) AS n_in_manifest, count({_num('node_uniformity')}) AS n_uniformity FROM a LEFT JOIN graphs g ON a.graph_id = g.graph_id GROUP BY 1, 2""")
+def drawings_union_join(spark, sf):  # noqa: ANN001, ANN201
+    d = drawn(spark, sf)
+    frames = {"circular": d.filter("layout = 'circular'").select("graph_id", "kruskal_stress"), "spectral": d.filter("layout = 'spectral'").select("graph_id", "kruskal_stress", "node_uniformity")}
+    known = graphs(spark, sf).select("graph_id", "category", F.lit(1).alias("known"))
+    df = skew_join(analysis.union_layouts(frames), known, ["graph_id"], "left")
+    return df.groupBy("layout", F.coalesce("category", F.lit("(none)")).alias("category")).agg(F.count("*").alias("n"), F.count("known").alias("n_in_manifest"), F.count(number(F.col("node_uniformity"))).alias("n_uniformity"))
+
+
+@query(f"WITH {CLEAN} SELECT graph_id, layout, round(quality, {FINE}) AS quality, round(empirical_quality, {FINE}) AS empirical_quality FROM q")
+def quality_composite(spark, sf):  # noqa: ANN001, ANN201
+    return rounded(clean(spark, sf).select("graph_id", "layout", "quality", "empirical_quality"), "graph_id", "layout", places=FINE)
+
+
+def _env(names: list[str]) -> str:
+    return ", ".join(f"round(min({m}), {FINE}) + 0.0 AS {m}_min, round(max({m}), {FINE}) + 0.0 AS {m}_max, round(avg({m}), {FINE}) + 0.0 AS {m}_mean, round(max({m}) - min({m}), {FINE}) + 0.0 AS {m}_range" for m in names)
+
+
+@query(f"WITH {CLEAN} SELECT graph_id, count(*) AS n_drawings, {_env(Q)} FROM q GROUP BY 1")
+def envelope(spark, sf):  # noqa: ANN001, ANN201
+    return rounded(analysis.envelope(clean(spark, sf), "graph_id", Q), "graph_id", "n_drawings", places=FINE)
+
+
+@query(f"WITH {CLEAN}, {FIRST_SQL}, e AS (SELECT graph_id, count(*) AS n_drawings, {_env(['quality', 'empirical_quality'])} FROM q GROUP BY 1) SELECT e.*, g.n_nodes, g.n_edges FROM e LEFT JOIN graphs g ON e.graph_id = g.graph_id")
+def envelope_plus(spark, sf):  # noqa: ANN001, ANN201
+    e = rounded(analysis.envelope(clean(spark, sf), "graph_id", ["quality", "empirical_quality"]), "graph_id", "n_drawings", places=FINE)
+    return e.join(graphs(spark, sf).select("graph_id", "n_nodes", "n_edges"), "graph_id", "left")
+
+
+def _eta() -> str:
+    parts = []
+    for m in ("kruskal_stress", "node_uniformity", "quality"):
+        parts.append(f"""SELECT '{m}' AS metric, unnest(['graph_id', 'layout', 'residual']) AS factor, round(unnest([(s0 - s1) / s0, (s1 - s2) / s0, s2 / s0]), 6) AS share FROM (
+          SELECT sum(r0 * r0) AS s0, sum(r1 * r1) AS s1, sum(r2 * r2) AS s2 FROM (SELECT *, r1 - avg(r1) OVER (PARTITION BY layout) AS r2 FROM (SELECT *, r0 - avg(r0) OVER (PARTITION BY graph_id) AS r1 FROM (SELECT graph_id, layout, {m} - avg({m}) OVER () AS r0 FROM q WHERE {m} IS NOT NULL))))""")
+    return f"WITH {CLEAN} " + " UNION ALL ".join(parts)
+
+
+@query(_eta())
+def eta2_variance(spark, sf):  # noqa: ANN001, ANN201
+    df = clean(spark, sf).select("graph_id", "layout", "kruskal_stress", "node_uniformity", "quality")
+    return rounded(analysis.sequential_variance(df, ["kruskal_stress", "node_uniformity", "quality"], ["graph_id", "layout"]), "metric", "factor")
+
+
+@query(f"SELECT metric, component, round(value, 6) + 0.0 AS value FROM (SELECT metric, component, value FROM (UNPIVOT (SELECT metric, max(CASE WHEN factor = 'graph_id' THEN share END) AS graph, max(CASE WHEN factor = 'layout' THEN share END) AS layout, max(CASE WHEN factor = 'residual' THEN share END) AS residual FROM ({_eta()}) GROUP BY 1) ON graph, layout, residual INTO NAME component VALUE value))")
+def unpivot_components(spark, sf):  # noqa: ANN001, ANN201
+    wide = eta2_variance(spark, sf).groupBy("metric").pivot("factor", ["graph_id", "layout", "residual"]).agg(F.first("share")).withColumnRenamed("graph_id", "graph")
+    return rounded(wide.unpivot("metric", ["graph", "layout", "residual"], "component", "value"), "metric", "component")
+
+
+PROPS, SCORES = ["n_nodes", "density", "transitivity", "degree_assortativity", "diameter"], ["kruskal_stress", "node_uniformity", "quality"]
+
+
+def _spearman() -> str:
+    parts = []
+    for p in PROPS:
+        for m in SCORES:
+            parts.append(f"SELECT '{p}' AS x, '{m}' AS y, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM (SELECT rank() OVER (ORDER BY {p}) + (count(*) OVER (PARTITION BY {p}) - 1) / 2.0 AS rx, rank() OVER (ORDER BY {m}) + (count(*) OVER (PARTITION BY {m}) - 1) / 2.0 AS ry FROM pm WHERE {p} IS NOT NULL AND {m} IS NOT NULL) HAVING count(*) >= 30")
+    return f"WITH {CLEAN}, {FIRST_SQL}, pm AS (SELECT {', '.join(f'{_num(f'g.{p}::DOUBLE')} AS {p}' for p in PROPS)}, {', '.join(f'e.{m}' for m in SCORES)} FROM (SELECT graph_id, {', '.join(f'round(avg({m}), {FINE}) AS {m}' for m in SCORES)} FROM q GROUP BY 1) e JOIN graphs g ON e.graph_id = g.graph_id) " + " UNION ALL ".join(parts)
+
+
+def _means(spark: SparkSession, sf: str, props: list[str], scores: list[str]) -> DataFrame:
+    means = clean(spark, sf).groupBy("graph_id").agg(*(F.round(F.avg(m), FINE).alias(m) for m in scores))
+    return means.join(graphs(spark, sf).select("graph_id", *(number(F.col(p).cast("double")).alias(p) for p in props)), "graph_id")
+
+
+@query(_spearman())
+def spearman_property_metric(spark, sf):  # noqa: ANN001, ANN201
+    return rounded(analysis.spearman(_means(spark, sf, PROPS, SCORES), PROPS, SCORES), "x", "y", "n")
+
+
+@query()
+def spearman_all_properties(spark, sf):  # noqa: ANN001, ANN201
+    return analysis.spearman(_means(spark, sf, analysis.PROPERTIES, [*Q, "quality", "empirical_quality"]), analysis.PROPERTIES, [*Q, "quality", "empirical_quality"])
+
+
+LAYOUTS = ["circular", "random", "spectral", "FMMM", "HOLA"]
+
+
+@query(f"WITH {CLEAN} SELECT graph_id, {', '.join(f'''round(max(CASE WHEN layout = '{x}' THEN quality END), {FINE}) AS \"{x}\"''' for x in LAYOUTS)} FROM q GROUP BY 1")
+def layout_pivot(spark, sf):  # noqa: ANN001, ANN201
+    wide = clean(spark, sf).groupBy("graph_id").pivot("layout", LAYOUTS).agg(F.max("quality"))
+    return rounded(wide, "graph_id", places=FINE)
+
+
+FAMILIES = {"force": ["FMMM", "sfdp", "forceatlas2", "drgraph"], "stress": ["stress-majorization", "pivot-MDS", "spectral"], "orthogonal": ["HOLA", "planarization-ortho", "dot-ortho"]}
+
+
+@query(f"WITH {LAST_SQL} SELECT graph_id, layout, {', '.join(f'(CASE WHEN layout IN ({repr(v)[1:-1]}) THEN 1.0 ELSE 0.0 END)::DOUBLE AS layout_family_{k}' for k, v in FAMILIES.items())} FROM drawn")
+def one_hot_family(spark, sf):  # noqa: ANN001, ANN201
+    return drawn(spark, sf).select("graph_id", "layout", *(F.when(F.col("layout").isin(v), 1.0).otherwise(0.0).alias(f"layout_family_{k}") for k, v in FAMILIES.items()))
+
+
+def _bins(number_sql: str, edges: str) -> str:
+    return f"""WITH {CLEAN}, {FIRST_SQL}, pm AS (SELECT g.n_nodes::DOUBLE AS x, e.y FROM (SELECT graph_id, round(avg(quality), {FINE}) AS y FROM q GROUP BY 1) e JOIN graphs g ON e.graph_id = g.graph_id WHERE g.n_nodes IS NOT NULL AND y IS NOT NULL),
+      ed AS (SELECT {edges} FROM pm), b AS (SELECT x, y, ({number_sql})::INT AS bin FROM pm, ed)
+      SELECT bin, count(*) AS n, round(quantile_cont(x, 0.25), 6) AS x_p25, round(quantile_cont(x, 0.5), 6) AS x_median, round(quantile_cont(x, 0.75), 6) AS x_p75, round(min(y), 6) AS y_min, round(quantile_cont(y, 0.5), 6) AS y_median, round(max(y), 6) AS y_max, count(*) < 1000 AS low_n
+      FROM b WHERE bin IS NOT NULL GROUP BY 1 HAVING count(*) >= 10"""
+
+
+@query(_bins("CASE WHEN len(e) > 1 THEN greatest(0, len(list_filter(e, lambda q: q < x)) - 1) END", f"list_sort(list_distinct(quantile_cont(x, {[i / 10 for i in range(11)]}))) AS e"))
+def qcut_bins(spark, sf):  # noqa: ANN001, ANN201
+    return rounded(analysis.binned(_means(spark, sf, ["n_nodes"], ["quality"]), "n_nodes", "quality", 10, True), "bin", "n", "low_n")
+
+
+@query(_bins("greatest(0, least(9, ceil(round((x - lo) / (hi - lo) * 10, 9)) - 1))", "min(x) AS lo, max(x) AS hi"))
+def cut_bins(spark, sf):  # noqa: ANN001, ANN201
+    return rounded(analysis.binned(_means(spark, sf, ["n_nodes"], ["quality"]), "n_nodes", "quality", 10, False), "bin", "n", "low_n")
+
+
+@query(f"WITH {CLEAN} SELECT {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in Q)}, count(*) AS n FROM q GROUP BY {', '.join(Q)} HAVING count(*) > 1")
+def duplicate_vectors(spark, sf):  # noqa: ANN001, ANN201
+    return rounded(clean(spark, sf).groupBy(*Q).agg(F.count("*").alias("n")).filter("n > 1"), "n")
+
+
+@query(f"WITH {FIRST_SQL} SELECT coalesce(category, '(none)') AS category, coalesce(CASE WHEN source <> '' THEN source END, generator, '(none)') AS source, count(*) AS n FROM graphs GROUP BY 1, 2")
+def cohort_counts(spark, sf):  # noqa: ANN001, ANN201
+    source = F.coalesce(F.when(F.col("source") != "", F.col("source")), "generator", F.lit("(none)"))
+    return graphs(spark, sf).groupBy(F.coalesce("category", F.lit("(none)")).alias("category"), source.alias("source")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH g AS (SELECT count(DISTINCT graph_id) AS n FROM manifest), s AS (SELECT count(DISTINCT dropped_graph_id) AS n FROM sampling_audit), d AS (SELECT count(DISTINCT dropped_graph_id) AS n FROM dedup_audit), l AS (SELECT count(DISTINCT layout) AS n FROM metrics), m AS (SELECT count(DISTINCT (graph_id, layout)) AS n FROM metrics WHERE graph_id IN (SELECT graph_id FROM manifest))
+  SELECT unnest(['staged', 'lost_by_sample', 'lost_by_dedup', 'pairs', 'drawings', 'lost_by_filter']) AS step, unnest([g.n, s.n, d.n, g.n * l.n, m.n, g.n * l.n - m.n])::BIGINT AS n, round(unnest([sqrt(g.n), sqrt(s.n), sqrt(d.n), sqrt(g.n * l.n), sqrt(m.n), sqrt(g.n * l.n - m.n)]), 6) AS width FROM g, s, d, l, m""")
+def funnel(spark, sf):  # noqa: ANN001, ANN201
+    g = table(spark, sf, "manifest").agg(F.countDistinct("graph_id").alias("staged"))
+    s = table(spark, sf, "sampling_audit").agg(F.countDistinct("dropped_graph_id").alias("lost_by_sample"))
+    d = table(spark, sf, "dedup_audit").agg(F.countDistinct("dropped_graph_id").alias("lost_by_dedup"))
+    m = table(spark, sf, "metrics").select("graph_id", "layout")
+    n_layouts = m.agg(F.countDistinct("layout").alias("l"))
+    drawings = tables.without_orphans(m.distinct(), table(spark, sf, "manifest")).agg(F.count("*").alias("drawings"))
+    one = g.crossJoin(s).crossJoin(d).crossJoin(n_layouts).crossJoin(drawings)  # one row each
+    steps = {"staged": "staged", "lost_by_sample": "lost_by_sample", "lost_by_dedup": "lost_by_dedup", "pairs": "staged * l", "drawings": "drawings", "lost_by_filter": "staged * l - drawings"}
+    long = one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("step"), F.expr(v).alias("n")) for k, v in steps.items()))).alias("x")).select("x.step", "x.n")
+    return long.withColumn("width", F.round(F.sqrt("n"), 6))
+
+
+@query("""WITH a AS (SELECT DISTINCT dropped_graph_id AS id FROM dedup_audit WHERE dropped_graph_id IS NOT NULL), m AS (SELECT id, s.source, row_number() OVER (PARTITION BY id ORDER BY length(s.source) DESC) AS r FROM a JOIN sources s ON starts_with(id, replace(s.source, '/', '_') || '_'))
+  SELECT coalesce(m.source, 'unknown') AS source, coalesce(max(s.category), 'real_world') AS category, count(*) AS n FROM a LEFT JOIN m ON a.id = m.id AND r = 1 LEFT JOIN sources s ON m.source = s.source GROUP BY 1""")
+def prefix_source_join(spark, sf):  # noqa: ANN001, ANN201
+    sources = table(spark, sf, "sources").select("source", "category")
+    ids = table(spark, sf, "dedup_audit").select(F.col("dropped_graph_id").alias("graph_id")).filter("graph_id IS NOT NULL").distinct()
+    counts = analysis.prefix_source(ids, sources).groupBy("source").agg(F.count("*").alias("n"))
+    return counts.join(sources, "source", "left").select("source", F.coalesce("category", F.lit("real_world")).alias("category"), "n")
+
+
+@query(f"WITH {FIRST_SQL} SELECT split_part(source, '/', 1) AS source, count(*) AS n FROM graphs WHERE source IS NOT NULL GROUP BY 1")
+def source_rollup(spark, sf):  # noqa: ANN001, ANN201
+    return graphs(spark, sf).filter("source IS NOT NULL").groupBy(F.split_part("source", F.lit("/"), F.lit(1)).alias("source")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH y AS (SELECT generator, count(*) AS tried, count(*) FILTER (WHERE n_nodes BETWEEN 8 AND 75) AS succeeded FROM manifest WHERE category = 'generated' GROUP BY 1) SELECT generator, tried, succeeded, round(100.0 * succeeded / tried, 6) AS yield_pct, round(succeeded / sum(succeeded) OVER (), 6) AS share FROM y""")
+def yield_by_group(spark, sf):  # noqa: ANN001, ANN201
+    df = table(spark, sf, "manifest").filter("category = 'generated'")
+    return rounded(analysis.yields(df, "generator", F.coalesce(F.col("n_nodes").between(8, 75), F.lit(False))), "generator", "tried", "succeeded")
+
+
+OUTCOME = "CASE WHEN kruskal_stress IS NULL THEN 'failed' WHEN CAST(kruskal_stress AS VARCHAR(9)) IN ('nan', 'NaN') THEN 'not_applicable' WHEN scored_at IS NULL THEN 'cached' ELSE 'ok' END"
+
+
+@query(f"SELECT layout, {', '.join(f'''coalesce(count(*) FILTER (WHERE {OUTCOME} = '{o}'), 0) AS {o}''' for o in ('ok', 'cached', 'not_applicable', 'failed'))} FROM metrics GROUP BY 1")
+def outcome_pivot(spark, sf):  # noqa: ANN001, ANN201
+    df = table(spark, sf, "metrics").withColumn("outcome", F.expr(OUTCOME))
+    return df.groupBy("layout").pivot("outcome", ["ok", "cached", "not_applicable", "failed"]).count().fillna(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A side with at most so many rows may be broadcast.
@@ -45,3 +45,20 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     cold = left.join(hot, keys, "left_anti").join(right, keys, how)
     heated = left.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how)
     return cold.unionByName(heated)
+
+
+def hashed_rank(df: DataFrame, by: list[str], digest: str, out: str, digits: int = 2) -> DataFrame:
+    """df with out: the rank from 1 of each row within by in the order of digest, a column of hexadecimal text.
+
+    Ranks are taken among the rows whose digest begins with the same digits and raised by the number of rows before, so
+    a group of any size is ranked by 16 ** digits tasks. Null by and equal digests are ranked like any others.
+    """
+    df = df.withColumn("__piece", F.substring(digest, 1, digits))
+    sizes = df.groupBy(*by, "__piece").agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), F.col("__piece").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"))
+    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*by, "__piece").orderBy(digest)))
+    same = F.col("__piece") == F.col("__p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    return ranked.join(starts, same).withColumn(out, F.col("__rank") + F.col("__before")).drop("__piece", "__rank", "__p", "__before", *(f"__by{i}" for i in range(len(by))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Settings of a session that graphmill makes itself; a session that exists keeps its own.
 DEFAULTS = {
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -18,6 +20,7 @@ DEFAULTS = {
 
 def session(app: str = "graphmill", **conf: str) -> SparkSession:
     """A session with graphmill's defaults; keyword arguments are not needed on a cluster."""
+    os.environ.setdefault("OMP_NUM_THREADS", "1")  # tasks are parallel already; the workers of a local session inherit it
     return SparkSession.builder.appName(app).config(map=DEFAULTS | conf).getOrCreate()
 
 
