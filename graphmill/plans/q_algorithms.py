@@ -1 +1,75 @@
-"""Queries."""
+"""Queries that SQL cannot express: clustering, attribution, isomorphism, generators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import analysis, corpus, generate, isomorphism
+from ..operators.analysis import QUALITY
+from .q_analysis import _means, clean
+from .q_corpus import edges
+from .registry import query
+
+
+def _clusters(spark, rho, names, threshold, preferred=()):  # noqa: ANN001, ANN202
+    found = analysis.clusters(rho, names, threshold)
+    top = analysis.representatives(found, preferred)
+    return spark.createDataFrame([(n, c, k, top[c]) for n, c, k in found], "name string, cluster int, leaf int, representative string")
+
+
+@query()
+def cluster_upgma(spark, sf):  # noqa: ANN001, ANN201
+    names = analysis.PROPERTIES
+    return _clusters(spark, analysis.spearman(_means(spark, sf, names, ["quality"]), names, names, key="graph_id"), names, 0.75, ("n_nodes", "density"))
+
+
+@query()
+def cluster_metrics(spark, sf):  # noqa: ANN001, ANN201
+    return _clusters(spark, analysis.spearman(clean(spark, sf), QUALITY, QUALITY, key="graph_id"), QUALITY, 0.85)
+
+
+@query()
+def cluster_layouts(spark, sf):  # noqa: ANN001, ANN201
+    df = clean(spark, sf)
+    names = sorted(r[0] for r in df.select("layout").distinct().collect())  # the registered layouts
+    wide = df.groupBy("graph_id").pivot("layout", names).agg(F.max("quality"))
+    safe = wide.toDF(*[c.replace("-", "_") for c in wide.columns])
+    names = [n.replace("-", "_") for n in names]
+    return _clusters(spark, analysis.spearman(safe, names, names, key="graph_id"), names, 0.70)
+
+
+@query()
+def shapley_r2(spark, sf):  # noqa: ANN001, ANN201
+    from .q_tables import graphs
+
+    groups = {"size": ["n_nodes", "n_edges"], "density": ["density", "mean_degree"], "distance": ["diameter", "avg_shortest_path_length"], "clustering": ["transitivity", "average_clustering"]}
+    cols = [c for g in groups.values() for c in g]
+    from ..functions.text import number
+
+    df = clean(spark, sf).select("graph_id", "layout", "quality").join(graphs(spark, sf).select("graph_id", *(number(F.col(c).cast("double")).alias(c) for c in cols)), "graph_id")
+    return spark.createDataFrame(analysis.shapley_r2(df, "quality", groups, layout="layout"), "feature string, share double")
+
+
+@query()
+def dedup_wl_vf2(spark, sf):  # noqa: ANN001, ANN201
+    return isomorphism.isomorphism_classes(corpus.pack(edges(spark, sf)))
+
+
+@query()
+def generators_sample(spark, sf):  # noqa: ANN001, ANN201
+    return generate.generated(spark, 500)
+
+
+@query()
+def generator_yield(spark, sf):  # noqa: ANN001, ANN201
+    return generate.family_yield(spark, 1000)
+
+
+@query()
+def calibration_catalogue(spark, sf):  # noqa: ANN001, ANN201
+    return generate.calibration(spark)
+
+
+@query()
+def exhaustive_small_graphs(spark, sf):  # noqa: ANN001, ANN201
+    return generate.exhaustive_small(spark)
