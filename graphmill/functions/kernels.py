@@ -55,7 +55,7 @@ def distance_summary(n: int, us: np.ndarray, vs: np.ndarray) -> dict:
     """diameter, radius, avg_shortest_path_length: of connected graphs with two nodes or more; one node has 0, 0, null."""
     d = all_distances(n, us, vs)
     if n == 0 or (d < 0).any():
-        return {}
+        return dict.fromkeys(("diameter", "radius", "avg_shortest_path_length"))
     far = d.max(axis=1)
     return {"diameter": float(far.max()), "radius": float(far.min()), "avg_shortest_path_length": float(d.sum()) / (n * (n - 1)) if n > 1 else None}
 

@@ -5,6 +5,7 @@ Fetching is left to whatever copies files into a folder; everything here reads f
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -138,7 +139,7 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 def list_drawings(spark: SparkSession, path: str) -> DataFrame:
     """(layout, category, source, name, path) of the drawings under path: layout/category[/source...]/name.svg."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.svg").option("recursiveFileLookup", "true").load(path).select("path")
-    parts = F.split(F.regexp_replace("path", ".*" + path.rstrip("/").rsplit("/", 1)[-1] + "/", ""), "/")
+    parts = F.split(F.regexp_replace("path", r"^.*?\Q" + re.sub(r"^\w+:/+", "/", path).rstrip("/") + r"/\E", ""), "/")
     return files.select(F.element_at(parts, 1).alias("layout"), F.element_at(parts, 2).alias("category"), F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 3, F.lit(0))), "/").alias("source"), F.regexp_replace(F.element_at(parts, -1), r"\.svg$", "").alias("name"), "path")
 
 
