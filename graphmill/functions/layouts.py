@@ -317,3 +317,37 @@ def curated(n, us, vs, seed=0, xy=None):  # noqa: ANN001, ANN201
     if xy is None or len(xy) != n or not np.isfinite(np.asarray(xy, float)).all():
         raise NotApplicable("no place for every node")
     return np.asarray(xy, float), {}
+
+
+@register("baur-brandes")
+def baur_brandes(n, us, vs, seed=0, rounds: int = 10):  # noqa: ANN001, ANN201
+    """A circle whose order is grown from the node with most placed neighbours, at the end with fewer new crossings, and
+    then sifted: each node goes where, among all places, its edges cross fewest."""
+    near = kernels.neighbours(n, us, vs)
+    order: list[int] = []
+    left = set(range(n))
+    while left:
+        x = min(left, key=lambda v: (sum(y in left for y in near[v]), -sum(y not in left for y in near[v]), v))
+        left.discard(x)
+        cost = [sum(order.index(y) for y in near[x] if y in order), sum(len(order) - 1 - order.index(y) for y in near[x] if y in order)]
+        order.insert(0 if cost[0] < cost[1] else len(order), x)
+
+    def crossings(seq: list[int], x: int) -> int:
+        at = {y: i for i, y in enumerate(seq)}
+        px, own, total = at[x], {at[y] for y in near[x]}, 0
+        for a, b in zip(us.tolist(), vs.tolist(), strict=True):
+            if x not in (a, b):
+                p, q = sorted(((at[a] - px) % n, (at[b] - px) % n))
+                total += sum(p < (o - px) % n < q for o in own)
+        return total
+
+    for _ in range(rounds if n <= 40 else 1):
+        before = list(order)
+        for x in list(order):
+            rest = [y for y in order if y != x]
+            order = min((rest[:i] + [x] + rest[i:] for i in range(n)), key=lambda s: (crossings(s, x), s.index(x)))
+        if order == before:
+            break
+    xy = np.empty((n, 2))
+    xy[order] = circular(n, us, vs)[0]
+    return xy, {}

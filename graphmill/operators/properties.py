@@ -111,3 +111,29 @@ MANIFEST = (
 def manifest24(packed: DataFrame) -> DataFrame:
     """graph_id and the 24 invariants of packed graphs, in one pass."""
     return corpus.per_graph(packed, manifest_row, MANIFEST)
+
+
+#: What a timed row measures: each kernel, and the rest of the row.
+TIMED = {
+    "n_components": kernels.n_components, "is_bipartite": kernels.is_bipartite, "distances": kernels.distance_summary, "is_planar": kernels.is_planar,
+    "n_biconnected_components": kernels.blocks, "degeneracy": kernels.degeneracy, "all": manifest_row,
+}
+
+
+def _timed(n: int, us, vs) -> dict:  # noqa: ANN001
+    from time import perf_counter
+
+    out = {}
+    for name, f in TIMED.items():
+        began = perf_counter()
+        try:
+            f(n, us, vs)
+        finally:
+            out[name] = perf_counter() - began
+    return {"n_nodes": n, "n_edges": len(us), "seconds": out}
+
+
+def timings(packed: DataFrame) -> DataFrame:
+    """(graph_id, n_nodes, n_edges, property, seconds): how long each kernel took for each graph."""
+    df = corpus.per_graph(packed, _timed, "n_nodes int, n_edges int, seconds map<string,double>")
+    return df.select("graph_id", "n_nodes", "n_edges", F.explode("seconds").alias("property", "seconds"))
