@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +24,17 @@ DEFAULTS = {
 def session(app: str = "graphmill", **conf: str) -> SparkSession:
     """A session with graphmill's defaults; keyword arguments are not needed on a cluster."""
     os.environ.setdefault("OMP_NUM_THREADS", "1")  # tasks are parallel already; the workers of a local session inherit it
-    return SparkSession.builder.appName(app).config(map=DEFAULTS | conf).getOrCreate()
+    return importable(SparkSession.builder.appName(app).config(map=DEFAULTS | conf).getOrCreate())
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """spark, whose Python workers find this package where the driver has it: enough wherever they see the driver's files.
+    Elsewhere give the package with --py-files or install it."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,17 +48,20 @@ def shared_dir(spark: SparkSession) -> str:
         return told
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphmill-"))
+    own = tempfile.mkdtemp(prefix="graphmill-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """df, written once as a table in the shared folder and read from there.
 
-    Later stages start from the files, so a lost executor costs no recomputation of what came before.
+    Later stages start from the files, so a lost executor costs no recomputation of what came before. Tables lie below a
+    folder named by the application; it may be deleted when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/graphmill-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/graphmill-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphmill_path = path
