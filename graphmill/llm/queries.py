@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,7 +144,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_text(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's text in the consistent form."""
-    return lookalike.canonical_text(_read(spark, sf, "documents").select("doc_id", "text"))
+    return lookalike.canonical_text(_read(spark, sf, "documents"), keep=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -222,8 +225,42 @@ _FIRST = f"""WITH f AS (SELECT graph_id, run_no, row_id, CASE WHEN {_real("sourc
 """
 
 
+@functools.cache
+def _look(c: str) -> str:
+    """SQL of the consistent form of c: one character for one by translate(), the few that become several or none by
+    replacement, then NFC. What single characters become is asked of lookalike, marks are composed by the database."""
+    one, many, none = [], [], []
+    singles = [chr(x) for x in (*range(1, 0x3400), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)) if unicodedata.category(chr(x)) not in ("Cn", "Cs", "Co") and x != 13]
+    for ch, to in zip(singles, lookalike.canonical_array(pa.array(singles)).to_pylist(), strict=True):
+        if not to:
+            none.append(ch)
+        elif to != ch and len(to) == 1:
+            one.append((ch, to))
+        elif to != ch:
+            many.append((ch, to))
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    sql = f"replace(replace({c}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    sql = f"regexp_replace({sql}, '[{''.join(f'\\x{{{ord(x):x}}}' for x in none)}]', '', 'g')"
+    for ch, to in many:
+        if ord(ch) < 0xFB07 and not unicodedata.decomposition(ch).startswith("<font"):
+            sql = f"replace({sql}, {quote(ch)}, {quote(to)})"
+    return f"nfc_normalize(translate({sql}, {quote(''.join(a for a, _ in one))}, {quote(''.join(b for _, b in one))}))"
+
+
+def _words(c: str) -> str:
+    """SQL of the words of a text, as a list."""
+    return f"regexp_extract_all(lower(regexp_replace({_look(c)}, '{leaks.TAG}', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+')".replace("\\\\", "\\")
+
+
+def _grams(table: str, key: str) -> str:
+    n = leaks.WORDS
+    return f"SELECT {key}, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS gram FROM (SELECT {key}, {_words('text')} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= {n}"
+
+
 def sql() -> dict[str, str]:
-    """SQL for the queries that it can express; p3_percentiles, p6, p7 and p8 are tested by brute force."""
+    """SQL for the queries that it can express; p3_percentiles and p6 are tested by brute force."""
+    leaked = f"WITH found AS (SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id')}) a JOIN ({_grams('eval_items', 'item_id')}) b ON a.gram = b.gram)"
+    forms = f"f AS (SELECT doc_id, text, {_look('text')} AS form FROM documents)"
     by_source = "SELECT source, graph_id, row_number() OVER (PARTITION BY source ORDER BY run_no, row_id, graph_id) - 1 AS seq FROM f"
     return {
         "p1_found": _GROUPS + "SELECT group_id, graph_id FROM found",
@@ -241,5 +278,9 @@ def sql() -> dict[str, str]:
             SELECT ranked.target_id, graph_id FROM ranked JOIN allotted USING (target_id) WHERE r <= allotted""",
         "p5_sample": _FIRST + ", s AS (SELECT graph_id, row_id AS seq FROM f), " + _chosen("s", "graph_id, seq", "'p5'"),
         "p5_source_sample": _FIRST + f", s AS ({by_source}), " + _chosen("s", "source, graph_id, seq", "'p5s|' || source"),
+        "p7_found": f"{leaked} SELECT doc_id, item_id FROM found",
+        "p7_items": f"{leaked} SELECT item_id, suite, (SELECT count(*) FROM found WHERE found.item_id = e.item_id) AS n_docs FROM eval_items e",
+        "p8_found": f"WITH {forms} SELECT DISTINCT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text WHERE regexp_matches(a.form, '[^ \\t\\n]')",
+        "p8_text": f"WITH {forms} SELECT doc_id, form AS canonical FROM f",
         "p5_growth": "SELECT 'all' AS sample, n AS n_before, n AS n_kept FROM (" + (_FIRST + ", s AS (SELECT graph_id, row_id AS seq FROM f WHERE run_no <= 6), " + _chosen("s", "count(*) AS n", "'p5'")) + ") UNION ALL SELECT 'by_source', n, n FROM (" + (_FIRST + f", s AS ({by_source} WHERE run_no <= 6), " + _chosen("s", "count(*) AS n", "'p5s|' || source")) + ")",
     }
