@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import layouts, scores
+from ..functions.guard import TimedOut, guarded
 from ..seeds import seed
 from .corpus import spread
 
@@ -38,24 +39,34 @@ def scored(edges: DataFrame, at: DataFrame, names: list[str] = scores.NAMES) ->
     return df.mapInPandas(run, schema)
 
 
-def one_drawing(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarray, root: int) -> dict:
-    """Outcome, scores and flags of one graph under one layout."""
+def _drawn(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarray, root: int, limit_s: float | None) -> tuple[np.ndarray, layouts.Bends]:
+    own = seed(root, layout, graph)
+    if limit_s is None:
+        return layouts.lay_out(layout, n, us, vs, seed=own)
+    return guarded(lambda: layouts.lay_out(layout, n, us, vs, seed=own), limit_s)  # type: ignore[return-value]
+
+
+def one_drawing(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarray, root: int, limit_s: float | None = None) -> dict:
+    """Outcome (ok, not_applicable, timeout, failed), scores and flags of one graph under one layout."""
     try:
-        xy, bends = layouts.lay_out(layout, n, us, vs, seed=seed(root, layout, graph))
+        xy, bends = _drawn(layout, graph, n, us, vs, root, limit_s)
         xy, bends = layouts.standardised(xy, bends, us)
         lines = {i: np.vstack((xy[us[i]], b, xy[vs[i]])) for i, b in bends.items() if len(b)}
         return {"outcome": "ok", **scores.score(n, us, vs, xy, lines), "contains_bends": bool(lines), "contains_curves": False}
     except layouts.NotApplicable:
         return {"outcome": "not_applicable"}
+    except TimedOut:
+        return {"outcome": "timeout"}
     except Exception:  # noqa: BLE001
         return {"outcome": "failed"}
 
 
-def laid_out_and_scored(packed: DataFrame, names: list[str], root: int = 1, done: DataFrame | None = None, flags: bool = False) -> DataFrame:
+def laid_out_and_scored(packed: DataFrame, names: list[str], root: int = 1, done: DataFrame | None = None, flags: bool = False, limit_s: float | None = None) -> DataFrame:
     """(graph_id, layout, outcome, scores, contains_bends, contains_curves) for every graph and layout.
 
     Pairs in done(graph_id, layout) are left out before anything is computed. With flags, packed has the manifest's
-    is_planar and is_tree, and pairs that these rule out are dropped before the kernel.
+    is_planar and is_tree, and pairs that these rule out are dropped before the kernel. With limit_s, every layout runs in a
+    child process and is given up after so many seconds.
     """
     tasks = packed.withColumn("layout", F.explode(F.array(*map(F.lit, names))))
     if flags:
@@ -70,8 +81,31 @@ def laid_out_and_scored(packed: DataFrame, names: list[str], root: int = 1, done
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
-                got = one_drawing(r.layout, r.graph_id, int(r.n), np.asarray(r.us, np.int64), np.asarray(r.vs, np.int64), root)
+                got = one_drawing(r.layout, r.graph_id, int(r.n), np.asarray(r.us, np.int64), np.asarray(r.vs, np.int64), root, limit_s)
                 rows.append((r.graph_id, r.layout, *(got.get(c) for c in schema.names[2:])))
             yield pd.DataFrame(rows, columns=schema.names)
 
     return tasks.mapInPandas(run, schema)
+
+
+def laid_out(packed: DataFrame, names: list[str], root: int = 1) -> DataFrame:
+    """(graph_id, layout, outcome, xs, ys, paths): drawings in standard form; the path of a straight edge is its chord."""
+    tasks = spread(packed.withColumn("layout", F.explode(F.array(*map(F.lit, names)))).select("graph_id", "layout", "n", "us", "vs"), "graph_id", "layout")
+    schema = T.StructType([tasks.schema["graph_id"], tasks.schema["layout"], *T._parse_datatype_string("outcome string, xs array<double>, ys array<double>, paths array<string>").fields])
+
+    def one(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarray) -> tuple:
+        try:
+            xy, bends = layouts.standardised(*layouts.lay_out(layout, n, us, vs, seed=seed(root, layout, graph)), us)
+        except layouts.NotApplicable:
+            return "not_applicable", None, None, None
+        except Exception:  # noqa: BLE001
+            return "failed", None, None, None
+        ways = [np.vstack((xy[us[i]], bends[i], xy[vs[i]])) if i in bends else np.vstack((xy[us[i]], xy[vs[i]])) for i in range(len(us))]
+        return "ok", xy[:, 0].tolist(), xy[:, 1].tolist(), ["M " + " L ".join(f"{x:.6g},{y:.6g}" for x, y in w.tolist()) for w in ways]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(r.graph_id, r.layout, *one(r.layout, r.graph_id, int(r.n), np.asarray(r.us, np.int64), np.asarray(r.vs, np.int64))) for r in b.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return tasks.mapInPandas(run, schema)

@@ -143,3 +143,13 @@ def graphs_packed(spark):  # noqa: ANN001, ANN201
     from ..operators import generate
 
     return generate.calibration(spark).filter("n <= 30").select("graph_id", "n", "us", "vs")
+
+
+@query()
+def drawings_svg(spark, sf):  # noqa: ANN001, ANN201
+    from ..operators.scoring import laid_out
+    from ..sources.sinks import svg
+
+    drawn = laid_out(graphs_packed(spark), ["circular", "stress-majorization"])
+    points = F.transform(F.arrays_zip("xs", "ys"), lambda p: F.struct(p["xs"].alias("x"), p["ys"].alias("y")))
+    return drawn.select("graph_id", "layout", "outcome", svg(points, F.col("paths")).alias("svg"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +76,23 @@ class Versioned:
             self._fs.delete(self._at(f"v{n}"), True)
 
 
+def read_through(spark: SparkSession, path: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """build()'s rows from the table at path if that was made from the same inputs (paths, sizes and times of their files),
+    else they are built and kept there."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    seen = []
+    for p in sorted(inputs):
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(conf)
+        for s in [fs.getFileStatus(at)] if fs.getFileStatus(at).isFile() else fs.listStatus(at):
+            seen.append(f"{s.getPath()}|{s.getLen()}|{s.getModificationTime()}")
+    name = hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:24]
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        build().write.mode("overwrite").parquet(f"{path}/{name}")
+    return spark.read.parquet(f"{path}/{name}")
+
+
 def completion_key(n_min: int, n_max: int, max_graphs: int) -> str:
     return f"n_min={n_min};n_max={n_max};max_graphs={max_graphs}"
 

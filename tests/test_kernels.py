@@ -173,3 +173,18 @@ def test_isotonic_and_upgma():
     merges = kernels.upgma(d)
     assert [m[:2] for m in merges] == [(0, 1), (2, 3), (4, 5)] and np.isclose(merges[2][2], 0.75)
     assert kernels.flat_clusters(4, merges, 0.3)[0] == [0, 0, 1, 1]
+
+
+def test_time_limits():
+    import time
+
+    from graphmill.functions.guard import TimedOut, guarded
+
+    assert guarded(lambda x: x + 1, 5, 2) == 3
+    with pytest.raises(ZeroDivisionError):
+        guarded(lambda: 1 / 0, 5)
+    began = time.time()
+    with pytest.raises(TimedOut):
+        guarded(time.sleep, 0.2, 30)
+    assert time.time() - began < 5
+    assert one_drawing("circular", "g", *NAMED["K_5"], 1, 10) == one_drawing("circular", "g", *NAMED["K_5"], 1)

@@ -194,3 +194,30 @@ def test_plans_and_settings(monkeypatch, capsys):
     assert cli.main(["plan", "from:layout"]) == 0 and capsys.readouterr().out.split() == ["layout", "metrics"]
     assert cli.settings(cli.parser().parse_args(["run", "--out", "o", "--layouts", "circular,HOLA", "--count", "3"])).layouts == ("circular", "HOLA")
     assert pipeline.chosen_layouts(pipeline.Config(out="o", layouts=("circular", "nope", "HOLA"), exclude_layouts=("HOLA",))) == ["circular"]
+
+
+def test_pages(spark, tmp_path):
+    from graphmill.sources import paged
+
+    for i, recs in enumerate([[{"uuid": "a"}, {"uuid": "b", "x": 1}], [{"uuid": "a", "late": 1}, {"x": 2}], []]):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"networks": recs}))
+    paged.register(spark)
+    df = spark.read.format("paged_json").option("url", f"file://{tmp_path}/{{page}}.json").option("pages", 3).option("records", "networks").load()
+    assert df.count() == 4 and df.rdd.getNumPartitions() == 3
+    assert [(r.page, r.id) for r in paged.first_of_each(df).collect()] == [(0, "a"), (0, "b")] and paged.first_of_each(df, 1).count() == 1
+
+
+def test_read_through_sees_changes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("1")
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.read.text(str(tmp_path / "in"))
+
+    for text in (None, None, "22"):
+        if text:
+            (tmp_path / "in" / "a.txt").write_text(text)
+        got = sinks.read_through(spark, str(tmp_path / "cache"), [str(tmp_path / "in")], build).first()[0]
+    assert len(built) == 2 and got == "22"
