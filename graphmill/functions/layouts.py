@@ -129,6 +129,7 @@ def _smacof(d: np.ndarray, xy: np.ndarray, rounds: int = 80, tol: float = 1e-4)
     w = np.where(d > 0, 1.0 / np.where(d > 0, d, 1) ** 2, 0.0)
     lap = np.diag(w.sum(axis=1)) - w
     i, j = np.triu_indices(n, 1)
+    solve = np.linalg.inv(lap[1:, 1:])  # the same system in every round
 
     def stress(p: np.ndarray) -> float:
         return float((w[i, j] * (np.hypot(*(p[i] - p[j]).T) - d[i, j]) ** 2).sum())
@@ -138,7 +139,7 @@ def _smacof(d: np.ndarray, xy: np.ndarray, rounds: int = 80, tol: float = 1e-4)
         gap = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
         b = np.where(gap > 1e-12, w * d / np.where(gap > 1e-12, gap, 1), 0.0)
         rhs = (np.diag(b.sum(axis=1)) - b) @ xy - lap[:, :1] * xy[:1]
-        xy = np.vstack((xy[:1], np.linalg.solve(lap[1:, 1:], rhs[1:])))
+        xy = np.vstack((xy[:1], solve @ rhs[1:]))
         new = stress(xy)
         if old - new < tol * max(old, 1e-300):
             break

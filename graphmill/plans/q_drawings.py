@@ -80,9 +80,9 @@ def edge_length_deviation(spark, sf):  # noqa: ANN001, ANN201
     return rounded(drawings.edge_length_deviation(edges(spark, sf), both(spark, sf)), "edge_length_deviation")
 
 
-@query(f"{BOTH}, a AS (SELECT graph_id, layout, degrees(atan2(abs(y2 - y1), abs(x2 - x1))) AS a FROM chord) SELECT graph_id, layout, round(1 - avg(least(a, 90 - a) / 45), 6) AS edge_orthogonality FROM a GROUP BY 1, 2")
+@query(f"{BOTH}, a AS (SELECT graph_id, layout, degrees(atan2(abs(y2 - y1), abs(x2 - x1))) AS a FROM chord) SELECT graph_id, layout, round(1 - avg(least(a, 90 - a) / 45), 9) AS edge_orthogonality FROM a GROUP BY 1, 2")
 def edge_orthogonality(spark, sf):  # noqa: ANN001, ANN201
-    return rounded(drawings.edge_orthogonality(edges(spark, sf), both(spark, sf)), "edge_orthogonality")
+    return drawings.edge_orthogonality(edges(spark, sf), both(spark, sf)).withColumn("edge_orthogonality", F.round("edge_orthogonality", 9))
 
 
 @query(f"""{ONE}, s AS (SELECT graph_id, layout, u AS node, degrees(atan2(y2 - y1, x2 - x1)) AS a FROM chord UNION ALL SELECT graph_id, layout, v, degrees(atan2(y1 - y2, x1 - x2)) FROM chord),

@@ -11,6 +11,8 @@ BROADCAST_ROWS = 200_000
 HOT_ROWS = 200_000
 #: A hot key holds more than this share of the rows, so there are fewer than 1 / HOT_SHARE of them.
 HOT_SHARE = 1e-3
+#: Parts into which hot keys are cut where the other side may have many rows of them too.
+SALTS = 32
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -32,11 +34,10 @@ def hot_keys(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", n: int | None = None) -> DataFrame:
-    """left join right, where a few keys may hold a large share of left's rows.
+    """left join right, where a few keys may hold a large share of left's rows and right has one row for each key.
 
-    right has one row for each key. The rows of hot keys meet a broadcast of their right rows (fewer than
-    1 / HOT_SHARE of them, by the definition of hot); all others are shuffled. how: inner or left. n: left's
-    number of rows, if it is known. Null keys match nothing.
+    The rows of hot keys meet a broadcast of their right rows (fewer than 1 / HOT_SHARE of them, by the definition of
+    hot); all others are shuffled. how: inner or left. n: left's number of rows, if it is known. Null keys match nothing.
     """
     hot = hot_keys(left, keys, n)
     if hot is None:
@@ -47,6 +48,34 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return cold.unionByName(heated)
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join of two sides, either of which may have many rows of some keys.
+
+    A key that is hot on one side is cut there into SALTS parts, each of which meets a copy of the other side's rows of
+    that key; hot on both, the left side is cut. All other rows are shuffled by key. Give tables that are cheap to read
+    again. Null keys match nothing.
+    """
+    hot_left, hot_right = hot_keys(left, keys), hot_keys(right, keys)
+    if hot_left is None and hot_right is None:
+        return left.join(right, keys)
+    parts, names = [], [*keys, *(c for c in left.columns if c not in keys), *(c for c in right.columns if c not in keys)]
+    for hot, cut_left in ((hot_left, True), (hot_right, False)):
+        if hot is None:
+            continue
+        mark = F.broadcast(hot)
+        big, other = (left, right) if cut_left else (right, left)
+        values = [c for c in big.columns if c not in keys]
+        part = F.pmod(F.xxhash64(*values), F.lit(SALTS)).cast("int") if values else F.lit(0)
+        cut = big.join(mark, keys, "left_semi").withColumn("__part", part)
+        copies = other.join(mark, keys, "left_semi").withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        parts.append(cut.join(copies, [*keys, "__part"]).select(*names))
+        left, right = left.join(mark, keys, "left_anti"), right.join(mark, keys, "left_anti")
+    out = left.join(right, keys).select(*names)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def hashed_rank(df: DataFrame, by: list[str], digest: str, out: str, digits: int = 2) -> DataFrame:
     """df with out: the rank from 1 of each row within by in the order of digest, a column of hexadecimal text.
 

@@ -32,6 +32,11 @@ def test_skew_join_equals_join(spark, monkeypatch):
         want = rows(left.join(right, "k", how))
         monkeypatch.setattr(scale, "HOT_ROWS", 50)
         assert rows(scale.skew_join(left, right, ["k"], how)) == want
+        monkeypatch.setattr(scale, "HOT_ROWS", 200_000)
+    many = right.unionByName(right.withColumn("x", F.col("x") + 10)).unionByName(spark.createDataFrame([("k7", i) for i in range(300)], "k string, x int"))
+    want, turned = rows(left.join(many, "k")), rows(many.join(left, "k"))
+    monkeypatch.setattr(scale, "HOT_ROWS", 50)
+    assert rows(scale.salted_join(left, many, ["k"])) == want and rows(scale.salted_join(many, left, ["k"])) == turned
     assert scale.hot_keys(left, ["k"]).collect()[0][0] == "hot"
 
 
