@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scale import is_small, skew_join
+from ..scale import is_small, salted_join
 from ..session import materialize
 from .lookalike import LIMIT, canonical_array, slices, to_points
 
@@ -163,5 +163,5 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     among = np.array([r[0] for r in theirs.select("hash").distinct().collect()], np.int64) if few else None
     ours = fingerprints(docs, doc_key, text, -1, gram, least, among).withColumnRenamed("around", "__a")
     theirs = theirs.withColumnRenamed("around", "__b")
-    met = ours.join(F.broadcast(theirs) if is_small(theirs) else theirs, "hash") if few else skew_join(ours, theirs, ["hash"])
+    met = ours.join(F.broadcast(theirs) if is_small(theirs) else theirs, "hash") if few else salted_join(materialize(ours), theirs, ["hash"])
     return met.filter(_shares(F.col("__a"), F.col("__b"), gram, least)).select(doc_key, item_key).distinct()

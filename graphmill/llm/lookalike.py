@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scale import salted_join
 from ..session import materialize
 
 # Letters of other alphabets and letter blocks that are drawn like a Latin letter, then that letter.
@@ -277,7 +278,10 @@ def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     classes = members.select("c", "r").distinct()
     several = classes.groupBy("c").count().filter("count > 1").select("c")
     classes = materialize(classes.join(several, "c", "left_semi"))
-    members = members.join(classes.select("r"), "r", "left_semi").select("r", "k").distinct()
-    pairs = classes.select("c", F.col("r").alias("r1")).join(classes.select("c", F.col("r").alias("r2")), "c").filter("r1 < r2")
-    out = pairs.join(members.withColumnsRenamed({"r": "r1", "k": "k1"}), "r1").join(members.withColumnsRenamed({"r": "r2", "k": "k2"}), "r2").filter("k1 <> k2")
+    members = materialize(members.join(classes.select("r"), "r", "left_semi").select("r", "k").distinct())
+    pairs = classes.select("c", F.col("r").alias("r1")).join(classes.select("c", F.col("r").alias("r2")), "c").filter("r1 < r2").select("r1", "r2")
+    pairs = materialize(pairs)
+    ours, theirs = members.withColumnsRenamed({"r": "r1", "k": "k1"}), members.withColumnsRenamed({"r": "r2", "k": "k2"})
+    half = materialize(salted_join(ours, pairs, ["r1"]).select("r2", "k1"))
+    out = salted_join(half, theirs, ["r2"]).filter("k1 <> k2")
     return out.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()

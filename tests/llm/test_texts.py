@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from graphmill import scale
 from graphmill.llm import bpe, leaks, lookalike
 
 DIRTY = [None, "", " ", "\n\t ", "it's 12 tests​  <|endoftext|>", "x" * 5000, "naïve façade 日本語 🕸️ \x00\x1c", "a" * 3 + " " * 40 + "b", "don't  DON'T\r\n\r\n", "é́́" * 30]
@@ -58,12 +59,14 @@ def test_same_look():
         assert one(a) != one(b), (a, b)
 
 
-def test_pairs(spark):
+def test_pairs(spark, monkeypatch):
     rows = [(1, "abc"), (2, "abc"), (3, "аbc"), (4, "ａbc"), (5, None), (6, ""), (7, "​"), (8, " "), (9, " "), (10, "Abc"), (None, "abc​"), (3, "аbc"), (12, "z" * 100_000), (11, "z" * 100_000 + "‍")]
     df = spark.createDataFrame([(k, t, "clash") for k, t in rows], "doc_id long, text string, f string")
     got = sorted(map(tuple, lookalike.lookalike_pairs(df).collect()))
     assert got == [(1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (11, 12)]
     assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
+    monkeypatch.setattr(scale, "HOT_ROWS", 2)
+    assert sorted(map(tuple, lookalike.lookalike_pairs(df).collect())) == got
     assert [r.canonical for r in lookalike.canonical_text(df.filter("doc_id IN (3, 5, 7)"), keep=["doc_id"]).distinct().orderBy("doc_id").collect()] == ["abc", None, ""]
 
 
@@ -99,4 +102,6 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     monkeypatch.setattr(leaks, "ITEM_HASHES", 3)
     assert {tuple(r) for r in leaks.leaked_items(d, e).collect()} == want
+    monkeypatch.setattr(scale, "HOT_ROWS", 10)
+    assert {tuple(r) for r in leaks.leaked_items(d, e).collect()} == want
     assert leaks.leaked_items(d.limit(0), e).count() == leaks.leaked_items(d, e.limit(0)).count() == 0
