@@ -34,34 +34,43 @@ def degree_stats(edges: DataFrame) -> DataFrame:
     )
 
 
+def neighbour_maps(edges: DataFrame) -> DataFrame:
+    """(graph_id, near): one row for each graph, near the neighbours of each node. What is counted along edges can then be
+    counted within the row, without a join; a row is as large as its graph."""
+    both = edges.select("graph_id", F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("e"))
+    lists = both.groupBy("graph_id", F.col("e.a").alias("node")).agg(F.collect_list("e.b").alias("near"))
+    return lists.groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("node", "near"))).alias("near"))
+
+
 def node_triangles(edges: DataFrame) -> DataFrame:
-    """(graph_id, node, deg, tri): the number of triangles at each node. Both ends' neighbour arrays meet at an edge,
-    and what they share makes its triangles; neighbour arrays are as long as a graph has nodes."""
-    both = edges.unionByName(edges.select("graph_id", F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both.groupBy("graph_id", "u").agg(F.collect_list("v").alias("near"))
-    other = near.select("graph_id", F.col("u").alias("v"), F.col("near").alias("near_v"))
-    met = both.join(near, ["graph_id", "u"]).join(other, ["graph_id", "v"])
-    shared = met.select("graph_id", F.col("u").alias("node"), F.size("near").alias("deg"), F.size(F.array_intersect("near", "near_v")).alias("shared"))
-    return shared.groupBy("graph_id", "node").agg(F.max("deg").cast("long").alias("deg"), F.expr("sum(shared) div 2").alias("tri"))
+    """(graph_id, nodes): an array of (node, deg, tri) with the number of triangles at each node: what the neighbour arrays
+    of both ends of its edges share, halved."""
+    shared = lambda e: F.aggregate(e["value"], F.lit(0).cast("long"), lambda s, v: s + F.size(F.array_intersect(e["value"], F.element_at("near", v))))
+    at = lambda e: F.struct(e["key"].alias("node"), F.size(e["value"]).cast("long").alias("deg"), F.floor(shared(e) / 2).cast("long").alias("tri"))
+    return neighbour_maps(edges).select("graph_id", F.transform(F.map_entries("near"), at).alias("nodes"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
     """(graph_id, n_triangles, average_clustering, transitivity)."""
-    d, t = F.col("deg"), F.col("tri")
-    local = F.when(d > 1, 2.0 * t / (d * (d - 1))).otherwise(F.lit(0.0))
-    sums = node_triangles(edges).groupBy("graph_id").agg(F.expr("sum(tri) div 3").alias("n_triangles"), F.avg(local).alias("average_clustering"), F.sum(d * (d - 1) / 2).alias("triads"))
+    total = lambda f, zero: F.aggregate("nodes", F.lit(0).cast(zero), lambda s, x: s + f(x).cast(zero))
+    wedges = lambda x: x["deg"] * (x["deg"] - 1)
+    local = lambda x: F.when(x["deg"] > 1, 2.0 * x["tri"] / wedges(x)).otherwise(F.lit(0.0))
+    sums = node_triangles(edges).select("graph_id", F.floor(total(lambda x: x["tri"], "long") / 3).cast("long").alias("n_triangles"), (total(local, "double") / F.size("nodes")).alias("average_clustering"), (total(wedges, "long") / 2).alias("triads"))
     return sums.select("graph_id", "n_triangles", "average_clustering", F.when(F.col("triads") > 0, 3.0 * F.col("n_triangles") / F.col("triads")).otherwise(F.lit(0.0)).alias("transitivity"))
 
 
 def assortativity(edges: DataFrame) -> DataFrame:
     """(graph_id, degree_assortativity): Pearson correlation of the degrees at both ends, each edge in both
     directions; null if all degrees at ends are equal."""
-    deg = corpus.degrees(edges)
-    ends = edges.join(deg.withColumnsRenamed({"node": "u", "deg": "du"}), ["graph_id", "u"]).join(deg.withColumnsRenamed({"node": "v", "deg": "dv"}), ["graph_id", "v"])
-    x, y = F.col("du").cast("double"), F.col("dv").cast("double")
-    s = ends.groupBy("graph_id").agg(F.sum(F.lit(2.0)).alias("n"), F.sum(x + y).alias("s"), F.sum(x * x + y * y).alias("q"), F.sum(2 * x * y).alias("p"))
+    d = lambda x: F.size(x).cast("double")
+    # over directed edges: n of them, s the sum and q the sum of squares of the degrees at one end, p of the products
+    around = lambda e: F.aggregate(e["value"], F.lit(0.0), lambda s, v: s + d(F.element_at("near", v)))
+    term = lambda e: F.struct(d(e["value"]).alias("n"), (d(e["value"]) ** 2).alias("s"), (d(e["value"]) ** 3).alias("q"), (d(e["value"]) * around(e)).alias("p"))
+    terms = neighbour_maps(edges).select("graph_id", F.transform(F.map_entries("near"), term).alias("t"))
+    total = lambda c: F.aggregate(F.col(f"t.{c}"), F.lit(0.0), lambda s, x: s + x)
+    sums = terms.select("graph_id", *(total(c).alias(c) for c in "nsqp"))
     var = F.col("n") * F.col("q") - F.col("s") * F.col("s")
-    return s.select("graph_id", F.when(var > 0, (F.col("n") * F.col("p") - F.col("s") * F.col("s")) / var).alias("degree_assortativity"))
+    return sums.select("graph_id", F.when(var > 0, (F.col("n") * F.col("p") - F.col("s") * F.col("s")) / var).alias("degree_assortativity"))
 
 
 def shape_kernel(n: int, us, vs) -> dict:  # noqa: ANN001
