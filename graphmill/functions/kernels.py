@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -22,7 +23,15 @@ def neighbours(n: int, us: np.ndarray, vs: np.ndarray) -> list[list[int]]:
 
 
 def all_distances(n: int, us: np.ndarray, vs: np.ndarray) -> np.ndarray:
-    """Hops between all pairs; -1 where there is no path. All sources go one hop further with each matrix product."""
+    """Hops between all pairs, not to be written to; -1 where there is no path. The last graphs' are kept, as several layouts
+    and scores of one graph follow one another."""
+    return _distances(n, np.asarray(us, np.int64).tobytes(), np.asarray(vs, np.int64).tobytes())
+
+
+@functools.lru_cache(maxsize=8)
+def _distances(n: int, u: bytes, v: bytes) -> np.ndarray:
+    """All sources go one hop further with each matrix product."""
+    us, vs = np.frombuffer(u, np.int64), np.frombuffer(v, np.int64)
     a = adjacency(n, us, vs).astype(np.float32)
     seen = np.eye(n, dtype=bool)
     out, front, hops = np.where(seen, 0, -1), seen, 0
@@ -31,6 +40,7 @@ def all_distances(n: int, us: np.ndarray, vs: np.ndarray) -> np.ndarray:
         front = (front.astype(np.float32) @ a > 0) & ~seen
         seen |= front
         out[front] = hops
+    out.flags.writeable = False
     return out
 
 

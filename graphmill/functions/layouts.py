@@ -131,16 +131,17 @@ def _smacof(d: np.ndarray, xy: np.ndarray, rounds: int = 80, tol: float = 1e-4)
     i, j = np.triu_indices(n, 1)
     solve = np.linalg.inv(lap[1:, 1:])  # the same system in every round
 
-    def stress(p: np.ndarray) -> float:
-        return float((w[i, j] * (np.hypot(*(p[i] - p[j]).T) - d[i, j]) ** 2).sum())
+    def gaps(p: np.ndarray) -> np.ndarray:
+        return np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])
 
-    old = stress(xy)
+    wij, dij, gap = w[i, j], d[i, j], gaps(xy)
+    old = float((wij * (gap[i, j] - dij) ** 2).sum())
     for _ in range(rounds):
-        gap = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
         b = np.where(gap > 1e-12, w * d / np.where(gap > 1e-12, gap, 1), 0.0)
         rhs = (np.diag(b.sum(axis=1)) - b) @ xy - lap[:, :1] * xy[:1]
         xy = np.vstack((xy[:1], solve @ rhs[1:]))
-        new = stress(xy)
+        gap = gaps(xy)
+        new = float((wij * (gap[i, j] - dij) ** 2).sum())
         if old - new < tol * max(old, 1e-300):
             break
         old = new

@@ -112,26 +112,29 @@ def score(n: int, us: np.ndarray, vs: np.ndarray, xy: np.ndarray, lines: dict[in
     out["node_uniformity"] = 1 - float(np.abs(inside - n / k**2).sum()) / (2 * n * (1 - 1 / k**2)) if k > 1 else 1.0
     if m == 0:
         return out
-    pieces = [np.asarray(lines[i], float) if lines and i in lines else np.array([xy[us[i]], xy[vs[i]]]) for i in range(m)]
-    seg = np.concatenate([np.hstack((p[:-1], p[1:])) for p in pieces])
-    edge = np.repeat(np.arange(m), [len(p) - 1 for p in pieces])
+    if lines:
+        pieces = [np.asarray(lines[i], float) if i in lines else np.array([xy[us[i]], xy[vs[i]]]) for i in range(m)]
+        seg = np.concatenate([np.hstack((p[:-1], p[1:])) for p in pieces])
+        parts = np.array([len(p) - 1 for p in pieces])
+    else:
+        seg, parts = np.hstack((xy[us], xy[vs])), np.ones(m, np.int64)
+    edge, last = np.repeat(np.arange(m), parts), np.cumsum(parts) - 1
     d = seg[:, 2:] - seg[:, :2]
     length = np.bincount(edge, np.hypot(d[:, 0], d[:, 1]), m)
     mean = float(length.mean())
     out["edge_length_deviation"] = 1 / (1 + float(np.abs(length - mean).mean()) / mean) if mean > 0 else 1.0
     tilt = np.degrees(np.arctan2(np.abs(d[:, 1]), np.abs(d[:, 0])))
     out["edge_orthogonality"] = 1 - float((np.bincount(edge, np.minimum(tilt, 90 - tilt), m) / np.bincount(edge, minlength=m)).mean()) / 45
-    ends = [[] for _ in range(n)]
-    for i, p in enumerate(pieces):
-        for node, e in ((us[i], p[1] - p[0]), (vs[i], p[-2] - p[-1])):
-            ends[node].append(float(np.degrees(np.arctan2(e[1], e[0]))))
-    off = []
-    for a in ends:
-        if len(a) > 1:
-            a = np.sort(a)
-            ideal = 360 / len(a)
-            off.append(abs(ideal - min(float(np.diff(a).min()), a[0] + 360 - a[-1])) / ideal)
-    out["angular_resolution"] = 1 - float(np.mean(off)) if off else None
+    node, e = np.concatenate((us, vs)), np.concatenate((d[last - parts + 1], -d[last]))
+    turn = np.degrees(np.arctan2(e[:, 1], e[:, 0]))
+    by = np.lexsort((turn, node))
+    node, turn = node[by], turn[by]
+    begins = np.flatnonzero(np.diff(node, prepend=-1))
+    fan = np.diff(np.append(begins, len(node)))
+    step = np.diff(turn, append=0.0)
+    step[begins + fan - 1] = turn[begins] + 360 - turn[begins + fan - 1]  # round to the first
+    least, ideal = np.minimum.reduceat(step, begins), 360 / fan
+    out["angular_resolution"] = 1 - float((np.abs(ideal - least) / ideal)[fan > 1].mean()) if (fan > 1).any() else None
     c, angles = _crossings(seg, edge, us, vs)
     most = m * (m - 1) / 2 - float((deg * (deg - 1)).sum()) / 2
     out["edge_crossings"] = max(0.0, 1 - c / most) if most > 0 else 1.0
@@ -145,10 +148,10 @@ def score(n: int, us: np.ndarray, vs: np.ndarray, xy: np.ndarray, lines: dict[in
     else:
         out["gabriel_ratio_nodes"] = 1.0
     l2 = (d * d).sum(axis=1)
-    t = np.clip(((xy[None] - seg[:, None, :2]) * d[:, None]).sum(axis=2) / np.where(l2 > 0, l2, 1)[:, None], 0, 1)
-    far = np.hypot(*(xy[None] - seg[:, None, :2] - t[..., None] * d[:, None]).transpose(2, 0, 1))
-    hit = np.zeros(m, bool)
-    np.logical_or.at(hit, edge, ((far < diag * 7.5 / 1000) & other[edge]).any(axis=1))
+    along = (xy[None, :, 0] - seg[:, None, 0]) * d[:, None, 0] + (xy[None, :, 1] - seg[:, None, 1]) * d[:, None, 1]
+    t = np.clip(along / np.where(l2 > 0, l2, 1)[:, None], 0, 1)
+    far2 = (xy[None, :, 0] - seg[:, None, 0] - t * d[:, None, 0]) ** 2 + (xy[None, :, 1] - seg[:, None, 1] - t * d[:, None, 1]) ** 2
+    hit = np.bincount(edge, ((far2 < (diag * 7.5 / 1000) ** 2) & other[edge]).any(axis=1), m) > 0
     out["node_edge_occlusion"] = 1 - float(hit.mean())
     adj = kernels.adjacency(n, us, vs)
     order = np.lexsort((np.broadcast_to(np.arange(n), (n, n)), np.round(np.where(np.eye(n, dtype=bool), np.inf, gap), 9)), axis=1)

@@ -94,8 +94,10 @@ def unpack(packed: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df over all shuffle partitions. Rows that are small but dear to work on would else be coalesced by their bytes."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """df over the shuffle partitions, or three for each core if these are more. Rows that are small but dear to work on would
+    else be coalesced by their bytes, and a core that meets the larger graphs would end last."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
 
 
 def per_graph(packed: DataFrame, kernel: Callable[..., dict], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -74,7 +74,7 @@ def laid_out_and_scored(packed: DataFrame, names: list[str], root: int = 1, done
             tasks = tasks.filter((F.col("layout") != layout) | F.col(flag))
     if done is not None:
         tasks = tasks.join(done.select("graph_id", "layout").distinct(), ["graph_id", "layout"], "left_anti")
-    tasks = spread(tasks.select("graph_id", "layout", "n", "us", "vs"), "graph_id", "layout")
+    tasks = spread(tasks.select("graph_id", "layout", "n", "us", "vs"), "graph_id")
     schema = T.StructType([tasks.schema["graph_id"], tasks.schema["layout"], T.StructField("outcome", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in scores.NAMES), *(T.StructField(c, T.BooleanType()) for c in scores.FLAGS)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
