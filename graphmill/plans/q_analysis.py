@@ -97,12 +97,12 @@ def unpivot_components(spark, sf):  # noqa: ANN001, ANN201
 PROPS, SCORES = ["n_nodes", "density", "transitivity", "degree_assortativity", "diameter"], ["kruskal_stress", "node_uniformity", "quality"]
 
 
-def _spearman() -> str:
+def _spearman(props: list[str], scores: list[str]) -> str:
     parts = []
-    for p in PROPS:
-        for m in SCORES:
+    for p in props:
+        for m in scores:
             parts.append(f"SELECT '{p}' AS x, '{m}' AS y, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM (SELECT rank() OVER (ORDER BY {p}) + (count(*) OVER (PARTITION BY {p}) - 1) / 2.0 AS rx, rank() OVER (ORDER BY {m}) + (count(*) OVER (PARTITION BY {m}) - 1) / 2.0 AS ry FROM pm WHERE {p} IS NOT NULL AND {m} IS NOT NULL) HAVING count(*) >= 30")
-    return f"WITH {CLEAN}, {FIRST_SQL}, pm AS (SELECT {', '.join(f'{_num(f'g.{p}::DOUBLE')} AS {p}' for p in PROPS)}, {', '.join(f'e.{m}' for m in SCORES)} FROM (SELECT graph_id, {', '.join(f'round(avg({m}), {FINE}) AS {m}' for m in SCORES)} FROM q GROUP BY 1) e JOIN graphs g ON e.graph_id = g.graph_id) " + " UNION ALL ".join(parts)
+    return f"WITH {CLEAN}, {FIRST_SQL}, pm AS MATERIALIZED (SELECT {', '.join(f'{_num(f'g.{p}::DOUBLE')} AS {p}' for p in props)}, {', '.join(f'e.{m}' for m in scores)} FROM (SELECT graph_id, {', '.join(f'round(avg({m}), {FINE}) AS {m}' for m in scores)} FROM q GROUP BY 1) e JOIN graphs g ON e.graph_id = g.graph_id) " + " UNION ALL ".join(parts)
 
 
 def _means(spark: SparkSession, sf: str, props: list[str], scores: list[str]) -> DataFrame:
@@ -110,14 +110,17 @@ def _means(spark: SparkSession, sf: str, props: list[str], scores: list[str]) ->
     return means.join(graphs(spark, sf).select("graph_id", *(number(F.col(p).cast("double")).alias(p) for p in props)), "graph_id")
 
 
-@query(_spearman())
+@query(_spearman(PROPS, SCORES))
 def spearman_property_metric(spark, sf):  # noqa: ANN001, ANN201
     return rounded(analysis.spearman(_means(spark, sf, PROPS, SCORES), PROPS, SCORES), "x", "y", "n")
 
 
-@query()
+EVERY = [*Q, "quality", "empirical_quality"]
+
+
+@query(_spearman(analysis.PROPERTIES, EVERY))
 def spearman_all_properties(spark, sf):  # noqa: ANN001, ANN201
-    return analysis.spearman(_means(spark, sf, analysis.PROPERTIES, [*Q, "quality", "empirical_quality"]), analysis.PROPERTIES, [*Q, "quality", "empirical_quality"])
+    return rounded(analysis.spearman(_means(spark, sf, analysis.PROPERTIES, EVERY), analysis.PROPERTIES, EVERY), "x", "y", "n")
 
 
 LAYOUTS = ["circular", "random", "spectral", "FMMM", "HOLA"]

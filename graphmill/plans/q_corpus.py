@@ -106,7 +106,7 @@ def cohort_bounds(spark, sf):  # noqa: ANN001, ANN201
   SELECT source, reason, n, r FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, reason) AS r FROM c WHERE reason IS NOT NULL) WHERE r <= 3""")
 def top_reasons(spark, sf):  # noqa: ANN001, ANN201
     counts = judged(spark, sf).filter("reason IS NOT NULL").groupBy("source", "reason").agg(F.count("*").alias("n"))
-    return counts.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "reason"))).filter("r <= 3")
+    return counts.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "reason"))).filter("r <= 3").withColumn("r", F.col("r").cast("long"))
 
 
 @query(f"""{WITH_R}, {JUDGED.replace('LO_RULE', '8')} SELECT source, graph_id FROM (SELECT source, graph_id, row_number() OVER (PARTITION BY source ORDER BY graph_id) AS r FROM judged WHERE {REASON} IS NULL) WHERE r <= 20""")

@@ -98,10 +98,10 @@ def cluster_boundaries(spark, sf):  # noqa: ANN001, ANN201
 
     counts = table(spark, sf, "metrics").groupBy("layout", "run_day").agg(F.count("*").alias("n"))
     ordered = counts.withColumn("k", F.row_number().over(Window.orderBy("run_day", F.desc("n"), "layout")))  # a row for each layout and day
-    return flows.boundaries(ordered, "k", "run_day").select("k", "layout", "run_day", "new")
+    return flows.boundaries(ordered, "k", "run_day").select(F.col("k").cast("long").alias("k"), "layout", "run_day", "new")
 
 
-@query("""SELECT event_type, sum(c) AS n, max(k) AS most FROM (SELECT event_type, 1 AS c, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1""")
+@query("""SELECT event_type, count(*) AS n, max(k) AS most FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1""")
 def json_params(spark, sf):  # noqa: ANN001, ANN201
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max(k).alias("most"))
