@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..scale import is_small, salted_join
 from ..session import materialize
-from .lookalike import LIMIT, canonical_array, slices, to_points
+from .lookalike import LIMIT, NO_LATIN, canonical_array, slices, to_points
 
 #: Words in a row that make a leak.
 WORDS = 10
@@ -43,12 +43,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 @functools.cache
 def _letters() -> np.ndarray:
-    """By code point: 0 for what stands between words, else a number shared by both cases of a letter."""
+    """By code point: 0 for what stands between words, else a number shared by both cases of a letter. A small letter whose
+    capital is taken for one of another alphabet (pi, by its capital) shares that one's number, as case doesn't matter."""
     out = np.zeros(LIMIT, np.uint64)
+    other = {a.lower(): b.lower() for a, b in zip(*NO_LATIN, strict=True)}
     for c in (*range(0xD800), *range(0xE000, 0x32000)):
         ch = chr(c)
         if ch.isalnum():
-            low = ch.lower()
+            low = other.get(ch.lower(), ch.lower())
             out[c] = ord(low) if len(low) == 1 else c
     return np.where(out > 0, mixed(out + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1), np.uint64(0))
 

@@ -29,7 +29,9 @@ CYRILLIC = ("АВЕЅІЈКМНОРСТХҮԌԚԜаеорсухѕіјѵһԁԛԝ
 ARMENIAN = ("ՏՍՕհոսօցզ", "SUOhnuogq")
 CHEROKEE = ("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏚᎢᏙᏔᏃ", "ABCDEHJKLMPSTVWZ")
 IPA = ("ɡɑ", "ga")
-HOMOGLYPHS = {ord(a): ord(b) for x, y in (GREEK, CYRILLIC, ARMENIAN, CHEROKEE, IPA) for a, b in zip(x, y, strict=True)}
+# Letters of other alphabets and blocks that are drawn like each other but like no Latin letter, then the Cyrillic one.
+NO_LATIN = ("ΓΠΦΨᎱⲄⲠⲪⲮᴦᴨᴫ", "ГПФѰГГПФѰгпл")
+HOMOGLYPHS = {ord(a): ord(b) for x, y in (GREEK, CYRILLIC, ARMENIAN, CHEROKEE, IPA, NO_LATIN) for a, b in zip(x, y, strict=True)}
 
 # Code points without a look that are not of the category Cf, as ranges.
 UNSEEN = ((0x00, 0x08), (0x0E, 0x1F), (0x7F, 0x84), (0x86, 0x9F), (0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180D), (0x180F, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF))

@@ -70,6 +70,20 @@ def test_pairs(spark, monkeypatch):
     assert [r.canonical for r in lookalike.canonical_text(df.filter("doc_id IN (3, 5, 7)"), keep=["doc_id"]).distinct().orderBy("doc_id").collect()] == ["abc", None, ""]
 
 
+def test_alike_without_a_latin_twin(spark):
+    for a, b in [("Π", "П"), ("Γ", "Г"), ("Φ", "Ф"), ("Ψ", "Ѱ"), ("Ꮁ", "Г"), ("Ⲡ", "П"), ("ᴨ", "п"), ("Γ\u0301", "Ѓ")]:
+        assert one(a) == one(b), (a, b)
+    for a, b in [("Π", "π"), ("π", "п"), ("Л", "Λ"), ("Π", "Γ")]:
+        assert one(a) != one(b), (a, b)
+    df = spark.createDataFrame([(1, "После запуска"), (2, "Πосле запуска"), (3, "после запуска")], "doc_id long, text string")
+    assert list(map(tuple, lookalike.lookalike_pairs(df).collect())) == [(1, 2)]
+    # Words ignore case too, in either alphabet and across both.
+    words = [leaks.words_of(pa.array([t]))[0].tolist() for t in ("После Фото Где", "Πосле Φото Γде", "после фото где")]
+    assert words[0] == words[1] == words[2]
+    words = [leaks.words_of(pa.array([t]))[0].tolist() for t in ("Προς φορ γης ψ", "προς Φορ Γης Ψ")]
+    assert words[0] == words[1]
+
+
 def runs_of(words, n=10):
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
