@@ -334,20 +334,29 @@ def baur_brandes(n, us, vs, seed=0, rounds: int = 10):  # noqa: ANN001, ANN201
         cost = [sum(order.index(y) for y in near[x] if y in order), sum(len(order) - 1 - order.index(y) for y in near[x] if y in order)]
         order.insert(0 if cost[0] < cost[1] else len(order), x)
 
-    def crossings(seq: list[int], x: int) -> int:
-        at = {y: i for i, y in enumerate(seq)}
-        px, own, total = at[x], {at[y] for y in near[x]}, 0
-        for a, b in zip(us.tolist(), vs.tolist(), strict=True):
-            if x not in (a, b):
-                p, q = sorted(((at[a] - px) % n, (at[b] - px) % n))
-                total += sum(p < (o - px) % n < q for o in own)
-        return total
+    us, vs = us[us != vs], vs[us != vs]
+
+    def costs(rest: list[int], x: int) -> np.ndarray:
+        """Crossings of x's edges by the place in rest where x is put: a chord that x leaves on one side is crossed by the
+        edges to its other side."""
+        at = np.empty(n, np.int64)
+        at[rest] = np.arange(n - 1)
+        own = np.zeros(n, np.int64)
+        own[at[[y for y in near[x] if y != x]]] = 1
+        before = np.concatenate(([0], np.cumsum(own)))
+        others = (us != x) & (vs != x)
+        p, q = np.minimum(at[us[others]], at[vs[others]]), np.maximum(at[us[others]], at[vs[others]])
+        inside = before[q] - before[p + 1]
+        turned = own.sum() - own[p] - own[q] - 2 * inside
+        step = np.bincount(p + 1, turned, n + 1) - np.bincount(q + 1, turned, n + 1)
+        return inside.sum() + np.cumsum(step)[:n].astype(np.int64)
 
     for _ in range(rounds if n <= 40 else 1):
         before = list(order)
         for x in list(order):
             rest = [y for y in order if y != x]
-            order = min((rest[:i] + [x] + rest[i:] for i in range(n)), key=lambda s: (crossings(s, x), s.index(x)))
+            i = int(costs(rest, x).argmin())
+            order = [*rest[:i], x, *rest[i:]]
         if order == before:
             break
     xy = np.empty((n, 2))

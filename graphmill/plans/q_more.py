@@ -136,13 +136,15 @@ def property_timings(spark, sf):  # noqa: ANN001, ANN201
 def layout_baur_brandes(spark, sf):  # noqa: ANN001, ANN201
     from ..operators.scoring import laid_out_and_scored
 
-    return laid_out_and_scored(graphs_packed(spark), ["baur-brandes", "circular", "planar", "sugiyama", "kamada-kawai", "forceatlas2", "fruchterman-reingold"])
+    return laid_out_and_scored(graphs_packed(spark, sf), ["baur-brandes", "circular", "planar", "sugiyama", "kamada-kawai", "forceatlas2", "fruchterman-reingold"])
 
 
-def graphs_packed(spark):  # noqa: ANN001, ANN201
+def graphs_packed(spark, sf):  # noqa: ANN001, ANN201
+    """Every graph of the tables and of the calibration catalogue."""
     from ..operators import generate
 
-    return generate.calibration(spark).filter("n <= 30").select("graph_id", "n", "us", "vs")
+    own = corpus.pack(edges(spark, sf)).withColumn("graph_id", F.col("graph_id").cast("string"))
+    return own.unionByName(generate.calibration(spark).select("graph_id", "n", "us", "vs"))
 
 
 @query()
@@ -150,6 +152,6 @@ def drawings_svg(spark, sf):  # noqa: ANN001, ANN201
     from ..operators.scoring import laid_out
     from ..sources.sinks import svg
 
-    drawn = laid_out(graphs_packed(spark), ["circular", "stress-majorization"])
+    drawn = laid_out(graphs_packed(spark, sf), ["circular", "stress-majorization"])
     points = F.transform(F.arrays_zip("xs", "ys"), lambda p: F.struct(p["xs"].alias("x"), p["ys"].alias("y")))
     return drawn.select("graph_id", "layout", "outcome", svg(points, F.col("paths")).alias("svg"))
