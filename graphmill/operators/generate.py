@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,14 @@ from pyspark.sql import types as T
 
 from ..functions import generators, kernels
 from ..seeds import seed
+from ..session import materialize
 from .corpus import DENSITY_REST, DENSITY_STEPS, FLOOR, N_MAX
 
 DRAWN = T.StructType([T.StructField("draw", T.LongType()), T.StructField("generator", T.StringType()), T.StructField("seed", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("us", T.ArrayType(T.IntegerType())), T.StructField("vs", T.ArrayType(T.IntegerType())), T.StructField("valid", T.BooleanType())])
 
+#: Draws in a row without a new graph at which drawing ends: the reference's 50 retries of a graph, 100 graphs in a row.
+FRUITLESS = 50 * 100
+
 
 def is_valid(n: int, us: np.ndarray, vs: np.ndarray, n_min: int, n_max: int) -> bool:
     """The corpus filters on one graph."""
@@ -37,8 +42,8 @@ def draw(root: int, number: int, n_min: int, n_max: int, families: list[str] | N
     return name, own, fit[name].make(np.random.default_rng(own), n)
 
 
-def draws(spark: SparkSession, count: int, root: int = 1, n_min: int = FLOOR, n_max: int = N_MAX, families: list[str] | None = None, tasks: int | None = None) -> DataFrame:
-    """(draw, generator, seed, n, us, vs, valid) for draws 0 .. count - 1."""
+def draws(spark: SparkSession, count: int, root: int = 1, n_min: int = FLOOR, n_max: int = N_MAX, families: list[str] | None = None, tasks: int | None = None, start: int = 0) -> DataFrame:
+    """(draw, generator, seed, n, us, vs, valid) for draws start .. count - 1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -48,17 +53,29 @@ def draws(spark: SparkSession, count: int, root: int = 1, n_min: int = FLOOR, n_
                 rows.append((k, name, own, n, us.astype(np.int32), vs.astype(np.int32), bool(name) and is_valid(n, us, vs, n_min, n_max)))
             yield pd.DataFrame(rows, columns=DRAWN.names)
 
-    return spark.range(0, count, 1, tasks or spark.sparkContext.defaultParallelism * 2).mapInPandas(run, DRAWN)
+    return spark.range(start, count, 1, tasks or spark.sparkContext.defaultParallelism * 2).mapInPandas(run, DRAWN)
 
 
 def generated(spark: SparkSession, count: int, root: int = 1, n_min: int = FLOOR, n_max: int = N_MAX, families: list[str] | None = None, oversample: float = 2.5) -> DataFrame:
     """(graph_id, generator, seed, n, us, vs): the first count valid draws with different ids, by number. Neither
-    partitions nor an earlier run change them. Fewer come out if oversample * count draws don't suffice."""
+    partitions nor an earlier run change them. oversample * count numbers are drawn, then further blocks until there are
+    count graphs; if FRUITLESS draws in a row give no new one, fewer come out, with a warning."""
     from pyspark.sql import Window
 
-    ok = draws(spark, int(count * oversample) + 20, root, n_min, n_max, families).filter("valid")
     name = F.format_string("%s_n%03d_m%04d_s%d.graphml", "generator", "n", F.size("us"), "seed")
-    first = ok.withColumn("graph_id", name).withColumn("r", F.row_number().over(Window.partitionBy("graph_id").orderBy("draw"))).filter("r = 1").drop("r")
+    found, have, start, end, idle = None, 0, 0, int(count * oversample) + 20, 0
+    while have < count and idle < FRUITLESS:
+        block = materialize(draws(spark, end, root, n_min, n_max, families, start=start).filter("valid").withColumn("graph_id", name))
+        found, before = block if found is None else found.unionByName(block), have
+        have = found.select("graph_id").distinct().count()
+        idle = idle + end - start if have == before else 0
+        lacking = int((count - have) * 1.2 * end / have) if have else FRUITLESS
+        start, end = end, end + min(max(lacking, 200), max(4 * end, FRUITLESS))
+    if found is None:
+        found = draws(spark, 0, root, n_min, n_max, families).withColumn("graph_id", name)
+    if have < count:
+        warnings.warn(f"{have} of {count} graphs generated: the last {idle} of {start} draws gave no new one", stacklevel=2)
+    first = found.withColumn("r", F.row_number().over(Window.partitionBy("graph_id").orderBy("draw"))).filter("r = 1").drop("r")
     return first.orderBy("draw").limit(count).select("graph_id", "generator", "seed", "n", "us", "vs")
 
 
