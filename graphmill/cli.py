@@ -67,8 +67,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         from .sources import readers, sinks
 
-        with open(a.page, "w") as f:
-            f.write(sinks.index_page(readers.list_drawings(spark, a.drawings)))
+        print("listed", sinks.write_index(readers.list_drawings(spark, a.drawings), a.page))
     return 0
 
 

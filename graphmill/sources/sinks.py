@@ -7,12 +7,17 @@ import html
 import json
 import time
 from collections.abc import Callable
+from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import CATEGORIES, NESTED
 
+#: Columns by which the HTML index filters drawings.
+FILTERS = ("layout", "category", "source")
+
 
 def checked(manifest: DataFrame) -> DataFrame:
     """manifest; a row of unknown category, or without a source where its category needs one, fails the job when it is read."""
@@ -114,14 +119,55 @@ def svg(nodes: Column, edges: Column, radius: float = 7.5) -> Column:
     return F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="-520 -520 1040 1040">'), lines, dots, F.lit("</svg>"))
 
 
-def index_page(drawings: DataFrame, most: int = 10_000) -> str:
-    """An HTML page that lists drawings (layout, category, source, name, path) and filters them by these; at most so many."""
-    rows = [r.asDict() for r in drawings.select("layout", "category", "source", "name", "path").orderBy("layout", "category", "source", "name").limit(most).collect()]
+def _listed(drawings: DataFrame) -> DataFrame:
+    """The columns of the index, in its order."""
+    filters = (F.coalesce(c, F.lit("(none)")).alias(c) for c in FILTERS)
+    return drawings.select(*filters, "name", "path").orderBy(*FILTERS, "name", "path")
+
+
+def _page(choices: dict[str, list[str]], rows: list[dict], files: list[str]) -> str:
     data = json.dumps(rows).replace("</", "<\\/")
-    pick = "".join(f'<select id="{c}"><option value="">{c}</option>' + "".join(f"<option>{html.escape(v)}</option>" for v in sorted({str(r[c]) for r in rows})) + "</select>" for c in ("layout", "category", "source"))
+    pick = "".join(f'<select id="{c}"><option value="">{c}</option>' + "".join(f"<option>{html.escape(v)}</option>" for v in choices[c]) + "</select>" for c in FILTERS)
+    rest = "".join(f'\n<script src="{html.escape(quote(f))}"></script>' for f in files)
     return f"""<!doctype html><meta charset="utf-8"><title>drawings</title>{pick}<input id="text" placeholder="id"><ul id="list"></ul><script>
 const all = {data}, on = id => document.getElementById(id);
 function show() {{ on("list").replaceChildren(...all.filter(d => ["layout", "category", "source"].every(c => !on(c).value || String(d[c]) === on(c).value) && d.name.includes(on("text").value)).map(d => {{ const li = document.createElement("li"), a = document.createElement("a"); a.href = d.path; a.textContent = d.layout + " / " + d.name; li.append(a); return li; }})); }}
 for (const id of ["layout", "category", "source", "text"]) on(id).addEventListener("input", show);
-show();
-</script>"""
+</script>{rest}<script>show();</script>"""
+
+
+def index_page(drawings: DataFrame) -> str:
+    """An HTML page that lists all drawings (layout, category, source, name, path) and filters them by these."""
+    rows = [r.asDict() for r in _listed(drawings).collect()]
+    return _page({c: sorted({r[c] for r in rows}) for c in FILTERS}, rows, [])
+
+
+def write_index(drawings: DataFrame, page: str, most: int = 10_000) -> int:
+    """Write the index of all drawings to the file page, and return their number. Rows beyond the first most go to files of
+    most rows each in a folder beside the page, which loads them; the driver never holds more than one partition of them."""
+    at = Path(page)
+    folder = at.with_name(f"{at.stem}_data")
+    seen: dict[str, set[str]] = {c: set() for c in FILTERS}
+    first: list[dict] = []
+    files: list[str] = []
+    part: list[dict] = []
+    n = 0
+
+    def put() -> None:
+        folder.mkdir(exist_ok=True)
+        name = f"{len(files) + 1:05d}.js"
+        (folder / name).write_text(f"all.push(...{json.dumps(part)});\n", encoding="utf-8")
+        files.append(f"{folder.name}/{name}")
+        part.clear()
+
+    for r in _listed(drawings).toLocalIterator():
+        n += 1
+        for c in FILTERS:
+            seen[c].add(r[c])
+        (first if n <= most else part).append(r.asDict())
+        if len(part) == most:
+            put()
+    if part:
+        put()
+    at.write_text(_page({c: sorted(seen[c]) for c in FILTERS}, first, files), encoding="utf-8")
+    return n
