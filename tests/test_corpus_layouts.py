@@ -56,3 +56,9 @@ def test_sifting_equals_counting_every_place(seed):
     c = np.sort(r.choice(len(i), int(r.integers(1, len(i) + 1)), replace=False))
     us, vs = i[c].astype(np.int64), j[c].astype(np.int64)
     assert order_of(n, us, vs, 1) == sifted(order_of(n, us, vs, 0), n, us.tolist(), vs.tolist())
+
+
+def test_large_graphs_are_sifted_as_often():
+    n, us, vs = dict(generators.calibration())["grid_7x7"]
+    count = lambda rounds: sum(crossings(order_of(n, us, vs, rounds), x, n, us.tolist(), vs.tolist()) for x in range(n))
+    assert n > 40 and count(10) < count(1)
