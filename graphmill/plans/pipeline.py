@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import layouts
-from ..operators import corpus, generate, properties, scoring, tables
+from ..operators import corpus, generate, isomorphism, properties, scoring, tables
 from ..sources import readers, registry
 from ..sources.sinks import Versioned
 
 ORDER = ("generate", "stage", "sample", "dedup", "layout", "metrics")
+DEDUP = ("properties", "wl_vf2")
 STAGES: dict[str, Callable[[Context], None]] = {}
 
 
@@ -38,6 +39,7 @@ class Config:
     sources: tuple[str, ...] = ()
     max_graphs: int = 0
     sample_cap: int = 2500
+    dedup: str = "properties"
     layouts: tuple[str, ...] = ("circular", "random", "spectral", "stress-majorization")
     exclude_layouts: tuple[str, ...] = ()
 
@@ -49,6 +51,8 @@ class Config:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
         if "out" not in values:
             raise ValueError("missing setting: out")
+        if values.get("dedup", "properties") not in DEDUP:
+            raise ValueError(f"dedup is one of {DEDUP}")
         return Config(**{k: tuple(expand(x) for x in v) if isinstance(v, (list, tuple)) else expand(v) for k, v in values.items()})  # type: ignore[arg-type]
 
 
@@ -165,11 +169,15 @@ def run_sample(c: Context) -> None:
 
 @register("dedup")
 def run_dedup(c: Context) -> None:
-    """Graphs of equal invariants (floats to six places) are one; the audit is appended before the manifest is replaced."""
+    """Graphs of equal invariants (floats to six places) are one, in mode wl_vf2 only isomorphic ones; the audit is appended
+    before the manifest is replaced."""
     whole = c.table("manifest").read()
     kinds = dict(whole.dtypes)
-    keys = {f"k_{n}": F.bround(n, 6) if kinds[n] == "double" else F.col(n) for n in properties.NAMES}
-    df = whole.select("graph_id", "source", "category", "generator", *(e.alias(k) for k, e in keys.items()))
+    if c.config.dedup not in DEDUP:
+        raise ValueError(f"dedup is one of {DEDUP}")
+    keys = {f"k_{n}": F.bround(n, 6) if kinds[n] == "double" else F.col(n) for n in properties.NAMES} if c.config.dedup == "properties" else {"k_class": F.coalesce("class_id", "graph_id")}
+    source = whole if c.config.dedup == "properties" else whole.join(isomorphism.isomorphism_classes(whole.select("graph_id", "n", "us", "vs")), "graph_id", "left")
+    df = source.select("graph_id", "source", "category", "generator", *(e.alias(k) for k, e in keys.items()))
     df = df.withColumn("tier", tables.tier(F.col("category"), F.col("generator"), F.col("source")))
     sizes = df.groupBy("source").agg(F.count("*").alias("source_size"))
     df = df.join(sizes, "source", "left").fillna(0, ["source_size"])
