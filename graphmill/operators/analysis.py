@@ -157,9 +157,14 @@ def representatives(found: list[tuple[str, int, int]], preferred: tuple[str, ...
     return out
 
 
+#: Values of a column that shapley_r2 takes one-hot.
+MOST_LAYOUTS = 1000
+
+
 def shapley_r2(df: DataFrame, target: str, groups: dict[str, list[str]], layout: str | None = None, seed: int = 7) -> list[tuple[str, float]]:
     """(group, share) of the R2 that a linear fit of target on groups of columns has, by exact Shapley values over all
-    subsets of groups (at most 8), and "residual" = 1 - R2. With layout, the column's values make a group, one-hot.
+    subsets of groups (at most 8), and "residual" = 1 - R2. With layout, the column's values (at most MOST_LAYOUTS, more are
+    an error) make a group, one-hot.
 
     One pass gathers the sums of products of all columns; every subset's fit is then solved from that matrix.
     """
@@ -170,7 +175,9 @@ def shapley_r2(df: DataFrame, target: str, groups: dict[str, list[str]], layout:
         raise ValueError("at most 8 groups")
     groups = dict(groups)
     if layout:
-        values = sorted(r[0] for r in df.select(layout).filter(F.col(layout).isNotNull()).distinct().limit(1000).collect())
+        values = sorted(r[0] for r in df.select(layout).filter(F.col(layout).isNotNull()).distinct().limit(MOST_LAYOUTS + 1).collect())
+        if len(values) > MOST_LAYOUTS:
+            raise ValueError(f"more than {MOST_LAYOUTS} values of {layout}")
         names = []
         for i, v in enumerate(values):
             df = df.withColumn(f"__l{i}", F.when(F.col(layout) == v, 1.0).otherwise(0.0))
