@@ -57,4 +57,6 @@ def connected_groups(df: DataFrame, a: str, b: str) -> DataFrame:
         named.append(materialize(skew_join(leavers, above, ["p"], "left").select("u", F.coalesce("g", "p").alias("g"))))
     out = reduce(DataFrame.unionByName, named)
     roots = out.select("g").distinct().select(F.col("g").alias("u"), "g")
-    return out.unionByName(roots).select(F.col("g").alias("group_id"), F.col("u").alias("id"))
+    out = materialize(out.unionByName(roots).select(F.col("g").alias("group_id"), F.col("u").alias("id")))
+    release(*forest, *named)
+    return out

@@ -7,6 +7,15 @@ bits, by a Count-sketch (DEPTH rows of WIDTH signed counters) for more. Sketches
 negative weight deletes. A rank is inverted from the top: at each level the estimated count of the left half
 tells which half has it.
 
+The sizes follow from the error. A rank is off by no more than the errors of the LEVELS estimates on its way down, so
+each may be off by t = RANK_ERROR / LEVELS of the n values. Take a row of WIDTH = 8 / t counters. The WIDTH / 16
+heaviest other nodes share the estimated one's counter with a probability of at most 1/16. The squares of the rest
+add up to at most n^2 / (4 * WIDTH / 16), whatever the values, so by Chebyshev their part is beyond t * n with at most
+another 1/16; signs are symmetric, so either side has half of the 1/8. The median of DEPTH rows is beyond on a side
+only if (DEPTH + 1) / 2 rows are, which has a probability of at most C(DEPTH, (DEPTH + 1) / 2) * 16^-((DEPTH + 1) / 2);
+both sides of all levels together stay below FAILURE. This takes the hash for random and holds for any values, ties
+included; real errors are far smaller.
+
 On their way between tasks, the counts of a group of few different codes travel as pairs of code and weight,
 which is the shorter form of the same sketch; answers always come from the counters.
 """
@@ -15,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -26,18 +36,25 @@ from pyspark.sql import types as T
 
 from .leaks import mixed
 
+#: A percentile's rank is off by no more than RANK_ERROR of the rows with a probability of 1 - FAILURE at least, its value by
+#: less than 2**-MANTISSA of its size.
+RANK_ERROR, FAILURE = 0.01, 1e-3
 MANTISSA = 14
 BITS = 12 + MANTISSA
-EXACT = 11
+EXACT = 16
 LEVELS = BITS - EXACT
-DEPTH, WIDTH = 5, 512
-#: Ranks are off by no more than this share of the rows (measured: see README), values by 2**-MANTISSA of their size.
-RANK_ERROR = 0.01
-#: Different codes up to which a group travels as pairs; buffered numbers and open sketches at which a task sends off what it has.
-PAIRS, BUFFER, OPEN = 16_384, 4_000_000, 64
+WIDTH = 1 << (int(8 * LEVELS / RANK_ERROR) - 1).bit_length()
+DEPTH = next(d for d in range(1, 99, 2) if 2 * LEVELS * comb(d, (d + 1) // 2) * 16.0 ** -((d + 1) // 2) <= FAILURE)
+#: Different codes up to which a group travels as pairs (12 bytes each; counters take 4 MB); buffered numbers and open sketches of
+#: counters (8 MB each) at which a task sends off what it has.
+PAIRS, BUFFER, OPEN = 1 << 18, 4_000_000, 12
 #: Tasks' parts of one group are added in so many heaps before the heaps are added.
 HEAPS = 16
-_SEEDS = mixed(np.arange(1, LEVELS * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(LEVELS, DEPTH)
+#: Bytes of states that a task hands on at once.
+STATES = 1 << 24
+#: Rows of counters that one hash of 64 bits serves: their number, a bit for the sign and the bits of a place each.
+ROWS = 64 // (WIDTH.bit_length())
+_SEEDS = mixed(np.arange(1, LEVELS * -(-DEPTH // ROWS) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(LEVELS, -1)
 
 
 def encode(x: np.ndarray) -> np.ndarray:
@@ -53,9 +70,14 @@ def decode(codes: np.ndarray) -> np.ndarray:
     return np.where(key < 0, key ^ np.int64(-(2**63)), ~key).view(np.float64)
 
 
-def _slots(nodes: np.ndarray, level: int, row: int) -> tuple[np.ndarray, np.ndarray]:
-    z = mixed(nodes.astype(np.uint64) + _SEEDS[level, row])
-    return (z >> np.uint64(40)).astype(np.int64) % WIDTH, 1 - 2 * (z & np.uint64(1)).astype(np.int64)
+def _slots(nodes: np.ndarray, level: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row: its number, the nodes' counters in it and their signs."""
+    step = WIDTH.bit_length()
+    for row in range(DEPTH):
+        if row % ROWS == 0:
+            z = mixed(nodes.astype(np.uint64) + _SEEDS[level, row // ROWS])
+        part = z >> np.uint64(step * (row % ROWS))
+        yield row, (part & np.uint64(WIDTH - 1)).astype(np.int64), 1 - 2 * ((part >> np.uint64(step - 1)) & np.uint64(1)).astype(np.int64)
 
 
 class Sketch:
@@ -90,9 +112,11 @@ class Sketch:
                 codes, weights = self.codes[0], self.weights[0]
                 self.exact += np.bincount(codes >> np.uint32(LEVELS), weights, 1 << EXACT).astype(np.int64)
                 for level in range(LEVELS):
-                    for row in range(DEPTH):
-                        at, sign = _slots(codes >> np.uint32(level), level, row)
+                    for row, at, sign in _slots(codes, level):
                         self.signed[level, row] += np.bincount(at, sign * weights, WIDTH).astype(np.int64)
+                    codes = codes >> np.uint32(1)  # in order, so the nodes of the next level are runs
+                    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+                    codes, weights = codes[first], np.add.reduceat(weights, first)
             self.codes, self.weights, self.pending = [], [], 0
 
     def merge(self, state: bytes) -> None:
@@ -129,10 +153,7 @@ class Sketch:
         node = int(np.searchsorted(below, rank, "right"))
         rest, count = rank - int(below[node] - self.exact[node]), int(self.exact[node])
         for level in range(LEVELS - 1, -1, -1):
-            guess = []
-            for row in range(DEPTH):
-                at, sign = _slots(np.array([2 * node]), level, row)
-                guess.append(int(sign[0] * self.signed[level, row, at[0]]))
+            guess = [int(sign[0] * self.signed[level, row, at[0]]) for row, at, sign in _slots(np.array([2 * node]), level)]
             left = min(count, max(0, int(np.median(guess))))
             node, rest, count = (2 * node, rest, left) if rest < left else (2 * node + 1, rest - left, count - left)
         return float(decode(np.array([node]))[0])
@@ -203,7 +224,7 @@ def _added(parts: DataFrame, by: list[str]) -> DataFrame:
     n = len(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sketch, rows, types = None, None, [], None
+        at, sketch, rows, types, size = None, None, [], None, 0
 
         def done() -> pa.RecordBatch:
             cols = [pa.array([r[0][i] for r in rows], types[i]) for i in range(n)]
@@ -216,11 +237,12 @@ def _added(parts: DataFrame, by: list[str]) -> DataFrame:
                 if key != at or sketch is None:
                     if sketch is not None:
                         rows.append((at, sketch.state()))
+                        size += len(rows[-1][1])
                     at, sketch = key, Sketch()
+                    if size > STATES:
+                        yield done()
+                        rows, size = [], 0
                 sketch.merge(state.as_py())
-            if len(rows) >= 64:
-                yield done()
-                rows = []
         if sketch is not None:
             rows.append((at, sketch.state()))
             yield done()
@@ -236,9 +258,9 @@ def merged(states: DataFrame, keys: list[str]) -> DataFrame:
 def percentiles(states: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:
     """(keys, measure, n, p<q>...): for each sketch its number of values and its percentiles.
 
-    A percentile is the value at rank floor(q * (n - 1)), counted from 0; its rank is off by at most
-    RANK_ERROR * n (of a group whose values were all deleted: n = 0, nulls), and it is below the value by less
-    than 2**-14 of its size.
+    A percentile is the value at rank floor(q * (n - 1)), counted from 0; each one's rank is off by at most RANK_ERROR * n
+    with a probability of 1 - FAILURE at least, and it is below the value by less than 2**-14 of its size. A group whose
+    values were all deleted has n = 0 and nulls.
     """
     names = [f"p{round(100 * q):02d}" for q in qs]
     schema = _schema(states, keys, T.StructField("n", T.LongType()), *(T.StructField(x, T.DoubleType()) for x in names))
