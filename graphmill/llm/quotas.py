@@ -1,8 +1,9 @@
 """A sample whose shares follow target proportions, allotted down a tree of categories.
 
-The tree is: all rows, their sources, and each source's strata of n_nodes and density (the leaves, one row of
-the targets each). What a leaf cannot fill goes first to its siblings (leaves of the same source) in
-proportion to what they have to spare, then to its cousins. Leaves draw by permuted dense rank.
+The tree is: all rows, their sources, each source's ranges of n_nodes, and each range's densities (the leaves, one row
+of the targets each). What a leaf cannot fill goes first to its siblings (leaves of the same source and range), then
+to its cousins (other ranges of the source), then to all others, each time in proportion to what they have to spare.
+Leaves draw by permuted dense rank.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from ..session import materialize
 ONE_IN = 20
 #: Hexadecimal digits of the permuted order by which a leaf's ranks are cut into pieces.
 PIECE = 3
+#: From the nearest kin of a leaf to the furthest: what they are called, and the columns in which they agree with it.
+KIN = {"siblings": ["__s", "n_lo", "n_hi"], "cousins": ["__s"], "others": []}
 
 
 def memberships(manifest: DataFrame, targets: DataFrame) -> DataFrame:
@@ -38,26 +41,16 @@ def wanted(manifest: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def unmet(manifest: DataFrame, targets: DataFrame) -> DataFrame:
-    """target_id of the targets whose stratum has fewer graphs than they want; a graph counts in each stratum
-    in which it has a row."""
-    return allotted(manifest, targets).filter("available < want").select("target_id")
-
-
-def _passed_on(df: DataFrame, short: Column, spare: Column, within: list[str], out: str) -> DataFrame:
-    """df with out: how much of the missing rows of its window goes to each leaf, in proportion to what leaves can
-    spare, whole numbers by cumulated shares; at most what all can spare."""
-    all_of = Window.partitionBy(*within) if within else Window.partitionBy()
-    upto = all_of.orderBy("__s", "target_id").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("__short", short).withColumn("__spare", spare)
-    df = df.withColumns({"__d": F.sum("__short").over(all_of), "__t": F.sum("__spare").over(all_of), "__c": F.sum("__spare").over(upto)})
-    df = df.withColumn("__d", F.least("__d", "__t"))
-    piece = F.expr("(__c * __d) div __t - ((__c - __spare) * __d) div __t")
-    return df.withColumn(out, F.when(F.col("__t") > 0, piece).otherwise(F.lit(0)).cast("long")).drop("__short", "__spare", "__d", "__t", "__c")
+    """target_id of the leaves that passed on some of what they want, or left it unfilled, because their stratum has fewer
+    graphs; a graph counts in each stratum in which it has a row."""
+    short = " + ".join([*(f"to_{kin}" for kin in KIN), "unfilled"])
+    return allotted(manifest, targets).filter(f"{short} > 0 AND available < want").select("target_id")
 
 
 def allotted(manifest: DataFrame, targets: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """For each target: want; available (graphs with a row in its stratum) and drawable (those of them that no
-    target of smaller id has); own, from_siblings, from_cousins and allotted rows; short = want - own; met.
+    target of smaller id has); own rows; from_* and to_*: rows taken over from, and passed on to, kin of each degree;
+    allotted = own + all from_*; short = want - own = all to_* + unfilled; met (available >= want).
 
     The windows run over the targets, one row each, not over the manifest.
     """
@@ -65,17 +58,19 @@ def allotted(manifest: DataFrame, targets: DataFrame, members: DataFrame | None
     available = members.groupBy("target_id").agg(F.count("*").alias("available"))
     drawable = members.groupBy("graph_id").agg(F.min("target_id").alias("target_id")).groupBy("target_id").agg(F.count("*").alias("drawable"))
     df = wanted(manifest, targets).withColumn("__s", F.coalesce(folded(F.col("source")), F.lit(""))).join(available, "target_id", "left").join(drawable, "target_id", "left").fillna(0, ["available", "drawable"])
-    df = df.withColumn("own", F.least("want", "drawable")).withColumn("short", F.col("want") - F.col("own"))
-    df = _passed_on(df, F.col("short"), F.col("drawable") - F.col("own"), ["__s"], "from_siblings")
-    source = Window.partitionBy("__s")
-    left = F.sum("short").over(source) - F.sum("from_siblings").over(source)
-    first = F.row_number().over(source.orderBy("target_id")) == 1
-    df = df.withColumn("__left", F.when(first, left).otherwise(F.lit(0)))
-    df = _passed_on(df, F.col("__left"), F.col("drawable") - F.col("own") - F.col("from_siblings"), [], "from_cousins")
-    return df.select(
-        "target_id", "source", "want", "available", "drawable", "own", "from_siblings", "from_cousins",
-        (F.col("own") + F.col("from_siblings") + F.col("from_cousins")).alias("allotted"), "short", (F.col("available") >= F.col("want")).alias("met"),
-    )
+    df = df.withColumn("own", F.least("want", "drawable")).withColumns({"short": F.col("want") - F.col("own"), "unfilled": F.col("want") - F.col("own"), "__spare": F.col("drawable") - F.col("own")})
+    for kin, same in KIN.items():
+        all_of = Window.partitionBy(*same) if same else Window.partitionBy()
+        upto = all_of.orderBy("__s", "target_id").rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({f"__{k}_{c}": F.sum(c).over(w) for c in ("unfilled", "__spare") for k, w in (("all", all_of), ("upto", upto))})
+        df = df.withColumn("__moved", F.least("__all_unfilled", "__all___spare"))
+        for out, c in ((f"from_{kin}", "__spare"), (f"to_{kin}", "unfilled")):  # whole numbers by cumulated shares: no leaf's is more than its c
+            piece = F.expr(f"(__upto_{c} * __moved) div __all_{c} - ((__upto_{c} - {c}) * __moved) div __all_{c}")
+            df = df.withColumn(out, F.when(F.col(f"__all_{c}") > 0, piece).otherwise(F.lit(0)).cast("long"))
+        df = df.withColumns({"__spare": F.col("__spare") - F.col(f"from_{kin}"), "unfilled": F.col("unfilled") - F.col(f"to_{kin}")})
+    taken = [f"from_{kin}" for kin in KIN]
+    total = sum((F.col(c) for c in taken), F.col("own"))
+    return df.select("target_id", "source", "want", "available", "drawable", "own", *taken, total.alias("allotted"), "short", *(f"to_{kin}" for kin in KIN), "unfilled", (F.col("available") >= F.col("want")).alias("met"))
 
 
 def sample(manifest: DataFrame, targets: DataFrame, seed: str = "p4") -> DataFrame:
@@ -89,6 +84,7 @@ def sample(manifest: DataFrame, targets: DataFrame, seed: str = "p4") -> DataFra
     graphs = members.groupBy("graph_id").agg(F.min("target_id").alias("target_id")).withColumn("h", F.md5(F.concat(F.lit(seed + "|"), "graph_id"))).withColumn("piece", F.substring("h", 1, PIECE))
     sizes = graphs.groupBy("target_id", "piece").agg(F.count("*").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("target_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    open_pieces = sizes.withColumn("before", before).join(F.broadcast(allotted(manifest, targets, members).select("target_id", "allotted")), "target_id").filter("before < allotted").drop("size")
+    leaves = materialize(allotted(manifest, targets, members).select("target_id", "allotted"))
+    open_pieces = materialize(sizes.withColumn("before", before).join(small_or_not(leaves), "target_id").filter("before < allotted").drop("size"))
     rank = F.dense_rank().over(Window.partitionBy("target_id", "piece").orderBy("h")) + F.col("before")
     return graphs.join(small_or_not(open_pieces), ["target_id", "piece"]).withColumn("r", rank).filter("r <= allotted").select("target_id", "graph_id")
