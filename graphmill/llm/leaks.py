@@ -19,16 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scale import is_small, salted_join
+from ..scale import salted_join, small_or_not
 from ..session import materialize
-from .lookalike import LIMIT, NO_LATIN, canonical_array, slices, to_points
+from .lookalike import HOMOGLYPHS, LIMIT, canonical_array, slices, to_points
 
 #: Words in a row that make a leak.
 WORDS = 10
 #: Words in a hashed gram.
 GRAM = 5
-#: Kept hashes of items up to which the documents' workers get them all (16 MB); beyond, hashes are joined by a shuffle.
-ITEM_HASHES = 2_000_000
+#: Log2 of the words of the filter of the items' hashes that the documents' workers get: 2**21 words of 64 bits, 16 MB, however
+#: many hashes there are.
+FILTER = 21
 #: A tag or comment of markup, and a character reference.
 TAG = r"<(?:[/!?]?[A-Za-z][^<>]*|!--[^<>]*--)>"
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
@@ -41,16 +42,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _caseless(ch: str) -> str:
+    """A letter of the consistent form without its case. Case and look go together: a small letter is taken for the Latin one
+    that it looks like, or else that its capital looks like (as the consistent form has made the capital Latin already)."""
+    low = ch.lower()
+    low = chr(HOMOGLYPHS.get(ord(low), ord(low))).lower() if len(low) == 1 else ch
+    up = low.upper()
+    return chr(HOMOGLYPHS[ord(up)]).lower() if len(up) == 1 and ord(up) in HOMOGLYPHS else low
+
+
 @functools.cache
 def _letters() -> np.ndarray:
-    """By code point: 0 for what stands between words, else a number shared by both cases of a letter. A small letter whose
-    capital is taken for one of another alphabet (pi, by its capital) shares that one's number, as case doesn't matter."""
+    """By code point: 0 for what stands between words, else a number shared by all that are the same letter without its case."""
     out = np.zeros(LIMIT, np.uint64)
-    other = {a.lower(): b.lower() for a, b in zip(*NO_LATIN, strict=True)}
     for c in (*range(0xD800), *range(0xE000, 0x32000)):
         ch = chr(c)
         if ch.isalnum():
-            low = other.get(ch.lower(), ch.lower())
+            low = _caseless(ch)
             out[c] = ord(low) if len(low) == 1 else c
     return np.where(out > 0, mixed(out + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1), np.uint64(0))
 
@@ -114,13 +122,23 @@ def _neighbourhoods(words: np.ndarray, rows: np.ndarray, at: np.ndarray, gram: i
     return np.where(inside, words[where].view(np.int64), outside)
 
 
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """A bit for each hash, in the word of its first FILTER bits at the place of its last six. Words are made by an aggregate;
+    no more than 2**FILTER of them exist."""
+    word, bit = F.shiftrightunsigned("hash", 64 - FILTER), F.expr("shiftleft(1L, cast(hash & 63 AS int))")
+    found = hashes.select(word.cast("int").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << FILTER, np.uint64)
+    out[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    return out
+
+
 def fingerprints(df: DataFrame, key: str, text: str, outside: int, gram: int = GRAM, least: int = WORDS, among: np.ndarray | None = None) -> DataFrame:
-    """(key, hash, around) of the kept hashes of df's texts; only those among the given ones, if any are given.
+    """(key, hash, around) of the kept hashes of df's texts; with a filter, only of those whose bit is set.
 
     around: the hashes of the words of which a passage of least words through the gram can consist.
     """
     sc = df.sparkSession.sparkContext
-    wanted = None if among is None else sc.broadcast(np.sort(among))
+    wanted = None if among is None else sc.broadcast(among)
     sent = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     schema = T.StructType([T.StructField(key, sent.schema["k"].dataType), T.StructField("hash", T.LongType()), T.StructField("around", T.ArrayType(T.LongType()))])
     width = 2 * least - gram
@@ -130,9 +148,7 @@ def fingerprints(df: DataFrame, key: str, text: str, outside: int, gram: int = G
             words, rows = words_of(b.column(1))
             hashes, at = winnowed(words, rows, gram, least)
             if wanted is not None and len(hashes):
-                all_of = wanted.value
-                i = np.minimum(np.searchsorted(all_of, hashes.view(np.int64)), len(all_of) - 1)
-                here = all_of[i] == hashes.view(np.int64) if len(all_of) else np.zeros(len(hashes), bool)
+                here = (wanted.value[hashes >> np.uint64(64 - FILTER)] >> (hashes & np.uint64(63))) & np.uint64(1) > 0
                 hashes, at = hashes[here], at[here]
             for i in range(0, len(at), 50_000):
                 part = at[i : i + 50_000]
@@ -156,14 +172,13 @@ def _shares(a: Column, b: Column, gram: int, least: int) -> Column:
 def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", gram: int = GRAM, least: int = WORDS) -> DataFrame:
     """(doc_key, item_key), once for every document that holds at least least successive words of an item's text.
 
-    Null texts, texts of fewer words and rows with a null key give nothing; repeated rows change nothing. If the
-    items keep at most ITEM_HASHES hashes, those are sent to the workers, which drop other hashes of documents at
-    once; beyond, all hashes meet in a join that spreads hot ones. Either way every document is read whole, once.
+    Null texts, texts of fewer words and rows with a null key give nothing; repeated rows change nothing. A filter of
+    fixed size, made of the items' hashes, lets the workers drop most other hashes of documents at once; the rest meets
+    the items' in a join that cuts hot hashes on either side. Every document is read whole, once.
     """
     theirs = materialize(fingerprints(items, item_key, text, -2, gram, least).distinct())
-    few = is_small(theirs.select("hash"), ITEM_HASHES)
-    among = np.array([r[0] for r in theirs.select("hash").distinct().collect()], np.int64) if few else None
-    ours = fingerprints(docs, doc_key, text, -1, gram, least, among).withColumnRenamed("around", "__a")
+    ours = fingerprints(docs, doc_key, text, -1, gram, least, _filter(theirs.select("hash"))).withColumnRenamed("around", "__a")
     theirs = theirs.withColumnRenamed("around", "__b")
-    met = ours.join(F.broadcast(theirs) if is_small(theirs) else theirs, "hash") if few else salted_join(materialize(ours), theirs, ["hash"])
+    small = small_or_not(theirs)
+    met = ours.join(small, "hash") if small is not theirs else salted_join(materialize(ours), theirs, ["hash"])
     return met.filter(_shares(F.col("__a"), F.col("__b"), gram, least)).select(doc_key, item_key).distinct()

@@ -20,18 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scale import salted_join
+from ..scale import salted_join, skew_join
 from ..session import materialize
 
 # Letters of other alphabets and letter blocks that are drawn like a Latin letter, then that letter.
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺονρϲϳ", "ABEZHIKMNOPTYXCMovpcj")
 CYRILLIC = ("АВЕЅІЈКМНОРСТХҮԌԚԜаеорсухѕіјѵһԁԛԝӏ", "ABESIJKMHOPCTXYGQWaeopcyxsijvhdqwl")
 ARMENIAN = ("ՏՍՕհոսօցզ", "SUOhnuogq")
-CHEROKEE = ("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏚᎢᏙᏔᏃ", "ABCDEHJKLMPSTVWZ")
-IPA = ("ɡɑ", "ga")
+CHEROKEE = ("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏚᎢᏙᏔᏃᎡᏀᎳᎥ", "ABCDEHJKLMPSTVWZRGWi")
+COPTIC = ("ⲀⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲌⲟⲣⲥⲭ", "ABHIKMNOPCTYXZopcx")
+LISU = ("ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU")
+IPA = ("ɡɑᴄᴏᴜᴠᴡᴢꜱ", "gacouvwzs")
 # Letters of other alphabets and blocks that are drawn like each other but like no Latin letter, then the Cyrillic one.
-NO_LATIN = ("ΓΠΦΨᎱⲄⲠⲪⲮᴦᴨᴫ", "ГПФѰГГПФѰгпл")
-HOMOGLYPHS = {ord(a): ord(b) for x, y in (GREEK, CYRILLIC, ARMENIAN, CHEROKEE, IPA, NO_LATIN) for a, b in zip(x, y, strict=True)}
+NO_LATIN = ("ΓΠΦΨᎱⲄⲠⲪⲮᴦᴨᴫκᴋĸʙᴍʜᴛ", "ГПФѰГГПФѰгплккквмнт")
+HOMOGLYPHS = {ord(a): ord(b) for x, y in (GREEK, CYRILLIC, ARMENIAN, CHEROKEE, COPTIC, LISU, IPA, NO_LATIN) for a, b in zip(x, y, strict=True)}
 
 # Code points without a look that are not of the category Cf, as ranges.
 UNSEEN = ((0x00, 0x08), (0x0E, 0x1F), (0x7F, 0x84), (0x86, 0x9F), (0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180D), (0x180F, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF))
@@ -268,6 +270,24 @@ def canonical_text(df: DataFrame, text: str = "text", out: str = "canonical", ke
     return sent.mapInArrow(run, schema)
 
 
+def _members(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, r, c): the key, the text's digest and its form's digest of each row that has a key and a visible character."""
+    forms = canonical_text(df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL").select("k", F.unhex(F.md5("t")).alias("r"), "t"), "t", "f", ["k", "r"])
+    return forms.filter(F.col("f").rlike(r"\S")).select("k", "r", F.unhex(F.md5("f")).alias("c"))
+
+
+def lookalike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id, n_texts, n_rows) of every row of df with a visible text: class_id is the least key of the rows that
+    look the same, which have n_texts different texts. Rows without a visible text or key are left out.
+
+    Counts are combined within tasks before they are shuffled, and a class of any size meets its one row of counts.
+    """
+    members = materialize(_members(df, key, text))
+    texts = members.groupBy("c", "r").agg(F.min("k").alias("k"), F.count("*").alias("n"))
+    classes = texts.groupBy("c").agg(F.min("k").alias("class_id"), F.count("*").alias("n_texts"), F.sum("n").alias("n_rows"))
+    return skew_join(members.select("c", F.col("k").alias(key)), materialize(classes), ["c"]).select(key, "class_id", "n_texts", "n_rows")
+
+
 def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs (a, b), a < b, of df's keys whose texts look the same but differ.
 
@@ -275,14 +295,12 @@ def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     copies of one text never meet each other. Null texts and texts without a visible character are in no
     pair; a row with a null key is left out, a repeated row counts once.
     """
-    forms = canonical_text(df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL").select("k", F.unhex(F.md5("t")).alias("r"), "t"), "t", "f", ["k", "r"])
-    members = materialize(forms.filter(F.col("f").rlike(r"\S")).select("k", "r", F.unhex(F.md5("f")).alias("c")))
+    members = materialize(_members(df, key, text))
     classes = members.select("c", "r").distinct()
     several = classes.groupBy("c").count().filter("count > 1").select("c")
     classes = materialize(classes.join(several, "c", "left_semi"))
     members = materialize(members.join(classes.select("r"), "r", "left_semi").select("r", "k").distinct())
-    pairs = classes.select("c", F.col("r").alias("r1")).join(classes.select("c", F.col("r").alias("r2")), "c").filter("r1 < r2").select("r1", "r2")
-    pairs = materialize(pairs)
+    pairs = materialize(salted_join(classes.withColumnRenamed("r", "r1"), classes.withColumnRenamed("r", "r2"), ["c"]).filter("r1 < r2").select("r1", "r2"))
     ours, theirs = members.withColumnsRenamed({"r": "r1", "k": "k1"}), members.withColumnsRenamed({"r": "r2", "k": "k2"})
     half = materialize(salted_join(ours, pairs, ["r1"]).select("r2", "k1"))
     out = salted_join(half, theirs, ["r2"]).filter("k1 <> k2")

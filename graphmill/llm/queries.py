@@ -6,7 +6,6 @@ import functools
 import unicodedata
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from . import blocks, bpe, components, leaks, lookalike, quantiles, quotas, surv
 
 QS = [0.05, 0.25, 0.5, 0.75, 0.95]
 SCORES = ["kruskal_stress", "node_uniformity"]
+MEASURES = [*SCORES, "n_nodes"]
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -45,40 +45,51 @@ def p2_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return survivors.survivors(_read(spark, sf, "manifest"), _read(spark, sf, "sources"))
 
 
+def _scored_by_key(spark: SparkSession, sf: str, keys: tuple[str, ...]) -> DataFrame:
+    """(run_day, by, key, scores, n_nodes): every row of metrics once for each of the keys. A graph's source and n_nodes are
+    those of its last manifest row; a missing key is '(none)'."""
+    source = F.when(is_real(F.col("source")), folded(F.col("source"))).otherwise(F.lit("(none)"))
+    last = _read(spark, sf, "manifest").groupBy("graph_id").agg(F.max_by(F.struct(source.alias("source"), "n_nodes"), "row_id").alias("m"))
+    drawn = skew_join(_read(spark, sf, "metrics").select("graph_id", "layout", "run_day", *SCORES), last, ["graph_id"], "left")
+    of = {"layout": F.coalesce("layout", F.lit("(none)")), "source": F.coalesce("m.source", F.lit("(not in manifest)")), "run_day": F.coalesce(F.col("run_day").cast("string"), F.lit("(none)"))}
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("by"), of[k].alias("key")) for k in keys)))
+    return drawn.select("run_day", *SCORES, F.col("m.n_nodes").alias("n_nodes"), pairs.alias("k")).select("run_day", "k.by", "k.key", *SCORES, "n_nodes")
+
+
 def p3_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles of each score, and of n_nodes of the drawn graphs, by layout, by source and by run_day.
 
     Sketches are made for single days (by layout and by source) and then joined into those of all days; those of
     one day's layouts make the day's. A graph's source and n_nodes are those of its last manifest row.
     """
-    source = F.when(is_real(F.col("source")), folded(F.col("source"))).otherwise(F.lit("(none)"))
-    last = _read(spark, sf, "manifest").groupBy("graph_id").agg(F.max_by(F.struct(source.alias("source"), "n_nodes"), "row_id").alias("m"))
-    drawn = skew_join(_read(spark, sf, "metrics").select("graph_id", "layout", "run_day", *SCORES), last, ["graph_id"], "left")
-    pair = lambda by, c: F.struct(F.lit(by).alias("by"), c.alias("key"))
-    keys = F.explode(F.array(pair("layout", F.col("layout")), pair("source", F.coalesce("m.source", F.lit("(not in manifest)")))))
-    rows = drawn.select("run_day", *SCORES, F.col("m.n_nodes").alias("n_nodes"), keys.alias("k")).select("run_day", "k.by", "k.key", *SCORES, "n_nodes")
-    daily = materialize(quantiles.sketches(rows, ["run_day", "by", "key"], [*SCORES, "n_nodes"]))
-    of_days = daily.filter("by = 'layout'").select(F.lit("run_day").alias("by"), F.col("run_day").cast("string").alias("key"), "measure", "state")
+    daily = materialize(quantiles.sketches(_scored_by_key(spark, sf, ("layout", "source")), ["run_day", "by", "key"], MEASURES))
+    of_days = daily.filter("by = 'layout'").select(F.lit("run_day").alias("by"), F.coalesce(F.col("run_day").cast("string"), F.lit("(none)")).alias("key"), "measure", "state")
     return quantiles.percentiles(quantiles.merged(daily.drop("run_day").unionByName(of_days), ["by", "key"]), ["by", "key"], QS)
 
 
 def p3_within_error(spark: SparkSession, sf: str) -> DataFrame:
-    """For each layout and score: the exact number of values, and whether every percentile's rank, counted in the
-    table, is within the stated error."""
-    table = _read(spark, sf, "metrics")
-    daily = quantiles.sketches(table, ["run_day", "layout"], SCORES)
-    guesses = quantiles.percentiles(quantiles.merged(daily, ["layout"]), ["layout"], QS)
+    """For every key and measure of p3_percentiles: the exact number of values, and whether each of its percentiles has a
+    rank, counted in the tables, within the stated error."""
     names = [f"p{round(100 * q):02d}" for q in QS]
-    long = table.select("layout", F.posexplode(F.array(*(F.col(m) for m in SCORES))).alias("i", "v")).filter("v IS NOT NULL AND NOT isnan(v)").select("layout", F.element_at(F.array(*map(F.lit, SCORES)), F.col("i") + 1).alias("measure"), "v")
-    met = long.join(F.broadcast(guesses), ["layout", "measure"])
-    slack = F.lit(2.0**-quantiles.MANTISSA)
-    counts = [x for p in names for x in (F.sum((F.col("v") < F.col(p)).cast("long")).alias(f"lt_{p}"), F.sum((F.col("v") <= F.col(p) + F.abs(p) * slack).cast("long")).alias(f"le_{p}"))]
-    got = met.withColumnRenamed("n", "sketch_n").groupBy("layout", "measure").agg(F.count("*").alias("n"), F.max("sketch_n").alias("sketch_n"), *counts)
-    ok = F.col("n") == F.col("sketch_n")
-    for q, p in zip(QS, names, strict=True):
-        rank, slip = F.floor(F.lit(q) * (F.col("n") - 1)), F.col("n") * quantiles.RANK_ERROR + 1
-        ok = ok & (F.col(f"lt_{p}") <= rank + slip) & (F.col(f"le_{p}") > rank - slip)
-    return got.select("layout", "measure", "n", ok.alias("within_error"))
+    guesses = p3_percentiles(spark, sf).groupBy("by", "key").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("n", *names)))).alias("g"))
+    met = skew_join(_scored_by_key(spark, sf, ("layout", "source", "run_day")), materialize(guesses), ["by", "key"])
+    slack, counts = F.lit(2.0**-quantiles.MANTISSA), []
+    for i, m in enumerate(MEASURES):
+        v = F.nanvl(F.col(m).cast("double"), F.lit(None))
+        counts += [F.count(v).alias(f"n{i}"), F.first(F.col("g")[m]).alias(f"g{i}")]
+        for p in names:
+            x = F.col("g")[m][p]
+            counts += [F.count_if(v < x).alias(f"lt{i}{p}"), F.count_if(v <= x + F.abs(x) * slack).alias(f"le{i}{p}")]
+    got = met.groupBy("by", "key").agg(*counts)
+    checks = []
+    for i, m in enumerate(MEASURES):
+        n = F.col(f"n{i}")
+        ok = n == F.col(f"g{i}")["n"]
+        for q, p in zip(QS, names, strict=True):
+            rank, slip = F.floor(F.lit(q) * (n - 1)), n * quantiles.RANK_ERROR + 1
+            ok = ok & (F.col(f"lt{i}{p}") <= rank + slip) & (F.col(f"le{i}{p}") > rank - slip)
+        checks.append(F.struct(F.lit(m).alias("measure"), n.alias("n"), F.coalesce(ok, F.lit(False)).alias("within_error")))
+    return got.select("by", "key", F.explode(F.array(*checks)).alias("c")).select("by", "key", "c.*").filter("n > 0")
 
 
 def _p4(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -142,6 +153,11 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.lookalike_pairs(_read(spark, sf, "documents")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """For each document with a visible text the class of those that look the same, and how many texts and rows that has."""
+    return lookalike.lookalike_classes(_read(spark, sf, "documents"))
+
+
 def p8_text(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's text in the consistent form."""
     return lookalike.canonical_text(_read(spark, sf, "documents"), keep=["doc_id"])
@@ -149,7 +165,7 @@ def p8_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    names = (p1_found, p1_groups, p2_found, p2_survivors, p3_percentiles, p3_within_error, p4_found, p4_report, p4_sample, p5_sample, p5_source_sample, p5_growth, p6_ids, p7_found, p7_items, p8_found, p8_text)
+    names = (p1_found, p1_groups, p2_found, p2_survivors, p3_percentiles, p3_within_error, p4_found, p4_report, p4_sample, p5_sample, p5_source_sample, p5_growth, p6_ids, p7_found, p7_items, p8_found, p8_classes, p8_text)
     return {f.__name__: f for f in names}
 
 
@@ -186,20 +202,22 @@ def _filled(c: str) -> str:
 _MEMBERS = f"""members AS (SELECT DISTINCT t.target_id, m.graph_id FROM manifest m JOIN sample_targets t ON {_fold("m.source")} = {_fold("t.source")}
   WHERE m.n_nodes BETWEEN t.n_lo AND t.n_hi AND m.density >= t.density_lo AND m.density < t.density_hi AND m.density::VARCHAR NOT IN ('nan', '-nan') AND m.graph_id IS NOT NULL),
 assigned AS (SELECT graph_id, min(target_id) AS target_id FROM members GROUP BY 1),
-base AS (SELECT t.target_id, t.source, {_fold("t.source")} AS s,
+base AS (SELECT t.target_id, t.source, coalesce({_fold("t.source")}, '') AS s, n_lo, n_hi,
     greatest(coalesce(t.floor_rows, 0), floor(coalesce(t.target_share, 0) * (SELECT count(DISTINCT graph_id) // 20 FROM manifest) + 0.5))::BIGINT AS want,
     (SELECT count(*) FROM members x WHERE x.target_id = t.target_id) AS available,
     (SELECT count(*) FROM assigned x WHERE x.target_id = t.target_id) AS drawable
   FROM sample_targets t),
-own AS (SELECT *, least(want, drawable) AS own, want - least(want, drawable) AS short, drawable - least(want, drawable) AS spare FROM base),
-w1 AS (SELECT *, least(sum(short) OVER (PARTITION BY s), sum(spare) OVER (PARTITION BY s)) AS d, sum(spare) OVER (PARTITION BY s) AS t,
-    sum(spare) OVER (PARTITION BY s ORDER BY target_id) AS c, sum(short) OVER (PARTITION BY s) AS need FROM own),
-sib AS (SELECT *, CASE WHEN t > 0 THEN (c * d) // t - ((c - spare) * d) // t ELSE 0 END AS from_siblings FROM w1),
-w2 AS (SELECT *, spare - from_siblings AS spare2, CASE WHEN row_number() OVER (PARTITION BY s ORDER BY target_id) = 1 THEN need - d ELSE 0 END AS left_over FROM sib),
-w3 AS (SELECT *, least(sum(left_over) OVER (), sum(spare2) OVER ()) AS d2, sum(spare2) OVER () AS t2, sum(spare2) OVER (ORDER BY s, target_id) AS c2 FROM w2),
-report AS (SELECT target_id, source, want, available, drawable, own, from_siblings::BIGINT AS from_siblings,
-    (CASE WHEN t2 > 0 THEN (c2 * d2) // t2 - ((c2 - spare2) * d2) // t2 ELSE 0 END)::BIGINT AS from_cousins, short, available >= want AS met FROM w3),
-allotted AS (SELECT *, (own + from_siblings + from_cousins)::BIGINT AS allotted FROM report)
+k0 AS (SELECT *, least(want, drawable) AS own, want - least(want, drawable) AS short, want - least(want, drawable) AS left_over, drawable - least(want, drawable) AS spare FROM base),
+""" + ",\n".join(
+    f"""m{i} AS (SELECT *, least(sum(left_over) OVER a, sum(spare) OVER a) AS moved, sum(spare) OVER a AS all_spare, sum(left_over) OVER a AS all_left, sum(spare) OVER u AS upto_spare, sum(left_over) OVER u AS upto_left
+    FROM k{i} WINDOW a AS ({part}), u AS ({part} ORDER BY s, target_id)),
+f{i} AS (SELECT * EXCLUDE (moved, all_spare, all_left, upto_spare, upto_left),
+    (CASE WHEN all_spare > 0 THEN (upto_spare * moved) // all_spare - ((upto_spare - spare) * moved) // all_spare ELSE 0 END)::BIGINT AS from_{kin},
+    (CASE WHEN all_left > 0 THEN (upto_left * moved) // all_left - ((upto_left - left_over) * moved) // all_left ELSE 0 END)::BIGINT AS to_{kin} FROM m{i}),
+k{i + 1} AS (SELECT * REPLACE (spare - from_{kin} AS spare, left_over - to_{kin} AS left_over) FROM f{i})"""
+    for i, (kin, part) in enumerate((("siblings", "PARTITION BY s, n_lo, n_hi"), ("cousins", "PARTITION BY s"), ("others", "")))
+) + """,
+allotted AS (SELECT *, (own + from_siblings + from_cousins + from_others)::BIGINT AS allotted, left_over AS unfilled, available >= want AS met FROM k3)
 """
 
 
@@ -225,31 +243,69 @@ _FIRST = f"""WITH f AS (SELECT graph_id, run_no, row_id, CASE WHEN {_real("sourc
 """
 
 
+#: Characters that look the same, each word beginning with the one that stands for all. Written down for the SQL
+#: alone, letter by letter, beside the operator's lists by alphabet.
+_ALIKE = (
+    "AΑАᎪⲀꓮ BΒВᏴⲂꓐ CСϹᏟⲤꓚ DᎠꓓ EΕЕᎬꓰ Fꓝ GԌᏀꓖ HΗНᎻⲎꓧ IΙІⲒꓲ JЈᎫꓙ KΚКᏦⲔꓗ LᏞꓡ MΜМᎷⲘꓟ NΝⲚꓠ OΟОՕⲞꓳ PΡРᏢⲢꓑ QԚ RᎡꓣ SЅՏᏚꓢ TΤТᎢⲦꓔ UՍꓴ VᏙꓦ WԜᏔᎳꓪ XΧХⲬꓫ YΥҮⲨꓬ ZΖᏃⲌꓜ "
+    "aаɑ cсϲᴄⲥ dԁꓒ eе gɡց hһհ iіᎥ jјϳ lӏ nո oοоօᴏⲟ pрρⲣ qԛզ sѕꜱ uսᴜ vνѵᴠ wԝᴡ xхⲭ yу zᴢ ГΓᎱⲄ ПΠⲠ ФΦⲪ ѰΨⲮ гᴦ пᴨ лᴫ кκᴋĸ вʙ мᴍ нʜ тᴛ"
+)
+_DRAWN_CF = (*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD)
+
+
+@functools.cache
+def _standing() -> dict[str, str]:
+    return {ch: word[0] for word in _ALIKE.split() for ch in word[1:]}
+
+
+@functools.cache
+def _shown() -> dict[str, str]:
+    """What each single character is shown as, from the Unicode data: its plain form if only width, form, font or breaking
+    differ, its look-alikes' letter, a blank for every kind of blank. Others are shown as they are."""
+    out, kinds = {}, {"<wide>", "<narrow>", "<noBreak>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>"}
+    for x in (*range(0x80, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)):
+        ch = chr(x)
+        kind = unicodedata.decomposition(ch).split(" ")[0]
+        if unicodedata.category(ch) == "Zs":
+            to = " "
+        elif kind in kinds or ch == "µ" or kind == "<compat>" and ch != "ſ" and unicodedata.normalize("NFKD", ch).isascii() and unicodedata.normalize("NFKD", ch).isalpha():
+            to = unicodedata.normalize("NFKD", ch)
+        else:
+            to = unicodedata.normalize("NFD", ch)
+        to = unicodedata.normalize("NFC", "".join(_standing().get(y, y) for y in to))
+        if to != ch:
+            out[ch] = to
+    return out
+
+
 @functools.cache
 def _look(c: str) -> str:
-    """SQL of the consistent form of c: one character for one by translate(), the few that become several or none by
-    replacement, then NFC. What single characters become is asked of lookalike, marks are composed by the database."""
-    one, many, none = [], [], []
-    singles = [chr(x) for x in (*range(1, 0x3400), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)) if unicodedata.category(chr(x)) not in ("Cn", "Cs", "Co") and x != 13]
-    for ch, to in zip(singles, lookalike.canonical_array(pa.array(singles)).to_pylist(), strict=True):
-        if not to:
-            none.append(ch)
-        elif to != ch and len(to) == 1:
-            one.append((ch, to))
-        elif to != ch:
-            many.append((ch, to))
+    """SQL of the consistent form of c: one character for one by translate(), the few that become several by replacement, those
+    without a look by pattern, then the database composes the marks."""
     quote = lambda t: "'" + t.replace("'", "''") + "'"
     sql = f"replace(replace({c}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
-    sql = f"regexp_replace({sql}, '[{''.join(f'\\x{{{ord(x):x}}}' for x in none)}]', '', 'g')"
-    for ch, to in many:
-        if ord(ch) < 0xFB07 and not unicodedata.decomposition(ch).startswith("<font"):
+    sql = rf"regexp_replace({sql}, '[\x{{b}}\x{{c}}\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g')"
+    unseen = "".join(chr(x) for x in range(0x80, 0xE0200) if unicodedata.category(chr(x)) == "Cf" and x not in _DRAWN_CF)
+    sql = rf"regexp_replace({sql}, '[{unseen}\x{{0}}-\x{{8}}\x{{e}}-\x{{1f}}\x{{7f}}-\x{{9f}}\x{{34f}}\x{{115f}}\x{{1160}}\x{{17b4}}\x{{17b5}}\x{{180b}}-\x{{180d}}\x{{180f}}\x{{3164}}\x{{fe00}}-\x{{fe0f}}\x{{ffa0}}\x{{e0100}}-\x{{e01ef}}]', '', 'g')"
+    one = [(a, b) for a, b in _shown().items() if len(b) == 1]
+    for ch, to in _shown().items():
+        if 1 < len(to) and (to.isascii() or 0x300 <= ord(ch) < 0x3400):
             sql = f"replace({sql}, {quote(ch)}, {quote(to)})"
     return f"nfc_normalize(translate({sql}, {quote(''.join(a for a, _ in one))}, {quote(''.join(b for _, b in one))}))"
 
 
 def _words(c: str) -> str:
-    """SQL of the words of a text, as a list."""
-    return f"regexp_extract_all(lower(regexp_replace({_look(c)}, '{leaks.TAG}', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+')".replace("\\\\", "\\")
+    """SQL of the words of a text, as a list, without case."""
+    small = {}
+    for x in range(0x80, 0x2E00):
+        ch = chr(x)
+        if ch.isalpha() and ch == ch.lower():
+            low = _standing().get(ch, ch).lower()
+            up = low.upper()
+            low = _standing()[up].lower() if up in _standing() else low
+            if low != ch:
+                small[ch] = low
+    lower = f"translate(lower(regexp_replace({_look(c)}, '{leaks.TAG}', ' ', 'g')), '{''.join(small)}', '{''.join(small.values())}')"
+    return f"regexp_extract_all({lower}, '[\\p{{L}}\\p{{N}}]+')".replace("\\\\", "\\")
 
 
 def _grams(table: str, key: str) -> str:
@@ -271,9 +327,11 @@ def sql() -> dict[str, str]:
             x AS (SELECT *, row_number() OVER (PARTITION BY key, alone ORDER BY n_real DESC, trust DESC, seen_at DESC, row_id) AS n FROM k)
             SELECT max(prop_hash) AS prop_hash, max(CASE WHEN n = 1 THEN row_id END) AS row_id, {_filled("graph_id")}, {_filled("category")}, {_filled("source")}, {_filled("generator")}, count(*) AS n_rows
             FROM x GROUP BY key, alone""",
-        "p3_within_error": " UNION ALL ".join(f"SELECT layout, '{m}' AS measure, count(*) AS n, true AS within_error FROM metrics WHERE {m} IS NOT NULL AND {m}::VARCHAR NOT IN ('nan', '-nan') GROUP BY layout" for m in SCORES),
+        "p3_within_error": f"""WITH g AS (SELECT graph_id, CASE WHEN {_real("source")} THEN {_fold("source")} ELSE '(none)' END AS source, n_nodes FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY row_id DESC) AS r FROM manifest) WHERE r = 1),
+            d AS (SELECT coalesce(layout, '(none)') AS layout, coalesce(source, '(not in manifest)') AS source, coalesce(run_day::VARCHAR, '(none)') AS run_day, {", ".join(f"CASE WHEN {m}::VARCHAR NOT IN ('nan', '-nan') THEN {m} END AS {m}" for m in SCORES)}, n_nodes FROM metrics m LEFT JOIN g ON m.graph_id = g.graph_id)
+            """ + " UNION ALL ".join(f"SELECT '{k}' AS by, {k} AS key, '{m}' AS measure, count({m}) AS n, true AS within_error FROM d GROUP BY {k} HAVING count({m}) > 0" for k in ("layout", "source", "run_day") for m in MEASURES),
         "p4_found": f"WITH {_MEMBERS} SELECT target_id FROM allotted WHERE available < want",
-        "p4_report": f"WITH {_MEMBERS} SELECT target_id, source, want, available, drawable, own, from_siblings, from_cousins, allotted, short, met FROM allotted",
+        "p4_report": f"WITH {_MEMBERS} SELECT target_id, source, want, available, drawable, own, from_siblings, from_cousins, from_others, allotted, short, to_siblings, to_cousins, to_others, unfilled::BIGINT AS unfilled, met FROM allotted",
         "p4_sample": f"""WITH {_MEMBERS}, ranked AS (SELECT target_id, graph_id, dense_rank() OVER (PARTITION BY target_id ORDER BY md5('p4|' || graph_id)) AS r FROM assigned)
             SELECT ranked.target_id, graph_id FROM ranked JOIN allotted USING (target_id) WHERE r <= allotted""",
         "p5_sample": _FIRST + ", s AS (SELECT graph_id, row_id AS seq FROM f), " + _chosen("s", "graph_id, seq", "'p5'"),
@@ -281,6 +339,7 @@ def sql() -> dict[str, str]:
         "p7_found": f"{leaked} SELECT doc_id, item_id FROM found",
         "p7_items": f"{leaked} SELECT item_id, suite, (SELECT count(*) FROM found WHERE found.item_id = e.item_id) AS n_docs FROM eval_items e",
         "p8_found": f"WITH {forms} SELECT DISTINCT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text WHERE regexp_matches(a.form, '[^ \\t\\n]')",
+        "p8_classes": f"WITH {forms}, c AS (SELECT form, min(doc_id) AS class_id, count(DISTINCT text) AS n_texts, count(*) AS n_rows FROM f WHERE regexp_matches(form, '[^ \\t\\n]') GROUP BY 1) SELECT doc_id, class_id, n_texts, n_rows FROM f JOIN c ON f.form = c.form",
         "p8_text": f"WITH {forms} SELECT doc_id, form AS canonical FROM f",
         "p5_growth": "SELECT 'all' AS sample, n AS n_before, n AS n_kept FROM (" + (_FIRST + ", s AS (SELECT graph_id, row_id AS seq FROM f WHERE run_no <= 6), " + _chosen("s", "count(*) AS n", "'p5'")) + ") UNION ALL SELECT 'by_source', n, n FROM (" + (_FIRST + f", s AS ({by_source} WHERE run_no <= 6), " + _chosen("s", "count(*) AS n", "'p5s|' || source")) + ")",
     }

@@ -52,6 +52,46 @@ def test_rank_error_of_counters():
         assert all(off(x, q, g) <= quantiles.RANK_ERROR * n for q, g in zip(QS, got, strict=True)), (name, got)
 
 
+def test_rank_error_of_ties():
+    """100 draws each of few and of many different values, evenly and unevenly repeated, all 101 percentiles."""
+    qs = [i / 100 for i in range(101)]
+    for k in (2, 10, 50, 100, 200, 1000, 5000):
+        for seed in range(100 if k < 1000 else 20):
+            r = np.random.default_rng(1000 * k + seed)
+            x = np.unique(r.random(k) if seed % 2 else r.normal(0, 1e4, k))
+            w = np.full(len(x), 60_000 // k) if seed % 4 < 2 else (60_000 / r.permutation(np.arange(1, len(x) + 1))).astype(np.int64) + 1
+            s = quantiles.Sketch()
+            s.add(quantiles.encode(x), w)
+            n, got = s.quantiles(qs)
+            below = np.append(0, np.cumsum(w))
+            for q, g in zip(qs, got, strict=True):
+                rank = math.floor(q * (n - 1))
+                lo, hi = below[np.searchsorted(x, g, "left")], below[np.searchsorted(x, g + abs(g) * 2.0**-quantiles.MANTISSA, "right")] - 1
+                assert max(0, lo - rank, rank - hi) <= quantiles.RANK_ERROR * n, (k, seed, q)
+
+
+def test_sizes_follow_from_the_error():
+    t = quantiles.RANK_ERROR / quantiles.LEVELS
+    assert quantiles.WIDTH >= 8 / t and quantiles.WIDTH == 1 << (quantiles.WIDTH.bit_length() - 1)
+    beyond = math.comb(quantiles.DEPTH, (quantiles.DEPTH + 1) // 2) * 16.0 ** -((quantiles.DEPTH + 1) // 2)
+    assert quantiles.DEPTH % 2 and 2 * quantiles.LEVELS * beyond <= quantiles.FAILURE
+    assert quantiles.ROWS * quantiles.WIDTH.bit_length() <= 64
+
+
+def test_counters_travel(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "PAIRS", 100)
+    x = np.random.default_rng(4).normal(0, 1, 30_000)
+    parts = [quantiles.Sketch() for _ in range(3)]
+    for i, s in enumerate(parts):
+        s.add(quantiles.encode(x[i::3]), np.ones(len(x[i::3]), np.int64))
+    assert all(s.state()[:1] == b"i" for s in parts)
+    whole = quantiles.Sketch()
+    for s in parts:
+        whole.merge(s.state())
+    n, got = whole.quantiles(QS)
+    assert n == len(x) and all(off(x, q, g) <= quantiles.RANK_ERROR * n for q, g in zip(QS, got, strict=True))
+
+
 def test_parts_add_up_and_deletions_undo():
     x = np.random.default_rng(1).random(50_000)
     whole, halves, undone = quantiles.Sketch(), quantiles.Sketch(), quantiles.Sketch()
@@ -106,9 +146,12 @@ def test_quotas(spark):
     size = len({r[0] for r in rows if r[0]}) // 20
     assert [report[i].want for i in range(1, 7)] == [math.floor(0.2 * size + 0.5), max(4, math.floor(0.3 * size + 0.5)), math.floor(0.5 * size + 0.5), 9, 5, 0]
     assert {r.target_id for r in quotas.unmet(df, targets).collect()} == {4, 5}
-    assert report[4].allotted == report[5].allotted == 0 and report[3].from_siblings == 9
-    assert report[1].from_cousins + report[2].from_cousins + report[3].from_cousins == 5
+    assert report[4].allotted == report[5].allotted == 0 and report[3].from_cousins == 9 and report[4].to_cousins == 9
+    assert report[1].from_others + report[2].from_others + report[3].from_others == 5 == report[5].to_others
+    assert all(r.short == r.to_siblings + r.to_cousins + r.to_others + r.unfilled for r in report.values())
     assert sum(r.allotted for r in report.values()) == sum(r.want for r in report.values())
+    plan = quotas.unmet(df, targets)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") >= len(quotas.KIN)  # the cases come out of the allotment
     drawn = quotas.sample(df, targets).collect()
     assert sorted(map(tuple, drawn)) == sorted(map(tuple, quotas.sample(df.repartition(7), targets).collect()))
     assert len({r.graph_id for r in drawn}) == len(drawn)
@@ -118,6 +161,20 @@ def test_quotas(spark):
     assert quotas.unmet(df.limit(0), targets).count() == 3
 
 
+def test_kin_of_each_degree(spark):
+    """Source a has two ranges of n_nodes with two densities each; b is elsewhere."""
+    rows = [(f"g{i}", "a", 10 if i < 100 else 50, 0.1 if i % 2 else 0.6, 1, i, "x") for i in range(200)] + [(f"h{i}", "b", 10, 0.1, 1, 1000 + i, "x") for i in range(200)]
+    df = spark.createDataFrame(rows, MANIFEST)
+    cells = [(1, "a", 0, 20, 0.0, 0.5, 0.0, 70), (2, "a", 0, 20, 0.5, 1.0, 0.0, 40), (3, "a", 21, 99, 0.0, 0.5, 0.0, 20), (4, "a", 21, 99, 0.5, 1.0, 0.0, 50), (5, "b", 0, 99, 0.0, 1.0, 0.0, 10), (6, "c", 0, 99, 0.0, 1.0, 0.0, 9)]
+    report = {r.target_id: r for r in quotas.allotted(df, spark.createDataFrame([(*c, "x") for c in cells], TARGETS)).collect()}
+    assert (report[1].to_siblings, report[1].to_cousins, report[1].to_others, report[1].unfilled) == (10, 10, 0, 0)
+    assert report[2].from_siblings == 10 and report[3].from_cousins == 10 and report[4].from_cousins == 0
+    assert report[6].to_others == 9 == report[3].from_others + report[5].from_others
+    huge = spark.createDataFrame([(1, "a", 0, 20, 0.0, 0.5, 0.0, 7000, "x"), (2, "b", 0, 20, 0.5, 1.0, 0.0, 4, "x")], TARGETS)
+    report = {r.target_id: r for r in quotas.allotted(df, huge).collect()}
+    assert report[1].unfilled == 7000 - 50 and report[2].unfilled == 4 and report[1].allotted == 50
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.integers(0, 10**6))
 def test_every_block_has_its_picks(spark, start):

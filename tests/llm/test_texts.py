@@ -73,7 +73,9 @@ def test_pairs(spark, monkeypatch):
 def test_alike_without_a_latin_twin(spark):
     for a, b in [("Π", "П"), ("Γ", "Г"), ("Φ", "Ф"), ("Ψ", "Ѱ"), ("Ꮁ", "Г"), ("Ⲡ", "П"), ("ᴨ", "п"), ("Γ\u0301", "Ѓ")]:
         assert one(a) == one(b), (a, b)
-    for a, b in [("Π", "π"), ("π", "п"), ("Л", "Λ"), ("Π", "Γ")]:
+    for a, b in [("Ꭱ", "R"), ("Ꮃ", "W"), ("Ⲙ", "M"), ("ꓪ", "W"), ("ᴄ", "с"), ("κ", "к"), ("ᴍ", "м"), ("ꓰ\u0301", "É")]:
+        assert one(a) == one(b), (a, b)
+    for a, b in [("Π", "π"), ("π", "п"), ("Л", "Λ"), ("Π", "Γ"), ("ᴀ", "A"), ("в", "В"), ("κ", "Κ")]:
         assert one(a) != one(b), (a, b)
     df = spark.createDataFrame([(1, "После запуска"), (2, "Πосле запуска"), (3, "после запуска")], "doc_id long, text string")
     assert list(map(tuple, lookalike.lookalike_pairs(df).collect())) == [(1, 2)]
@@ -84,6 +86,24 @@ def test_alike_without_a_latin_twin(spark):
     assert words[0] == words[1]
 
 
+def test_words_have_no_case():
+    for a, b in [("Когда Теперь Ветка Мы Ночь", "когда теперь ветка мы ночь"), ("КОГДА ТЕПЕРЬ", "Koгда ТEпepь"), ("ΤΗΣ ΜΕΤΑΒΑΣΕΙΣ ΚΑΙ ΟΧΙ".replace("Σ", "Γ"), "τηγ μεταβαγειγ και οχι"), ("Ёж", "ёЖ")]:
+        x, y = (leaks.words_of(pa.array([t]))[0].tolist() for t in (a, b))
+        assert x == y, (a, b)
+    x, y = (leaks.words_of(pa.array([t]))[0].tolist() for t in ("мой", "мои"))
+    assert x != y
+
+
+def test_classes(spark, monkeypatch):
+    rows = [(1, "abc"), (2, "abc"), (3, "аbc"), (4, "Abc"), (5, None), (6, "\u200b"), (None, "abc"), (3, "аbc"), (9, "z" * 50_000)]
+    df = spark.createDataFrame([(k, t, 7) for k, t in rows], "doc_id long, text string, class_id int")
+    want = [(1, 1, 2, 4), (2, 1, 2, 4), (3, 1, 2, 4), (3, 1, 2, 4), (4, 4, 1, 1), (9, 9, 1, 1)]
+    assert sorted(map(tuple, lookalike.lookalike_classes(df).collect())) == want
+    assert lookalike.lookalike_classes(df.limit(0)).count() == 0
+    monkeypatch.setattr(scale, "HOT_ROWS", 2)
+    assert sorted(map(tuple, lookalike.lookalike_classes(df).collect())) == want
+
+
 def runs_of(words, n=10):
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
@@ -114,7 +134,10 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     e = spark.createDataFrame([(k, " ".join(w), None) for k, w in items] + [(60, None, None)], "item_id long, text string, answer string")
     got = leaks.leaked_items(d.unionByName(d), e).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
-    monkeypatch.setattr(leaks, "ITEM_HASHES", 3)
+    monkeypatch.setattr(leaks, "FILTER", 2)  # all bits set: nothing is dropped before the join
+    assert {tuple(r) for r in leaks.leaked_items(d, e).collect()} == want
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(scale.small_or_not, "__defaults__", (3,))
     assert {tuple(r) for r in leaks.leaked_items(d, e).collect()} == want
     monkeypatch.setattr(scale, "HOT_ROWS", 10)
     assert {tuple(r) for r in leaks.leaked_items(d, e).collect()} == want
