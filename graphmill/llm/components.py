@@ -33,6 +33,7 @@ def connected_groups(df: DataFrame, a: str, b: str) -> DataFrame:
     graph = materialize(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     kind = graph.schema["u"].dataType
     forest: list[DataFrame] = []
+    kept: list[DataFrame] = []
     n = graph.count()
     while n:
         smallest = graph.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
@@ -40,10 +41,11 @@ def connected_groups(df: DataFrame, a: str, b: str) -> DataFrame:
         told = materialize(told)
         own = told.groupBy("u").agg(F.min("m").alias("p"), F.max(F.col("m") == F.col("u")).alias("stays"), F.count("*").alias("names"))
         own = materialize(own)
-        forest.append(materialize(own.filter("NOT stays").select("u", "p")))
+        kept.append(own)
+        forest.append(own.filter("NOT stays").select("u", "p"))
         met = skew_join(told, own.filter("names > 1").select("u", "p"), ["u"]).filter("m <> p").select(F.col("m").alias("u"), F.col("p").alias("v")).distinct()
         both = materialize(met.unionByName(met.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-        release(graph, told, own)
+        release(graph, told)
         graph, n = both, both.count()
     release(graph)
     if not forest:
@@ -58,5 +60,5 @@ def connected_groups(df: DataFrame, a: str, b: str) -> DataFrame:
     out = reduce(DataFrame.unionByName, named)
     roots = out.select("g").distinct().select(F.col("g").alias("u"), "g")
     out = materialize(out.unionByName(roots).select(F.col("g").alias("group_id"), F.col("u").alias("id")))
-    release(*forest, *named)
+    release(*kept, *named)
     return out
