@@ -67,8 +67,10 @@ def bba(r: np.random.Generator, n: int) -> Graph:
 
 @register("nws", 1.0, 4)
 def nws(r: np.random.Generator, n: int) -> Graph:
-    """A ring of even width k in [2, n / 4], and for each of its edges a shortcut with probability 0.1 + 0.9 Beta(1, 3)."""
-    k = 2 * int(r.integers(1, max(1, n // 8) + 1))
+    """A ring of width k, drawn from 2 .. n // 4 and made even upwards (below n), and for each of its edges a shortcut with
+    probability 0.1 + 0.9 Beta(1, 3)."""
+    k = int(r.integers(2, max(2, n // 4) + 1))
+    k = min(k + k % 2, (n - 1) // 2 * 2)
     p = 0.1 + 0.9 * r.beta(1, 3)
     ring = [(x, (x + d) % n) for d in range(1, k // 2 + 1) for x in range(n)]
     return graph(n, ring + [(x, int(r.integers(n))) for x, _ in ring if r.random() < p])
@@ -93,15 +95,31 @@ def _power(r: np.random.Generator, tau: float, low: int, high: int, size: int) -
     return r.choice(np.arange(low, high + 1), size, p=x / x.sum())
 
 
+def _degrees(r: np.random.Generator, tau: float, mean: float, n: int) -> np.ndarray:
+    """Degrees below n with a power law whose expected value is mean: the least degree is the one with which it comes
+    nearest below, and each law's share is mixed with that of the next least degree."""
+    at = np.arange(1, n)
+    law = lambda low: np.where(at >= low, at**-tau, 0.0) / (np.where(at >= low, at**-tau, 0.0)).sum()
+    low = max((k for k in range(1, n - 1) if law(k) @ at <= mean), default=1)
+    a, b = law(low), law(low + 1)
+    share = np.clip((mean - a @ at) / (b @ at - a @ at), 0, 1)
+    return r.choice(at, n, p=(1 - share) * a + share * b)
+
+
 @register("lfr", 1.2, 20)
 def lfr(r: np.random.Generator, n: int) -> Graph:
-    """Power-law degrees (exponent 2 to 3) and community sizes (1.5 to 3); a share mu in [0.1, 0.5] of a node's edges
-    leaves its community. Free ends are matched at random; what can't be matched is dropped."""
+    """Power-law degrees (exponent 2 to 3) of a mean drawn from 4 to min(8, n / 4), community sizes by a power law (1.5 to 3)
+    from max(3, n // 10) up; a share mu in [0.1, 0.5] of a node's edges leaves its community. Free ends are matched at
+    random; what can't be matched is dropped."""
     tau, tau2, mu = r.uniform(2, 3), r.uniform(1.5, 3), r.uniform(0.1, 0.5)
-    deg = _power(r, tau, 3, max(4, n // 3), n)
+    deg = _degrees(r, tau, r.uniform(4, min(8, n / 4)), n)
+    low = max(3, n // 10)
     sizes: list[int] = []
     while sum(sizes) < n:
-        sizes.append(int(_power(r, tau2, 5, max(6, n // 2), 1)[0]))
+        sizes.append(int(_power(r, tau2, low, max(low + 1, n // 2), 1)[0]))
+    if len(sizes) > 1 and n - sum(sizes[:-1]) < low:  # no rest below the least size
+        sizes.pop()
+        sizes[-1] += n - sum(sizes)
     member = r.permutation(np.repeat(np.arange(len(sizes)), sizes)[:n])
     inner = np.minimum(np.round((1 - mu) * deg).astype(int), np.bincount(member, minlength=len(sizes))[member] - 1)
     pairs = []
@@ -113,10 +131,13 @@ def lfr(r: np.random.Generator, n: int) -> Graph:
 
 @register("geo", 1.2, 4)
 def geo(r: np.random.Generator, n: int) -> Graph:
-    """Points in a square joined up to 1.05 to 1.8 times the radius at which they become connected."""
+    """Points in a square joined within a radius from sqrt(1.2 ln n / (pi n)) (no more than 0.9 of the greatest) to the
+    greatest, sqrt(0.5), the place between them by Beta(1, 3)."""
     at = r.random((n, 2))
     d2 = ((at[:, None] - at[None]) ** 2).sum(axis=2)
-    return _from_mask(d2 <= np.log(n) / (np.pi * n) * r.uniform(1.05, 1.8) ** 2)
+    high = np.sqrt(0.5)
+    low = min(np.sqrt(1.2 * np.log(n) / (np.pi * n)), 0.9 * high)
+    return _from_mask(d2 <= (low + (high - low) * r.beta(1, 3)) ** 2)
 
 
 @register("hrg", 1.2, 10)

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from .tables import quantile_bin, quantile_edges
+from ..scale import exact_percentiles, in_order, ordered_counts, skew_join, small_or_not
+from ..session import materialize
+from .tables import edges_of, quantile_bin
 
 #: Scores that make the quality of a drawing (the Gabriel ratio isn't one), and those of its empirical variant.
 QUALITY = [
@@ -50,8 +52,6 @@ def sequential_variance(df: DataFrame, metrics: list[str], factors: list[str]) -
     Group means come from aggregates that are joined back, all metrics in one go, so a factor value with many rows is
     combined within the tasks first.
     """
-    from ..scale import skew_join
-
     cols = [f"r{i}" for i in range(len(metrics))]
     mean = df.agg(*(F.avg(m).alias(f"m{i}") for i, m in enumerate(metrics)))
     cur = df.crossJoin(F.broadcast(mean)).select(*factors, *((F.col(m) - F.col(f"m{i}")).alias(c) for i, (m, c) in enumerate(zip(metrics, cols, strict=True))))
@@ -69,46 +69,79 @@ def sequential_variance(df: DataFrame, metrics: list[str], factors: list[str]) -
     return per.select("metric", F.explode(F.array(*shares)).alias("x")).select("metric", "x.factor", "x.share")
 
 
-def pair_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """df with the average rank of value within by (ties share it).
+def _pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(p, vx, vy) of the rows in which both columns of pair number p have a value; a table, as it is read several times."""
+    one = lambda p, x, y: F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.struct(F.lit(p).alias("p"), F.col(x).cast("double").alias("vx"), F.col(y).cast("double").alias("vy")))
+    return materialize(df.select(F.explode(F.array_compact(F.array(*(one(p, x, y) for p, (x, y) in enumerate(pairs))))).alias("t")).select("t.*"))
 
-    Values are counted first, so ties are ranked once. Within a pair, counts run in order over the distinct values.
-    """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.withColumn(out, upto - (F.col("__c") - 1) / 2).drop("__c")
-    return df.join(ranks, [*by, value])
+
+def _named(pairs: list[tuple[str, str]]) -> list[Column]:
+    return [F.element_at(F.array(*(F.lit(k[i]) for k in pairs)), F.col("p") + 1).alias(name) for i, name in enumerate("xy")]
 
 
 def spearman(df: DataFrame, xs: list[str], ys: list[str], key: str | None = None) -> DataFrame:
     """(x, y, n, rho): rank correlation of each column of xs with each of ys over the rows in which both have a value;
-    pairs of fewer than LEAST_PAIRS rows, or without variation, are left out. With key, pairs (x, y) need x < y by place."""
-    a = F.explode(F.array(*(F.struct(F.lit(c).alias("x"), F.col(c).cast("double").alias("vx")) for c in xs)))
-    b = F.explode(F.array(*(F.struct(F.lit(c).alias("y"), F.col(c).cast("double").alias("vy")) for c in ys)))
-    long = df.select(a.alias("a"), *ys).filter("a.vx IS NOT NULL").select("a.x", "a.vx", b.alias("b")).filter("b.vy IS NOT NULL").select("x", "b.y", "vx", "b.vy")
-    if key:
-        long = long.filter(F.col("x") < F.col("y"))
-    ranked = pair_ranks(pair_ranks(long, ["x", "y"], "vx", "rx"), ["x", "y"], "vy", "ry")
-    out = ranked.groupBy("x", "y").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
-    return out.filter((F.col("n") >= LEAST_PAIRS) & F.col("rho").isNotNull() & ~F.isnan("rho"))
-
-
-def binned(df: DataFrame, x: str, y: str, bins: int, quantiles: bool) -> DataFrame:
-    """Bins of x (equal counts or equal widths, right-closed) with quartiles of x and min, median, max of y; bins of fewer
-    than LEAST_IN_BIN rows are left out, and all if there are fewer than LEAST_ROWS rows or x doesn't vary."""
-    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    pairs of fewer than LEAST_PAIRS rows, or without variation, are left out. With key, pairs (x, y) need x < y.
+
+    Only x's ranks meet the rows (their join has one row for a value, so AQE may split a hot one); y's are needed for its
+    different values alone, of which each brings the sum of its rows' x ranks. Ties share their average rank.
+    """
+    pairs = [(x, y) for x in xs for y in ys if not key or x < y]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "x string, y string, n long, rho double")
+    long = _pairs(df, pairs)
+    rank = F.col("before") + (F.col("n") + 1) / 2
+    of_x = ordered_counts(long, ["p"], "vx").withColumn("r", rank)
+    square = of_x.groupBy("p").agg(F.sum(F.col("n") * F.col("r") ** 2).alias("xx"))
+    by_y = long.join(of_x.select("p", "vx", "r"), ["p", "vx"]).groupBy("p", "vy").agg(F.count("*").alias("n"), F.sum("r").alias("rx"))
+    of_y = in_order(by_y, ["p"], "vy").withColumn("r", rank)
+    sums = of_y.groupBy("p").agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("rx")).alias("xy"), F.sum(F.col("n") * F.col("r") ** 2).alias("yy")).join(square, "p")
+    mid = F.col("n") * ((F.col("n") + 1) / 2) ** 2  # n times the squared mean rank
+    var = (F.col("xx") - mid) * (F.col("yy") - mid)
+    rho = F.when((F.col("xx") - mid > 1e-6) & (F.col("yy") - mid > 1e-6), (F.col("xy") - mid) / F.sqrt(var))
+    return sums.filter(F.col("n") >= LEAST_PAIRS).select(*_named(pairs), "n", rho.alias("rho")).filter("rho IS NOT NULL")
+
+
+def binned(df: DataFrame, xs: list[str], ys: list[str], bins: list[int], quantiles: bool) -> DataFrame:
+    """For each x, y and number of bins: bins of x (equal counts or equal widths, right-closed) with n, quartiles of x and min,
+    median, max of y, beside the range of y over all rows; bins of fewer than LEAST_IN_BIN rows are left out, and pairs
+    of fewer than LEAST_ROWS rows, or whose x doesn't vary.
+
+    Percentiles are exact and come from counts in order (scale.exact_percentiles), so no task holds a pair or a bin.
+    """
+    pairs = [(x, y) for x in xs for y in ys]
+    long = _pairs(df, pairs)
+    span = long.groupBy("p").agg(F.min("vx").alias("lo"), F.max("vx").alias("hi"), F.count("*").alias("all"), F.min("vy").alias("y_low"), F.max("vy").alias("y_high")).filter((F.col("all") >= LEAST_ROWS) & (F.col("hi") > F.col("lo")))
     if quantiles:
-        edge = rows.agg(quantile_edges(F.col("x"), bins).alias("e"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("all"))
-        number = quantile_bin(F.col("x"), F.col("e"))
+        every = sorted({i / b for b in bins for i in range(b + 1)})
+        ways = [F.struct(F.lit(b).alias("bins"), F.array(*(F.lit(every.index(i / b) + 1) for i in range(b + 1))).alias("at")) for b in bins]
+        found = exact_percentiles(long, ["p"], "vx", every).drop("rows")
+        edges = found.withColumn("w", F.explode(F.array(*ways))).select("p", "w.bins", edges_of(F.transform("w.at", lambda a: F.element_at("q", a))).alias("e"))
+        span = span.join(edges, "p")
+        number = quantile_bin(F.col("vx"), F.col("e"))
     else:
-        edge = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("all"))
-        number = F.when(F.col("hi") > F.col("lo"), F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.ceil(F.round((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins, 9)) - 1)))
-    marked = rows.crossJoin(F.broadcast(edge)).filter((F.col("all") >= LEAST_ROWS) & (F.col("hi") > F.col("lo"))).withColumn("bin", number.cast("int")).filter("bin IS NOT NULL")
-    out = marked.groupBy("bin").agg(
-        F.count("*").alias("n"), F.percentile("x", 0.25).alias("x_p25"), F.percentile("x", 0.5).alias("x_median"), F.percentile("x", 0.75).alias("x_p75"),
-        F.min("y").alias("y_min"), F.percentile("y", 0.5).alias("y_median"), F.max("y").alias("y_max"),
-    )
-    return out.filter(F.col("n") >= LEAST_IN_BIN).withColumn("low_n", F.col("n") < LOW_N)
+        span = span.withColumn("bins", F.explode(F.array(*map(F.lit, bins))))
+        number = F.greatest(F.lit(0), F.least(F.col("bins") - 1, F.ceil(F.round((F.col("vx") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins"), 9)) - 1))
+    span = materialize(span)  # a row for each pair and number of bins
+    marked = long.join(small_or_not(span), "p").withColumn("bin", number.cast("int")).filter("bin IS NOT NULL")
+    two = F.explode(F.array(F.struct(F.lit(0).alias("of"), F.col("vx").alias("v")), F.struct(F.lit(1).alias("of"), F.col("vy").alias("v"))))
+    by = ["p", "bins", "bin"]
+    found = exact_percentiles(marked.select(*by, two.alias("t")).select(*by, "t.of", "t.v"), [*by, "of"], "v", [0.0, 0.25, 0.5, 0.75, 1.0])
+    of = lambda c, i: F.max(F.when(F.col("of") == c, F.element_at("q", i)))
+    out = found.groupBy(*by).agg(F.max("rows").alias("n"), of(0, 2).alias("x_p25"), of(0, 3).alias("x_median"), of(0, 4).alias("x_p75"), of(1, 1).alias("y_min"), of(1, 3).alias("y_median"), of(1, 5).alias("y_max"))
+    out = out.filter(F.col("n") >= LEAST_IN_BIN).withColumn("low_n", F.col("n") < LOW_N).join(small_or_not(span.select("p", "bins", "y_low", "y_high")), ["p", "bins"])
+    return out.select(*_named(pairs), *(c for c in out.columns if c != "p"))
+
+
+def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with place, from 1, in order. For the few rows of a chart or table: one task numbers them."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def custom_order(c: Column, names: list[str]) -> Column:
+    """The place of c in names; behind all for others and null."""
+    at = F.array_position(F.array(*map(F.lit, names)), c)
+    return F.when(at > 0, at).otherwise(F.lit(len(names) + 1))
 
 
 def prefix_source(ids: DataFrame, sources: DataFrame, column: str = "graph_id") -> DataFrame:

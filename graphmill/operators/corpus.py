@@ -14,6 +14,7 @@ N_MIN, N_MAX, FLOOR = 1, 75, 8
 #: The greatest density by size; above 30 nodes, DENSITY_REST.
 DENSITY_STEPS = ((8, 1.0), (15, 0.75), (30, 0.6))
 DENSITY_REST = 0.5
+#: In the order in which they are looked for; already_in_manifest comes before all.
 REASONS = ("out_of_size", "no_edges", "disconnected", "over_density_cap")
 
 
@@ -62,7 +63,7 @@ def density_cap(n: Column) -> Column:
 def reject_reason(n: Column, m: Column, connected: Column, n_min: Column | int = FLOOR, n_max: Column | int = N_MAX, cap: Column | None = None) -> Column:
     """The first reason to leave a graph out, null if it stays: size (inclusive bounds), edges, connection, density."""
     over = density(n, m) > (density_cap(n) if cap is None else cap)
-    return F.when(m == 0, F.lit("no_edges")).when(~n.between(n_min, n_max), F.lit("out_of_size")).when(~connected, F.lit("disconnected")).when(over, F.lit("over_density_cap"))
+    return F.when(~n.between(n_min, n_max), F.lit("out_of_size")).when(m == 0, F.lit("no_edges")).when(~connected, F.lit("disconnected")).when(over, F.lit("over_density_cap"))
 
 
 def size_floor(category: Column, drawings_min: int = N_MIN) -> Column:

@@ -99,21 +99,29 @@ def angular_resolution(edges: DataFrame, at: DataFrame) -> DataFrame:
 
 def crossings(edges: DataFrame, at: DataFrame) -> DataFrame:
     """(graph_id, layout, u1, v1, u2, v2, angle): pairs of edges without a common end whose chords cross properly, and
-    their acute angle in degrees."""
-    c = chords(edges, at)
-    a = c.select(*KEY, *(F.col(k).alias(k + "a") for k in ("u", "v", "x1", "y1", "x2", "y2")))
-    b = c.select(*KEY, *(F.col(k).alias(k + "b") for k in ("u", "v", "x1", "y1", "x2", "y2")))
-    later = (F.col("ua") < F.col("ub")) | ((F.col("ua") == F.col("ub")) & (F.col("va") < F.col("vb")))
-    apart = (F.col("ua") != F.col("ub")) & (F.col("ua") != F.col("vb")) & (F.col("va") != F.col("ub")) & (F.col("va") != F.col("vb"))
-
-    def turn(p: str, q: str, r: str) -> Column:
-        x, y = (lambda s: F.col("x" + s)), (lambda s: F.col("y" + s))
-        return (x(q) - x(p)) * (y(r) - y(p)) - (y(q) - y(p)) * (x(r) - x(p))
-
-    cross = (turn("1a", "2a", "1b") * turn("1a", "2a", "2b") < 0) & (turn("1b", "2b", "1a") * turn("1b", "2b", "2a") < 0)
-    dx, dy, ex, ey = (F.col(p) - F.col(q) for p, q in (("x2a", "x1a"), ("y2a", "y1a"), ("x2b", "x1b"), ("y2b", "y1b")))
+    their acute angle in degrees.
+
+    A drawing's chords are one array, in order, and each chord looks through those behind it: pairs are made and dropped
+    within the row and never travel.
+    """
+    fields = ("u", "v", "x1", "y1", "x2", "y2")
+    rows = chords(edges, at).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c"))
+    rows = rows.select(*KEY, "c", F.posexplode("c").alias("i", "a")).select(*KEY, "a", F.slice("c", F.col("i") + 2, F.size("c")).alias("rest"))
+
+    def turn(p: tuple, q: tuple, r: tuple) -> Column:
+        return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+    def cross(b: Column) -> Column:
+        a = F.col("a")
+        apart = (a["u"] != b["u"]) & (a["u"] != b["v"]) & (a["v"] != b["u"]) & (a["v"] != b["v"])
+        near = (F.least(a["x1"], a["x2"]) <= F.greatest(b["x1"], b["x2"])) & (F.least(b["x1"], b["x2"]) <= F.greatest(a["x1"], a["x2"]))
+        a1, a2, b1, b2 = (a["x1"], a["y1"]), (a["x2"], a["y2"]), (b["x1"], b["y1"]), (b["x2"], b["y2"])
+        return apart & near & (turn(a1, a2, b1) * turn(a1, a2, b2) < 0) & (turn(b1, b2, a1) * turn(b1, b2, a2) < 0)
+
+    met = rows.select(*KEY, "a", F.explode("rest").alias("b")).filter(cross(F.col("b")))
+    dx, dy, ex, ey = (F.col(p) - F.col(q) for p, q in (("a.x2", "a.x1"), ("a.y2", "a.y1"), ("b.x2", "b.x1"), ("b.y2", "b.y1")))
     angle = F.degrees(F.atan2(F.abs(dx * ey - dy * ex), F.abs(dx * ex + dy * ey)))
-    return a.join(b, KEY).filter(later & apart & cross).select(*KEY, F.col("ua").alias("u1"), F.col("va").alias("v1"), F.col("ub").alias("u2"), F.col("vb").alias("v2"), angle.alias("angle"))
+    return met.select(*KEY, F.col("a.u").alias("u1"), F.col("a.v").alias("v1"), F.col("b.u").alias("u2"), F.col("b.v").alias("v2"), angle.alias("angle"))
 
 
 def crossing_scores(edges: DataFrame, at: DataFrame) -> DataFrame:
@@ -128,17 +136,21 @@ def crossing_scores(edges: DataFrame, at: DataFrame) -> DataFrame:
     return df.select(*KEY, F.coalesce("c", F.lit(0)).alias("n_crossings"), F.when(F.col("most") > 0, 1 - F.coalesce("c", F.lit(0)) / F.col("most")).otherwise(F.lit(1.0)).alias("edge_crossings"), (1 - F.coalesce("off", F.lit(0.0))).alias("crossing_angle"))
 
 
-def node_pairs(at: DataFrame) -> DataFrame:
-    """(graph_id, layout, a, b, d): ordered pairs of different nodes and their distance."""
-    nodes = at.groupBy(*KEY).agg(F.collect_list(F.struct("node", "x", "y")).alias("p"))
-    pairs = nodes.select(*KEY, "p", F.explode("p").alias("a")).select(*KEY, "a", F.explode("p").alias("b")).filter("a.node <> b.node")
-    return pairs.select(*KEY, F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")).alias("d"))
+def places(at: DataFrame) -> DataFrame:
+    """(graph_id, layout, p): the nodes of a drawing and their places, in order, as one array."""
+    return at.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("node", "x", "y"))).alias("p"))
+
+
+def _far(a: Column, b: Column) -> Column:
+    return F.hypot(a["x"] - b["x"], a["y"] - b["y"])
 
 
 def node_resolution(at: DataFrame) -> DataFrame:
-    """The least distance of two nodes by the box's diagonal; null for a point."""
-    near = node_pairs(at).groupBy(*KEY).agg(F.min("d").alias("d"))
-    return boxes(at).join(near, KEY).select(*KEY, F.when(F.col("diag") > 0, F.col("d") / F.col("diag")).alias("node_resolution"))
+    """The least distance of two nodes by the box's diagonal; null for a point. Pairs of nodes stay within the row."""
+    nearest = F.array_min(F.transform("p", lambda a, i: F.array_min(F.transform(F.slice("p", i + 2, F.size("p")), lambda b: _far(a, b)))))
+    of = lambda c: F.col(f"p.{c}")
+    diag = F.hypot(F.array_max(of("x")) - F.array_min(of("x")), F.array_max(of("y")) - F.array_min(of("y")))
+    return places(at).filter(F.size("p") > 1).select(*KEY, diag.alias("diag"), nearest.alias("d")).select(*KEY, F.when(F.col("diag") > 0, F.col("d") / F.col("diag")).alias("node_resolution"))
 
 
 def node_uniformity(at: DataFrame) -> DataFrame:
@@ -186,11 +198,19 @@ def node_edge_occlusion(edges: DataFrame, at: DataFrame) -> DataFrame:
 def neighbourhood_preservation(edges: DataFrame, at: DataFrame) -> DataFrame:
     """Neighbours in the graph among the degree-many nearest nodes in the drawing (ties: smaller node), as the share of
     common ones in all of both, summed over nodes."""
-    near = edges.select("graph_id", F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("s")).groupBy("graph_id", "s.a").agg(F.collect_list("s.b").alias("near"))
-    ranked = node_pairs(at).groupBy(*KEY, "a").agg(F.array_sort(F.collect_list(F.struct(F.round("d", 9).alias("d"), "b"))).alias("by"))
-    both = ranked.join(near, ["graph_id", "a"]).withColumn("k", F.transform(F.slice("by", 1, F.size("near")), lambda x: x["b"]))
-    common = F.sum(F.size(F.array_intersect("near", "k")))
-    return both.groupBy(*KEY).agg((common / F.sum(F.size(F.array_union("near", "k")))).alias("neighbourhood_preservation"))
+    ends = F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b"))))
+    near = edges.select("graph_id", ends.alias("s")).groupBy("graph_id", "s.a").agg(F.collect_list("s.b").alias("near"))
+    maps = near.groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("a", "near"))).alias("near"))
+
+    def shared(a: Column) -> Column:
+        own = F.element_at("near", a["node"])
+        by = F.array_sort(F.transform(F.filter("p", lambda b: b["node"] != a["node"]), lambda b: F.struct(F.round(_far(a, b), 9).alias("d"), b["node"].alias("b"))))
+        nearest = F.transform(F.slice(by, 1, F.size(own)), lambda x: x["b"])
+        return F.struct(F.size(F.array_intersect(own, nearest)).alias("common"), F.size(F.array_union(own, nearest)).alias("all"))
+
+    counts = places(at).join(maps, "graph_id").select(*KEY, F.transform(F.filter("p", lambda a: F.map_contains_key("near", a["node"])), shared).alias("s"))
+    total = lambda c: F.aggregate(F.col(f"s.{c}"), F.lit(0), lambda x, y: x + y)
+    return counts.filter(F.size("s") > 0).select(*KEY, (total("common") / total("all")).alias("neighbourhood_preservation"))
 
 
 def path_flags(paths: DataFrame, by: list[str], path: str = "path") -> DataFrame:

@@ -39,17 +39,17 @@ def scored(edges: DataFrame, at: DataFrame, names: list[str] = scores.NAMES) ->
     return df.mapInPandas(run, schema)
 
 
-def _drawn(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarray, root: int, limit_s: float | None) -> tuple[np.ndarray, layouts.Bends]:
-    own = seed(root, layout, graph)
+def _drawn(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarray, root: int, limit_s: float | None, xy: np.ndarray | None = None) -> tuple[np.ndarray, layouts.Bends]:
+    more = {"seed": seed(root, layout, graph)} | ({"xy": xy} if layout == "curated" else {})
     if limit_s is None:
-        return layouts.lay_out(layout, n, us, vs, seed=own)
-    return guarded(lambda: layouts.lay_out(layout, n, us, vs, seed=own), limit_s)  # type: ignore[return-value]
+        return layouts.lay_out(layout, n, us, vs, **more)
+    return guarded(lambda: layouts.lay_out(layout, n, us, vs, **more), limit_s)  # type: ignore[return-value]
 
 
-def one_drawing(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarray, root: int, limit_s: float | None = None) -> dict:
+def one_drawing(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarray, root: int, limit_s: float | None = None, xy: np.ndarray | None = None) -> dict:
     """Outcome (ok, not_applicable, timeout, failed), scores and flags of one graph under one layout."""
     try:
-        xy, bends = _drawn(layout, graph, n, us, vs, root, limit_s)
+        xy, bends = _drawn(layout, graph, n, us, vs, root, limit_s, xy)
         xy, bends = layouts.standardised(xy, bends, us)
         lines = {i: np.vstack((xy[us[i]], b, xy[vs[i]])) for i, b in bends.items() if len(b)}
         return {"outcome": "ok", **scores.score(n, us, vs, xy, lines), "contains_bends": bool(lines), "contains_curves": False}
@@ -61,27 +61,45 @@ def one_drawing(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarr
         return {"outcome": "failed"}
 
 
+def _tasks(packed: DataFrame, names: list[str], done: DataFrame | None = None, flags: bool = False) -> DataFrame:
+    """packed with a row for each of its layouts. Graphs are spread first, each with the list of its open layouts, and meet the
+    layouts within the task, so their edges travel once."""
+    wanted = F.array(*map(F.lit, names))
+    if flags:
+        needs = {k: F.col(v) for k, v in layouts.NEEDS.items()} | {"curated": F.col("category") == "graphs_with_drawings"}
+        needs = {k: v for k, v in needs.items() if k != "curated" or "category" in packed.columns}
+        wanted = F.array_compact(F.array(*(F.when(needs[x], F.lit(x)) if x in needs else F.lit(x) for x in names)))
+    if done is not None:
+        have = done.groupBy(F.col("graph_id").alias("__g")).agg(F.collect_set("layout").alias("__have"))
+        packed = packed.join(have, F.col("graph_id") == F.col("__g"), "left").drop("__g")
+        wanted = F.array_except(wanted, F.coalesce("__have", F.array().cast("array<string>")))
+    drawn = [c for c in ("xs", "ys") if c in packed.columns]
+    rows = packed.withColumn("__open", wanted).filter(F.size("__open") > 0)
+    return spread(rows.select("graph_id", "n", "us", "vs", *drawn, "__open"), "graph_id").select("graph_id", F.explode("__open").alias("layout"), "n", "us", "vs", *drawn)
+
+
+def _places(r: object) -> np.ndarray | None:
+    """The places that a row's graph came with, or None."""
+    xs, ys = getattr(r, "xs", None), getattr(r, "ys", None)
+    return None if xs is None or ys is None or not len(xs) else np.array([[np.nan if v is None else v for v in c] for c in (xs, ys)], float).T
+
+
 def laid_out_and_scored(packed: DataFrame, names: list[str], root: int = 1, done: DataFrame | None = None, flags: bool = False, limit_s: float | None = None) -> DataFrame:
     """(graph_id, layout, outcome, scores, contains_bends, contains_curves) for every graph and layout.
 
     Pairs in done(graph_id, layout) are left out before anything is computed. With flags, packed has the manifest's
-    is_planar and is_tree, and pairs that these rule out are dropped before the kernel. With limit_s, every layout runs in a
-    child process and is given up after so many seconds.
+    is_planar and is_tree (and may have its category), and pairs that these rule out are dropped before the kernel. Columns xs
+    and ys, if there are any, are the places of the layout curated. With limit_s, every layout runs in a child process and is
+    given up after so many seconds.
     """
-    tasks = packed.withColumn("layout", F.explode(F.array(*map(F.lit, names))))
-    if flags:
-        for layout, flag in layouts.NEEDS.items():
-            tasks = tasks.filter((F.col("layout") != layout) | F.col(flag))
-    if done is not None:
-        tasks = tasks.join(done.select("graph_id", "layout").distinct(), ["graph_id", "layout"], "left_anti")
-    tasks = spread(tasks.select("graph_id", "layout", "n", "us", "vs"), "graph_id")
+    tasks = _tasks(packed, names, done, flags)
     schema = T.StructType([tasks.schema["graph_id"], tasks.schema["layout"], T.StructField("outcome", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in scores.NAMES), *(T.StructField(c, T.BooleanType()) for c in scores.FLAGS)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
-                got = one_drawing(r.layout, r.graph_id, int(r.n), np.asarray(r.us, np.int64), np.asarray(r.vs, np.int64), root, limit_s)
+                got = one_drawing(r.layout, r.graph_id, int(r.n), np.asarray(r.us, np.int64), np.asarray(r.vs, np.int64), root, limit_s, _places(r))
                 rows.append((r.graph_id, r.layout, *(got.get(c) for c in schema.names[2:])))
             yield pd.DataFrame(rows, columns=schema.names)
 
@@ -90,12 +108,12 @@ def laid_out_and_scored(packed: DataFrame, names: list[str], root: int = 1, done
 
 def laid_out(packed: DataFrame, names: list[str], root: int = 1) -> DataFrame:
     """(graph_id, layout, outcome, xs, ys, paths): drawings in standard form; the path of a straight edge is its chord."""
-    tasks = spread(packed.withColumn("layout", F.explode(F.array(*map(F.lit, names)))).select("graph_id", "layout", "n", "us", "vs"), "graph_id", "layout")
+    tasks = _tasks(packed, names)
     schema = T.StructType([tasks.schema["graph_id"], tasks.schema["layout"], *T._parse_datatype_string("outcome string, xs array<double>, ys array<double>, paths array<string>").fields])
 
-    def one(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarray) -> tuple:
+    def one(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarray, places: np.ndarray | None) -> tuple:
         try:
-            xy, bends = layouts.standardised(*layouts.lay_out(layout, n, us, vs, seed=seed(root, layout, graph)), us)
+            xy, bends = layouts.standardised(*_drawn(layout, graph, n, us, vs, root, None, places), us)
         except layouts.NotApplicable:
             return "not_applicable", None, None, None
         except Exception:  # noqa: BLE001
@@ -105,7 +123,7 @@ def laid_out(packed: DataFrame, names: list[str], root: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(r.graph_id, r.layout, *one(r.layout, r.graph_id, int(r.n), np.asarray(r.us, np.int64), np.asarray(r.vs, np.int64))) for r in b.itertuples(index=False)]
+            rows = [(r.graph_id, r.layout, *one(r.layout, r.graph_id, int(r.n), np.asarray(r.us, np.int64), np.asarray(r.vs, np.int64), _places(r))) for r in b.itertuples(index=False)]
             yield pd.DataFrame(rows, columns=schema.names)
 
     return tasks.mapInPandas(run, schema)

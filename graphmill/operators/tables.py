@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import number
-from ..scale import hashed_rank, small_or_not
+from ..scale import exact_percentiles, hashed_rank, null_safe, small_or_not
+from ..session import materialize
 
 #: Quantile bins by which a source is stratified, for each of n_nodes and density.
 BINS = 5
@@ -48,56 +49,65 @@ def quantile_bin(x: Column, edges: Column) -> Column:
     return F.when(x.isNotNull() & (F.size(edges) > 1), F.greatest(F.lit(0), below - 1))
 
 
-def quantile_edges(x: Column, bins: int) -> Column:
-    """Distinct exact quantiles of x at 0, 1 / bins, ..., 1 (linear between values)."""
-    return F.array_distinct(F.percentile(x, [i / bins for i in range(bins + 1)]))
+def edges_of(q: Column) -> Column:
+    """Bin edges from percentiles in order: each once."""
+    return F.array_distinct(q)
 
 
 def strata(df: DataFrame, by: str = "source") -> DataFrame:
-    """df with stratum "i_j": the quintiles of n_nodes and density within by; "<NA>" for a column without two edges."""
+    """df with stratum "i_j": the quintiles of n_nodes and density within by (a null by is a group too); "<NA>" for a column
+    without two edges."""
     d = number(F.col("density"))
-    edges = df.groupBy(by).agg(quantile_edges(F.col("n_nodes"), BINS).alias("__n"), quantile_edges(d, BINS).alias("__d"))
+    qs = [i / BINS for i in range(BINS + 1)]
+    long = df.select(F.col(by).alias("__by"), F.explode(F.array(F.struct(F.lit("n").alias("c"), F.col("n_nodes").cast("double").alias("x")), F.struct(F.lit("d").alias("c"), d.alias("x")))).alias("v")).select("__by", "v.c", "v.x")
+    found = exact_percentiles(long, ["__by", "c"], "x", qs)
+    edges = found.groupBy("__by").agg(*(F.max(F.when(F.col("c") == c, edges_of(F.col("q")))).alias(f"__{c}") for c in "nd"))
+    known = df.select(F.col(by).alias("__all")).distinct().join(edges, F.col("__all").eqNullSafe(F.col("__by")), "left").drop("__by")
     name = lambda c: F.coalesce(c.cast("string"), F.lit("<NA>"))
-    out = df.join(edges, by).withColumn("stratum", F.concat_ws("_", name(quantile_bin(F.col("n_nodes"), F.col("__n"))), name(quantile_bin(d, F.col("__d")))))
-    return out.drop("__n", "__d")
-
-
-def allocate(counts: dict[str, int], cap: int) -> dict[str, int]:
-    """Rows to keep of each stratum: its share of cap, half to even, at least 1 and at most all; then rows are taken from
-    those most above their share, or given to those with most rows left. Ties go to the first name."""
-    total = sum(counts.values())
-    share = {k: round(counts[k] * cap / total) for k in sorted(counts)}
-    out = {k: min(max(share[k], 1), counts[k]) for k in share}
-    while sum(out.values()) > cap:
-        over = [k for k in out if out[k] > 1]
-        worst = max(over, key=lambda k: out[k] - share[k]) if over else max(out, key=out.get)
-        out[worst] -= 1
-    while sum(out.values()) < cap:
-        room = [k for k in out if counts[k] > out[k]]
-        if not room:
-            break
-        out[max(room, key=lambda k: counts[k] - out[k])] += 1
-    return out
-
-
-def stratified_sample(df: DataFrame, cap: int, seed: str = "sample", by: str = "source", key: str = "graph_id") -> DataFrame:
-    """Rows of df of which each by keeps at most cap, spread over its strata; a by of no more rows is kept whole.
-
-    Within a stratum the rows of least md5(seed|by|key) stay, so one source's rows don't depend on another's. The
-    allotment works on counts (25 for a source).
-    """
-    marked = strata(df, by)
-    counts = marked.groupBy(by, "stratum").agg(F.count("*").alias("n"))
-    per = counts.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("stratum", "n"))).alias("counts"))
+    out = df.join(small_or_not(known), F.col(by).eqNullSafe(F.col("__all"))).withColumn("stratum", F.concat_ws("_", name(quantile_bin(F.col("n_nodes"), F.col("__n"))), name(quantile_bin(d, F.col("__d")))))
+    return out.drop("__n", "__d", "__all")
 
-    @F.udf("map<string,bigint>")
-    def allotted(c: dict[str, int]) -> dict[str, int]:
-        return allocate(c, cap) if sum(c.values()) > cap else c
 
-    quota = per.select(by, F.explode(allotted("counts")).alias("stratum", "quota"))
+def allotment(counts: DataFrame, by: str, cap: Column) -> DataFrame:
+    """counts(by, stratum, n) with quota: how many rows each stratum of a by keeps if by keeps cap of them.
+
+    Every stratum begins with its share of cap, half to even, at least 1 and at most all. What this is above cap is taken
+    away one by one where most stands above the share (of strata with more than one row first), what it lacks is given one by
+    one where most rows are left; ties go to the first name. The ones are numbered and ranked, so the rounds are one
+    window over no more than strata times the difference, which strata bound. A by of no more rows than cap, or with a
+    cap of null or 0, is kept whole.
+    """
+    whole = Window.partitionBy(by)
+    d = counts.withColumn("__cap", cap).withColumn("__all", F.sum("n").over(whole))
+    free = F.coalesce(F.col("__cap"), F.lit(0)) == 0
+    d = d.withColumn("__cap", F.when(free | (F.col("__all") <= F.col("__cap")), F.col("__all")).otherwise(F.col("__cap")))
+    d = d.withColumn("__share", F.bround(F.col("n") * F.col("__cap") / F.col("__all")).cast("long"))
+    d = d.withColumn("__own", F.least(F.greatest("__share", F.lit(1)), F.col("n"))).withColumn("__over", F.sum("__own").over(whole) - F.col("__cap"))
+    least = F.least(F.when(F.col("__over") > 0, F.col("__own")).otherwise(F.col("n") - F.col("__own")), F.abs("__over"))
+    ones = d.filter(least > 0).select(by, "stratum", "n", "__own", "__share", "__over", F.explode(F.sequence(F.lit(1).cast("long"), least)).alias("u"))
+    away = F.col("__over") > 0
+    last = away & (F.col("u") == F.col("__own"))  # would leave nothing
+    want = F.when(away, F.col("__own") - F.col("__share")).otherwise(F.col("n") - F.col("__own")) - F.col("u")
+    ranked = ones.withColumn("__r", F.row_number().over(whole.orderBy(last, F.desc(want), "stratum"))).filter(F.col("__r") <= F.abs("__over"))
+    moved = ranked.groupBy(F.col(by).alias("__b"), F.col("stratum").alias("__s")).agg(F.count("*").alias("__moved"))
+    out = d.join(moved, null_safe([by, "stratum"], ["__b", "__s"]), "left")
+    return out.select(by, "stratum", "n", (F.col("__own") - F.signum("__over").cast("long") * F.coalesce("__moved", F.lit(0))).alias("quota"))
+
+
+def stratified_sample(df: DataFrame, cap: int | dict[str, int], seed: str = "sample", by: str = "source", key: str = "graph_id") -> DataFrame:
+    """Rows of df of which each by keeps at most cap (a number, or one by name; none for a name that isn't there, or 0),
+    spread over its strata; a by of no more rows is kept whole.
+
+    Within a stratum the rows of least md5(seed|by|key) stay, so one source's rows don't depend on another's. A null by is a
+    group like any other. The allotment works on counts (25 for a source).
+    """
+    marked = strata(df, by)
+    counts = materialize(marked.groupBy(by, "stratum").agg(F.count("*").alias("n")))
+    most = F.lit(cap) if isinstance(cap, int) else F.element_at(F.create_map(*(F.lit(x) for kv in cap.items() for x in kv)), F.col(by)) if cap else F.lit(None)
+    quota = allotment(counts, by, most.cast("long")).select(F.col(by).alias("__b"), F.col("stratum").alias("__s"), "quota")
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col(by), F.col(key)))
     ranked = hashed_rank(marked.withColumn("__h", order), [by, "stratum"], "__h", "__n")
-    return ranked.join(small_or_not(quota), [by, "stratum"]).filter("__n <= quota").drop("__n", "__h", "quota", "stratum")
+    return ranked.join(small_or_not(materialize(quota)), null_safe([by, "stratum"], ["__b", "__s"])).filter("__n <= quota").drop("__n", "__h", "quota", "stratum", "__b", "__s")
 
 
 def tier(category: Column, generator: Column, source: Column) -> Column:
@@ -107,7 +117,6 @@ def tier(category: Column, generator: Column, source: Column) -> Column:
 
 
 
-
 def duplicates(df: DataFrame, keys: list[str], rank: list[Column]) -> DataFrame:
     """df with class_size, and the graph, source and category that its class keeps (kept_*): the first in rank.
 

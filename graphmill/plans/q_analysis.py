@@ -74,18 +74,20 @@ def envelope_plus(spark, sf):  # noqa: ANN001, ANN201
     return e.join(graphs(spark, sf).select("graph_id", "n_nodes", "n_edges"), "graph_id", "left")
 
 
+EVERY = [*Q, "quality", "empirical_quality"]
+
+
 def _eta() -> str:
     parts = []
-    for m in ("kruskal_stress", "node_uniformity", "quality"):
-        parts.append(f"""SELECT '{m}' AS metric, unnest(['graph_id', 'layout', 'residual']) AS factor, round(unnest([(s0 - s1) / s0, (s1 - s2) / s0, s2 / s0]), 6) AS share FROM (
+    for m in EVERY:
+        parts.append(f"""SELECT '{m}' AS metric, unnest(['graph_id', 'layout', 'residual']) AS factor, round(unnest([(s0 - s1) / s0, (s1 - s2) / s0, s2 / s0]), 6) + 0.0 AS share FROM (
           SELECT sum(r0 * r0) AS s0, sum(r1 * r1) AS s1, sum(r2 * r2) AS s2 FROM (SELECT *, r1 - avg(r1) OVER (PARTITION BY layout) AS r2 FROM (SELECT *, r0 - avg(r0) OVER (PARTITION BY graph_id) AS r1 FROM (SELECT graph_id, layout, {m} - avg({m}) OVER () AS r0 FROM q WHERE {m} IS NOT NULL))))""")
     return f"WITH {CLEAN} " + " UNION ALL ".join(parts)
 
 
 @query(_eta())
 def eta2_variance(spark, sf):  # noqa: ANN001, ANN201
-    df = clean(spark, sf).select("graph_id", "layout", "kruskal_stress", "node_uniformity", "quality")
-    return rounded(analysis.sequential_variance(df, ["kruskal_stress", "node_uniformity", "quality"], ["graph_id", "layout"]), "metric", "factor")
+    return rounded(analysis.sequential_variance(clean(spark, sf).select("graph_id", "layout", *EVERY), EVERY, ["graph_id", "layout"]), "metric", "factor")
 
 
 @query(f"SELECT metric, component, round(value, 6) + 0.0 AS value FROM (SELECT metric, component, value FROM (UNPIVOT (SELECT metric, max(CASE WHEN factor = 'graph_id' THEN share END) AS graph, max(CASE WHEN factor = 'layout' THEN share END) AS layout, max(CASE WHEN factor = 'residual' THEN share END) AS residual FROM ({_eta()}) GROUP BY 1) ON graph, layout, residual INTO NAME component VALUE value))")
@@ -94,6 +96,26 @@ def unpivot_components(spark, sf):  # noqa: ANN001, ANN201
     return rounded(wide.unpivot("metric", ["graph", "layout", "residual"], "component", "value"), "metric", "component")
 
 
+COMPOSITE = ("quality", "empirical_quality")
+
+
+@query(f"SELECT metric, metric IN {COMPOSITE} AS is_composite, share, row_number() OVER (ORDER BY metric IN {COMPOSITE}, share DESC, metric) AS place FROM ({_eta()}) WHERE factor = 'graph_id'")
+def metrics_by_share(spark, sf):  # noqa: ANN001, ANN201
+    """Single scores before composites, those that depend most on the graph first."""
+    df = eta2_variance(spark, sf).filter("factor = 'graph_id'").select("metric", F.col("metric").isin(*COMPOSITE).alias("is_composite"), "share")
+    return analysis.placed(df, [F.col("is_composite"), F.desc("share"), F.col("metric")])
+
+
+CUSTOM = ["random", "circular", "spectral", "FMMM", "HOLA"]
+
+
+@query(f"SELECT layout, n, row_number() OVER (ORDER BY coalesce(list_position({CUSTOM}, layout), 999), layout) AS place FROM (SELECT layout, count(*) AS n FROM metrics GROUP BY 1)")
+def layouts_in_custom_order(spark, sf):  # noqa: ANN001, ANN201
+    """Layouts in the order of a list, those that it lacks behind it by name."""
+    df = table(spark, sf, "metrics").groupBy("layout").agg(F.count("*").alias("n"))
+    return analysis.placed(df, [analysis.custom_order(F.col("layout"), CUSTOM), F.col("layout")])
+
+
 PROPS, SCORES = ["n_nodes", "density", "transitivity", "degree_assortativity", "diameter"], ["kruskal_stress", "node_uniformity", "quality"]
 
 
@@ -115,9 +137,6 @@ def spearman_property_metric(spark, sf):  # noqa: ANN001, ANN201
     return rounded(analysis.spearman(_means(spark, sf, PROPS, SCORES), PROPS, SCORES), "x", "y", "n")
 
 
-EVERY = [*Q, "quality", "empirical_quality"]
-
-
 @query(_spearman(analysis.PROPERTIES, EVERY))
 def spearman_all_properties(spark, sf):  # noqa: ANN001, ANN201
     return rounded(analysis.spearman(_means(spark, sf, analysis.PROPERTIES, EVERY), analysis.PROPERTIES, EVERY), "x", "y", "n")
@@ -140,21 +159,52 @@ def one_hot_family(spark, sf):  # noqa: ANN001, ANN201
     return drawn(spark, sf).select("graph_id", "layout", *(F.when(F.col("layout").isin(v), 1.0).otherwise(0.0).alias(f"layout_family_{k}") for k, v in FAMILIES.items()))
 
 
-def _bins(number_sql: str, edges: str) -> str:
-    return f"""WITH {CLEAN}, {FIRST_SQL}, pm AS (SELECT g.n_nodes::DOUBLE AS x, e.y FROM (SELECT graph_id, round(avg(quality), {FINE}) AS y FROM q GROUP BY 1) e JOIN graphs g ON e.graph_id = g.graph_id WHERE g.n_nodes IS NOT NULL AND y IS NOT NULL),
-      ed AS (SELECT {edges} FROM pm), b AS (SELECT x, y, ({number_sql})::INT AS bin FROM pm, ed)
-      SELECT bin, count(*) AS n, round(quantile_cont(x, 0.25), 6) AS x_p25, round(quantile_cont(x, 0.5), 6) AS x_median, round(quantile_cont(x, 0.75), 6) AS x_p75, round(min(y), 6) AS y_min, round(quantile_cont(y, 0.5), 6) AS y_median, round(max(y), 6) AS y_max, count(*) < 1000 AS low_n
-      FROM b WHERE bin IS NOT NULL GROUP BY 1 HAVING count(*) >= 10"""
+def _bins(props: list[str], scores: list[str], bins: list[int], quantiles: bool) -> str:
+    every = sorted({i / b for b in bins for i in range(b + 1)})
+    edges = f", list_transform(quantile_cont(vx, {every}), lambda e: e) AS q" if quantiles else ""
+    at = f"list_sort(list_distinct(list_transform(range(0, bins + 1), lambda i: q[list_position({every}, i / bins)]))) AS e" if quantiles else "NULL AS e"
+    number = "CASE WHEN len(e) > 1 THEN greatest(0, len(list_filter(e, lambda v: v < vx)) - 1) END" if quantiles else "greatest(0, least(bins - 1, ceil(round((vx - lo) / (hi - lo) * bins, 9)) - 1))"
+    return f"""WITH {CLEAN}, {FIRST_SQL}, pm AS MATERIALIZED (SELECT e.graph_id, {', '.join(f'{_num(f"g.{p}::DOUBLE")} AS {p}' for p in props)}, {', '.join(f'e.{m}' for m in scores)} FROM (SELECT graph_id, {', '.join(f'round(avg({m}), {FINE}) AS {m}' for m in scores)} FROM q GROUP BY 1) e JOIN graphs g ON e.graph_id = g.graph_id),
+      px AS (SELECT graph_id, x, vx FROM (UNPIVOT pm ON {', '.join(props)} INTO NAME x VALUE vx)), py AS (SELECT graph_id, y, vy FROM (UNPIVOT pm ON {', '.join(scores)} INTO NAME y VALUE vy)),
+      pairs AS MATERIALIZED (SELECT x, y, vx, vy FROM px JOIN py ON px.graph_id = py.graph_id),
+      span AS (SELECT x, y, min(vx) AS lo, max(vx) AS hi, min(vy) AS y_low, max(vy) AS y_high{edges} FROM pairs GROUP BY 1, 2 HAVING count(*) >= 100 AND max(vx) > min(vx)),
+      ways AS (SELECT *, {at} FROM span CROSS JOIN (SELECT unnest({bins})::INT AS bins)),
+      b AS (SELECT p.x, p.y, bins, vx, vy, y_low, y_high, ({number})::INT AS bin FROM pairs p JOIN ways w ON p.x = w.x AND p.y = w.y)
+      SELECT x, y, bins, bin, count(*) AS n, round(quantile_cont(vx, 0.25), 8) + 0.0 AS x_p25, round(quantile_cont(vx, 0.5), 8) + 0.0 AS x_median, round(quantile_cont(vx, 0.75), 8) + 0.0 AS x_p75, round(min(vy), {FINE}) + 0.0 AS y_min, round(quantile_cont(vy, 0.5), 12) + 0.0 AS y_median, round(max(vy), {FINE}) + 0.0 AS y_max, count(*) < 1000 AS low_n, round(min(y_low), {FINE}) + 0.0 AS y_low, round(max(y_high), {FINE}) + 0.0 AS y_high
+      FROM b WHERE bin IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10"""
 
 
-@query(_bins("CASE WHEN len(e) > 1 THEN greatest(0, len(list_filter(e, lambda q: q < x)) - 1) END", f"list_sort(list_distinct(quantile_cont(x, {[i / 10 for i in range(11)]}))) AS e"))
+def _binned(spark: SparkSession, sf: str, props: list[str], scores: list[str], bins: list[int], quantiles: bool) -> DataFrame:
+    df = analysis.binned(_means(spark, sf, props, scores), props, scores, bins, quantiles)
+    places = {c: 8 for c in ("x_p25", "x_median", "x_p75")} | {c: FINE for c in ("y_min", "y_max", "y_low", "y_high")} | {"y_median": 12}
+    return df.select(*((F.round(c, places[c]) + 0.0).alias(c) if c in places else c for c in df.columns))
+
+
+@query(_bins(analysis.PROPERTIES, EVERY, [10], True))
 def qcut_bins(spark, sf):  # noqa: ANN001, ANN201
-    return rounded(analysis.binned(_means(spark, sf, ["n_nodes"], ["quality"]), "n_nodes", "quality", 10, True), "bin", "n", "low_n")
+    """Every invariant with every score, ten bins of equal counts."""
+    return _binned(spark, sf, analysis.PROPERTIES, EVERY, [10], True)
 
 
-@query(_bins("greatest(0, least(9, ceil(round((x - lo) / (hi - lo) * 10, 9)) - 1))", "min(x) AS lo, max(x) AS hi"))
+@query(_bins(analysis.PROPERTIES, EVERY, [10], False))
 def cut_bins(spark, sf):  # noqa: ANN001, ANN201
-    return rounded(analysis.binned(_means(spark, sf, ["n_nodes"], ["quality"]), "n_nodes", "quality", 10, False), "bin", "n", "low_n")
+    """Every invariant with every score, ten bins of equal widths."""
+    return _binned(spark, sf, analysis.PROPERTIES, EVERY, [10], False)
+
+
+SWEEP = list(range(3, 11))
+
+
+@query(_bins(["n_nodes", "density"], ["quality", "kruskal_stress"], SWEEP, True))
+def qcut_sweep(spark, sf):  # noqa: ANN001, ANN201
+    """Three to ten bins of equal counts."""
+    return _binned(spark, sf, ["n_nodes", "density"], ["quality", "kruskal_stress"], SWEEP, True)
+
+
+@query(_bins(["n_nodes", "density"], ["quality", "kruskal_stress"], SWEEP, False))
+def cut_sweep(spark, sf):  # noqa: ANN001, ANN201
+    """Three to ten bins of equal widths."""
+    return _binned(spark, sf, ["n_nodes", "density"], ["quality", "kruskal_stress"], SWEEP, False)
 
 
 @query(f"WITH {CLEAN} SELECT {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in Q)}, count(*) AS n FROM q GROUP BY {', '.join(Q)} HAVING count(*) > 1")
@@ -208,5 +258,5 @@ OUTCOME = "CASE WHEN kruskal_stress IS NULL THEN 'failed' WHEN CAST(kruskal_stre
 
 @query(f"SELECT layout, {', '.join(f'''coalesce(count(*) FILTER (WHERE {OUTCOME} = '{o}'), 0) AS {o}''' for o in ('ok', 'cached', 'not_applicable', 'failed'))} FROM metrics GROUP BY 1")
 def outcome_pivot(spark, sf):  # noqa: ANN001, ANN201
-    df = table(spark, sf, "metrics").withColumn("outcome", F.expr(OUTCOME))
+    df = table(spark, sf, "metrics", raw=True).withColumn("outcome", F.expr(OUTCOME))
     return df.groupBy("layout").pivot("outcome", ["ok", "cached", "not_applicable", "failed"]).count().fillna(0)

@@ -24,7 +24,7 @@ comps AS (SELECT graph_id, count(DISTINCT root) AS n_components FROM (SELECT gra
 WITH, WITH_R = f"WITH {EDGES}", f"WITH RECURSIVE {EDGES}, {REACH}"
 DENSITY = "CASE WHEN n_nodes >= 2 THEN 2.0::DOUBLE * n_edges / (n_nodes * (n_nodes - 1)) ELSE 0.0 END"
 CAP = "CASE WHEN n_nodes <= 8 THEN 1.0 WHEN n_nodes <= 15 THEN 0.75 WHEN n_nodes <= 30 THEN 0.6 ELSE 0.5 END"
-REASON = f"CASE WHEN n_edges = 0 THEN 'no_edges' WHEN NOT n_nodes BETWEEN lo AND 75 THEN 'out_of_size' WHEN NOT connected THEN 'disconnected' WHEN {DENSITY} > {CAP} THEN 'over_density_cap' END"
+REASON = f"CASE WHEN NOT n_nodes BETWEEN lo AND 75 THEN 'out_of_size' WHEN n_edges = 0 THEN 'no_edges' WHEN NOT connected THEN 'disconnected' WHEN {DENSITY} > {CAP} THEN 'over_density_cap' END"
 JUDGED = f"""judged AS (SELECT d.graph_id, category, source, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges, coalesce(n_components = 1, false) AS connected, lo
   FROM (SELECT *, LO_RULE AS lo FROM dims WHERE graph_id IN (SELECT o_custkey FROM orders)) d LEFT JOIN sizes USING (graph_id) LEFT JOIN comps USING (graph_id))"""
 
@@ -43,12 +43,14 @@ def dims(spark: SparkSession, sf: str) -> DataFrame:
 
 def judged(spark: SparkSession, sf: str, floor: object = corpus.FLOOR) -> DataFrame:
     """Every graph with an order, its size, and why it is left out (reason is null if it stays)."""
-    e = edges(spark, sf)
+    packed = corpus.pack(edges(spark, sf))
     known = dims(spark, sf).join(table(spark, sf, "orders").select(F.col("o_custkey").alias("graph_id")), "graph_id", "left_semi")
-    shape = corpus.per_graph(corpus.pack(e), _parts, "n_components int")
-    df = known.join(corpus.size_density(e), "graph_id", "left").join(shape, "graph_id", "left").fillna(0, ["n_nodes", "n_edges"])
-    low = floor(F.col("category")) if callable(floor) else floor
-    return df.withColumn("reason", corpus.reject_reason(F.col("n_nodes"), F.col("n_edges"), F.coalesce(F.col("n_components") == 1, F.lit(False)), low))
+    low = floor(F.col("category")) if callable(floor) else F.lit(floor)
+    df = known.join(packed, "graph_id", "left").withColumns({"n_nodes": F.coalesce("n", F.lit(0)), "n_edges": F.coalesce(F.size("us"), F.lit(0)), "lo": low})
+    sized = df.filter(F.col("n_nodes").between(F.col("lo"), corpus.N_MAX) & (F.col("n_edges") > 0))  # only these go to the kernel
+    shape = corpus.per_graph(sized, _parts, "n_components int")
+    df = df.drop("n", "us", "vs").join(shape, "graph_id", "left")
+    return df.withColumn("reason", corpus.reject_reason(F.col("n_nodes"), F.col("n_edges"), F.coalesce(F.col("n_components") == 1, F.lit(False)), F.col("lo")))
 
 
 def _parts(n, us, vs):  # noqa: ANN001, ANN202

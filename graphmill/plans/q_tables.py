@@ -15,7 +15,8 @@ METRICS = [
     "neighbourhood_preservation", "node_edge_occlusion", "node_resolution", "node_uniformity",
 ]
 LATEST = ["run_day", "scored_at", *METRICS, "contains_bends", "contains_curves"]
-LAST_SQL = f"drawn AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, layout ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in LATEST)}) AS n FROM metrics) WHERE n = 1)"
+NUMBERS = f"scored AS (SELECT * REPLACE ({', '.join(f"CASE WHEN {c}::VARCHAR NOT IN ('nan', '-nan') THEN {c} END AS {c}" for c in METRICS)}) FROM metrics)"
+LAST_SQL = f"{NUMBERS}, drawn AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, layout ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in LATEST)}) AS n FROM scored) WHERE n = 1)"
 FIRST_SQL = "graphs AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY row_id DESC) AS n FROM manifest) WHERE n = 1)"
 
 
@@ -57,34 +58,50 @@ def verify_topk(spark, sf):  # noqa: ANN001, ANN201
 
 
 CAP = 30
+EDGES_Q = [i / tables.BINS for i in range(tables.BINS + 1)]
 
 
-@query()
-def stratified_sample(spark, sf):  # noqa: ANN001, ANN201
-    pool = graphs(spark, sf).filter("category = 'real_world' AND source IS NOT NULL").select("graph_id", "source", "n_nodes", "density")
-    return tables.stratified_sample(pool, CAP)
+def _bin(x: str, e: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL AND len({e}) > 1 THEN greatest(0, len(list_filter({e}, lambda q: q < {x})) - 1) END"
 
 
-@query(f"""WITH {FIRST_SQL}, p AS (SELECT source, count(*) AS n FROM graphs WHERE category = 'real_world' AND source IS NOT NULL GROUP BY 1)
-  SELECT source, greatest(0, n - {CAP})::BIGINT AS n_dropped, n AS n_total FROM p WHERE n > {CAP}""")
-def sample_audit(spark, sf):  # noqa: ANN001, ANN201
-    pool = graphs(spark, sf).filter("category = 'real_world' AND source IS NOT NULL").select("graph_id", "source", "n_nodes", "density")
-    lost = pool.join(stratified_sample(spark, sf).select("graph_id"), "graph_id", "left_anti").groupBy("source").agg(F.count("*").alias("n_dropped"))
-    return pool.groupBy("source").agg(F.count("*").alias("n_total")).join(lost, "source").select("source", "n_dropped", "n_total")
+SAMPLE_SQL = f"""WITH {FIRST_SQL}, g AS (SELECT graph_id, source, n_nodes, CASE WHEN density::VARCHAR NOT IN ('nan', '-nan') THEN density END AS density FROM graphs WHERE category = 'real_world'),
+  q AS (SELECT source, list_sort(list_distinct(quantile_cont(n_nodes::DOUBLE, {EDGES_Q}))) AS en, list_sort(list_distinct(quantile_cont(density, {EDGES_Q}))) AS ed FROM g GROUP BY 1),
+  m AS (SELECT g.*, coalesce(({_bin("n_nodes", "en")})::VARCHAR, '<NA>') || '_' || coalesce(({_bin("density", "ed")})::VARCHAR, '<NA>') AS stratum FROM g JOIN q ON g.source IS NOT DISTINCT FROM q.source),
+  c AS (SELECT *, sum(n) OVER (PARTITION BY source) AS total FROM (SELECT source, stratum, count(*) AS n FROM m GROUP BY 1, 2)),
+  s AS (SELECT *, round_even(n * least({CAP}, total)::DOUBLE / total, 0)::BIGINT AS share FROM c), o AS (SELECT *, least(greatest(share, 1), n) AS own FROM s),
+  d AS (SELECT *, sum(own) OVER (PARTITION BY source) - least({CAP}, total) AS over FROM o),
+  u AS (SELECT source, stratum, over, unnest(range(1, (1 + CASE WHEN over > 0 THEN least(own, over) ELSE least(n - own, -over) END)::BIGINT)) AS u, own, share, n FROM d),
+  r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY over > 0 AND u = own, CASE WHEN over > 0 THEN own - share - u ELSE n - own - u END DESC, stratum) AS r FROM u),
+  v AS (SELECT source, stratum, count(*) AS moved FROM r WHERE r <= abs(over) GROUP BY 1, 2),
+  k AS (SELECT d.source, d.stratum, d.own - sign(d.over)::BIGINT * coalesce(moved, 0) AS quota FROM d LEFT JOIN v ON d.source IS NOT DISTINCT FROM v.source AND d.stratum = v.stratum),
+  f AS (SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY md5(concat_ws('|', 'sample', source, graph_id))) AS r FROM m)
+  SELECT graph_id, f.source, n_nodes, density FROM f JOIN k ON f.source IS NOT DISTINCT FROM k.source AND f.stratum = k.stratum WHERE r <= quota"""
 
 
-EDGES_Q = [i / tables.BINS for i in range(tables.BINS + 1)]
+def _pool(spark: SparkSession, sf: str) -> DataFrame:
+    return graphs(spark, sf).filter("category = 'real_world'").select("graph_id", "source", "n_nodes", "density")
 
 
-def _bin(x: str, e: str) -> str:
-    return f"CASE WHEN {x} IS NOT NULL AND len({e}) > 1 THEN greatest(0, len(list_filter({e}, lambda q: q < {x})) - 1) END"
+@query(SAMPLE_SQL)
+def stratified_sample(spark, sf):  # noqa: ANN001, ANN201
+    return tables.stratified_sample(_pool(spark, sf), CAP)
+
+
+@query(f"""WITH {FIRST_SQL}, p AS (SELECT source, count(*) AS n FROM graphs WHERE category = 'real_world' GROUP BY 1)
+  SELECT source, greatest(0, n - {CAP})::BIGINT AS n_dropped, n AS n_total FROM p WHERE n > {CAP}""")
+def sample_audit(spark, sf):  # noqa: ANN001, ANN201
+    pool = _pool(spark, sf)
+    kept = stratified_sample(spark, sf).groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n_kept"))
+    df = pool.groupBy("source").agg(F.count("*").alias("n_total")).join(kept, F.col("source").eqNullSafe(F.col("s")), "left")
+    return df.select("source", (F.col("n_total") - F.coalesce("n_kept", F.lit(0))).alias("n_dropped"), "n_total").filter("n_dropped > 0")
 
 
-@query(f"""WITH {FIRST_SQL}, g AS (SELECT graph_id, source, n_nodes, CASE WHEN density::VARCHAR NOT IN ('nan', '-nan') THEN density END AS density FROM graphs WHERE source IS NOT NULL),
+@query(f"""WITH {FIRST_SQL}, g AS (SELECT graph_id, source, n_nodes, CASE WHEN density::VARCHAR NOT IN ('nan', '-nan') THEN density END AS density FROM graphs),
   q AS (SELECT source, list_sort(list_distinct(quantile_cont(n_nodes::DOUBLE, {EDGES_Q}))) AS en, list_sort(list_distinct(quantile_cont(density, {EDGES_Q}))) AS ed FROM g GROUP BY 1)
-  SELECT source, coalesce(({_bin("n_nodes", "en")})::VARCHAR, '<NA>') || '_' || coalesce(({_bin("density", "ed")})::VARCHAR, '<NA>') AS stratum, count(*) AS n FROM g JOIN q USING (source) GROUP BY 1, 2""")
+  SELECT source, coalesce(({_bin("n_nodes", "en")})::VARCHAR, '<NA>') || '_' || coalesce(({_bin("density", "ed")})::VARCHAR, '<NA>') AS stratum, count(*) AS n FROM (SELECT g.*, en, ed FROM g JOIN q ON g.source IS NOT DISTINCT FROM q.source) GROUP BY 1, 2""")
 def strata_counts(spark, sf):  # noqa: ANN001, ANN201
-    return tables.strata(graphs(spark, sf).filter("source IS NOT NULL")).groupBy("source", "stratum").agg(F.count("*").alias("n"))
+    return tables.strata(graphs(spark, sf)).groupBy("source", "stratum").agg(F.count("*").alias("n"))
 
 
 KEYS = ["n_nodes", "n_edges", "max_degree"]

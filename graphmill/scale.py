@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A side with at most so many rows may be broadcast.
@@ -91,3 +93,56 @@ def hashed_rank(df: DataFrame, by: list[str], digest: str, out: str, digits: int
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
     return ranked.join(starts, same).withColumn(out, F.col("__rank") + F.col("__before")).drop("__piece", "__rank", "__p", "__before", *(f"__by{i}" for i in range(len(by))))
+
+
+def null_safe(left: list[str], right: list[str]) -> Column:
+    """Whether columns are equal one by one, nulls too."""
+    return reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)))
+
+
+def _piece(v: Column) -> Column:
+    """A number that grows with v, with 64 steps for every doubling."""
+    size = F.floor(F.greatest(F.least(F.log2(F.abs(v)), F.lit(1100.0)), F.lit(-1100.0)) * 64) + 80_000
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
+
+
+def in_order(counts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """counts(by, value, n, ...), one row for each value of by, with before: the sum of n of by's smaller values; and rows: the
+    sum of all. value is a number, neither null nor NaN. Null by is a group like any other.
+
+    Values are cut into pieces by their size; sums run within a piece and are raised by those of the pieces before, so a
+    group of any size is spread over many tasks.
+    """
+    cut = counts.withColumn("__piece", _piece(F.col(value).cast("double")))
+    sizes = cut.groupBy(*by, "__piece").agg(F.sum("n").alias("__size"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumns({"__start": F.coalesce(F.sum("__size").over(upto(Window.partitionBy(*by).orderBy("__piece"))), F.lit(0)), "rows": F.sum("__size").over(Window.partitionBy(*by))})
+    starts = starts.select(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), F.col("__piece").alias("__p"), "__start", "rows")
+    inner = F.coalesce(F.sum("n").over(upto(Window.partitionBy(*by, "__piece").orderBy(value))), F.lit(0))
+    met = cut.withColumn("__inner", inner).join(starts, null_safe([*by, "__piece"], [*(f"__by{i}" for i in range(len(by))), "__p"]))
+    return met.select(*counts.columns, (F.col("__inner") + F.col("__start")).alias("before"), "rows")
+
+
+def ordered_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, n, before, rows): how many rows each value has within by, how many rows of by have smaller values, and how
+    many by has. Values are counted within the tasks first, so one with many rows is no burden."""
+    return in_order(df.groupBy(*by, value).agg(F.count("*").alias("n")), by, value)
+
+
+def exact_percentiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
+    """(by, rows, q): the number of rows in which value isn't null and its percentiles, linear between values, as an array
+    in the order of qs. Groups of any size; a group without a value has no row."""
+    counts = ordered_counts(df.filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double")), by, value)
+    place = [F.lit(q) * (F.col("rows") - 1) for q in qs]
+    ranks = F.array(*(f(p).cast("long") for p in place for f in (F.floor, F.ceil)))
+    picked = counts.filter(F.exists(ranks, lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n"))))
+    got = picked.groupBy(*by).agg(F.max("rows").alias("rows"), F.collect_list(F.struct("before", "n", value)).alias("__v"))
+    at = lambda k: F.element_at(F.filter("__v", lambda v: (k >= v["before"]) & (k < v["before"] + v["n"])), 1)[value]
+
+    def between(q: float) -> Column:
+        p = F.lit(q) * (F.col("rows") - 1)
+        low, high = at(F.floor(p).cast("long")), at(F.ceil(p).cast("long"))
+        return low + (high - low) * (p - F.floor(p))
+
+    out = got.select(*by, "rows", F.array(*map(between, qs)).alias("q"))
+    return out if by else out.filter("rows IS NOT NULL")

@@ -97,7 +97,7 @@ def test_canonical_edges(spark):
 def test_reasons_in_order(spark):
     df = spark.createDataFrame([(7, 6, True), (8, 7, True), (75, 80, True), (76, 80, True), (10, 5, False), (9, 0, False), (16, 100, True), (200, 0, False)], "n int, m int, c boolean")
     got = [r[0] for r in df.select(corpus.reject_reason(F.col("n"), F.col("m"), F.col("c"))).collect()]
-    assert got == ["out_of_size", None, None, "out_of_size", "disconnected", "no_edges", "over_density_cap", "no_edges"]
+    assert got == ["out_of_size", None, None, "out_of_size", "disconnected", "no_edges", "over_density_cap", "out_of_size"]
 
 
 def test_caps(spark):
@@ -139,10 +139,43 @@ def test_strata_equal_pandas(spark):
     assert (got.loc[pdf.graph_id].values == (a + "_" + b).values).all()
 
 
-@pytest.mark.parametrize(("counts", "cap"), [({"a": 100, "b": 1, "c": 1}, 10), ({"a": 5, "b": 5}, 7), ({"a": 3, "b": 3, "c": 3}, 2), ({"a": 50, "b": 50, "c": 50}, 100)])
-def test_allocation(counts, cap):
-    got = tables.allocate(counts, cap)
+def test_strata_and_sample_keep_null_sources(spark):
+    rows = [(f"g{i}", "a" if i % 3 else None, 5 + i % 20, None if i % 10 == 0 else i / 100, "x") for i in range(90)]
+    df = spark.createDataFrame(rows, "graph_id string, source string, n_nodes int, density double, stratum0 string")
+    assert tables.strata(df).count() == 90
+    got = tables.stratified_sample(df, 7).toPandas()
+    assert got.groupby(got.source.fillna("")).size().to_dict() == {"": 7, "a": 7}
+    by_name = tables.stratified_sample(df, {"a": 9, "zzz": 1}).toPandas()
+    assert by_name.groupby(by_name.source.fillna("")).size().to_dict() == {"": 30, "a": 9}
+    assert tables.stratified_sample(df, 0).count() == tables.stratified_sample(df, {}).count() == 90
+    assert tables.stratified_sample(df.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize(("counts", "cap"), [({"a": 100, "b": 1, "c": 1}, 10), ({"a": 5, "b": 5}, 7), ({"a": 3, "b": 3, "c": 3}, 2), ({"a": 50, "b": 50, "c": 50}, 100), ({f"s{i:02d}": 1 + i for i in range(25)}, 30), ({f"s{i:02d}": 400 - i for i in range(25)}, 2500)])
+def test_allocation(spark, counts, cap):
+    df = spark.createDataFrame([(None, k, n) for k, n in counts.items()] + [("other", "a", 3)], "source string, stratum string, n long")
+    found = tables.allotment(df, "source", F.lit(cap)).collect()
+    got = {r.stratum: r.quota for r in found if r.source is None}
     assert sum(got.values()) == cap and all(0 <= got[k] <= counts[k] for k in counts)
+    if cap >= len(counts):
+        assert min(got.values()) >= 1 and all(abs(got[k] - counts[k] * cap / sum(counts.values())) <= 1.5 or got[k] == 1 for k in counts if cap > 100)
+    assert [r.quota for r in found if r.source] == [min(3, cap)]
+
+
+def test_counts_in_order(spark):
+    r = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": [["a", "b", None][i % 3] for i in range(900)], "v": np.where(r.random(900) < 0.4, 1.5, np.round(r.normal(0, 1, 900), 2))})
+    df = spark.createDataFrame(pdf, "g string, v double")
+    got = {(x.g, x.v): (x.n, x.before) for x in scale.ordered_counts(df.repartition(6), ["g"], "v").collect()}
+    for (g, v), (n, before) in got.items():
+        own = pdf.v[pdf.g == g] if g else pdf.v[pdf.g.isna()]
+        assert n == (own == v).sum() and before == (own < v).sum()
+    qs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for x in scale.exact_percentiles(df.unionByName(df.limit(3).withColumn("v", F.lit(None).cast("double"))), ["g"], "v", qs).collect():
+        own = pdf.v[pdf.g == x.g] if x.g else pdf.v[pdf.g.isna()]
+        assert x.rows == len(own) and np.allclose(x.q, np.quantile(own, qs))
+    whole = scale.exact_percentiles(df, [], "v", qs).collect()
+    assert np.allclose(whole[0].q, np.quantile(pdf.v, qs)) and scale.exact_percentiles(df.limit(0), ["g"], "v", qs).count() == 0
 
 
 def test_duplicates_protect_and_report(spark):
@@ -167,9 +200,9 @@ def test_bins_equal_pandas(spark):
     x = np.array([1, 1, 1, 1, 2, 3, 4, 5, 9, 9] * 12, float)
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": np.arange(120.0)}))
     for q, cut in ((True, pd.qcut(x, 5, labels=False, duplicates="drop")), (False, pd.cut(x, 5, labels=False))):
-        got = {r.bin: r.n for r in analysis.binned(df, "x", "y", 5, q).collect()}
+        got = {r.bin: r.n for r in analysis.binned(df, ["x"], ["y"], [5], q).collect()}
         assert got == {int(k): int(v) for k, v in zip(*np.unique(cut, return_counts=True), strict=True) if v >= 10}
-    assert analysis.binned(df.limit(50), "x", "y", 5, True).count() == 0
+    assert analysis.binned(df.limit(50), ["x"], ["y"], [5], True).count() == 0
 
 
 def test_variance_shares(spark):
