@@ -22,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--layouts", help="layouts, apart by commas")
         q.add_argument("--count", type=int)
         q.add_argument("--seed", type=int)
+        q.add_argument("--parallel-layouts", type=int, help="taken and not needed: all layouts run in one pass over the cluster")
     q = sub.add_parser("backup")
     q.add_argument("table")
     q.add_argument("to")

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import layouts, scores
+from ..functions import layouts, paths, scores
 from ..functions.guard import TimedOut, guarded
 from ..seeds import seed
 from .corpus import spread
+from .drawings import bends_path
 
 
 def scored(edges: DataFrame, at: DataFrame, names: list[str] = scores.NAMES) -> DataFrame:
@@ -39,20 +41,59 @@ def scored(edges: DataFrame, at: DataFrame, names: list[str] = scores.NAMES) ->
     return df.mapInPandas(run, schema)
 
 
-def _drawn(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarray, root: int, limit_s: float | None, xy: np.ndarray | None = None) -> tuple[np.ndarray, layouts.Bends]:
-    more = {"seed": seed(root, layout, graph)} | ({"xy": xy} if layout == "curated" else {})
-    if limit_s is None:
-        return layouts.lay_out(layout, n, us, vs, **more)
-    return guarded(lambda: layouts.lay_out(layout, n, us, vs, **more), limit_s)  # type: ignore[return-value]
-
-
-def one_drawing(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarray, root: int, limit_s: float | None = None, xy: np.ndarray | None = None) -> dict:
-    """Outcome (ok, not_applicable, timeout, failed), scores and flags of one graph under one layout."""
+class Drawing(NamedTuple):
+    """A drawing in standard form: places, and for edges that aren't straight their points and path texts (by number)."""
+
+    xy: np.ndarray
+    lines: dict[int, np.ndarray]
+    paths: dict[int, str]
+    flags: dict[str, bool]
+
+
+def _given(n: int, us: np.ndarray, vs: np.ndarray, given: object) -> Drawing:
+    """The drawing that came with the graph. Paths take the places' affine map, so curves stay curves, and are snapped to the
+    nodes; one that can't be read becomes straight."""
+    xs, ys, ways = (getattr(given, c, None) for c in ("xs", "ys", "paths"))
+    place = None if xs is None or ys is None or not len(xs) else np.array([[np.nan if v is None else v for v in c] for c in (xs, ys)], float).T
+    xy, _ = layouts.lay_out("curated", n, us, vs, xy=place) if n > 1 else (np.zeros((n, 2)), {})
+    low, high = xy.min(axis=0), xy.max(axis=0)
+    diag = float(np.hypot(*(high - low)))
+    mid, scale = (low + high) / 2, 1000 / diag if diag > 0 else 1.0
+    done, lines, texts = (xy - mid) * scale, {}, {}
+    for i, (u, v) in enumerate(zip(us.tolist(), vs.tolist(), strict=True)):
+        way = ways[i] if ways is not None and i < len(ways) else None
+        if way:
+            try:
+                moved = paths.snapped_path(paths.moved_path(way, (float(mid[0]), float(mid[1])), scale), tuple(done[u]), tuple(done[v]))
+                lines[i], texts[i] = scores.polyline(moved), moved
+            except (ValueError, IndexError):
+                continue
+    return Drawing(done, lines, texts, scores.path_flags(list(texts.values())))
+
+
+def drawing(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarray, root: int = 1, limit_s: float | None = None, given: object = None) -> Drawing:
+    """One graph under one layout. Only curated looks at the geometry that came with the graph."""
+    if layout == "curated":
+        return _given(n, us, vs, given)
+    work = lambda: layouts.lay_out(layout, n, us, vs, seed=seed(root, layout, graph))
+    xy, bends = layouts.standardised(*(work() if limit_s is None else guarded(work, limit_s)), us)  # type: ignore[misc]
+    lines = {i: np.vstack((xy[us[i]], b, xy[vs[i]])) for i, b in bends.items() if len(b)}
+    return Drawing(xy, lines, {i: _path(p) for i, p in lines.items()}, {"contains_bends": bool(lines), "contains_curves": False})
+
+
+def _path(points: np.ndarray) -> str:
+    return "M " + " L ".join(f"{x:.6g},{y:.6g}" for x, y in points.tolist())
+
+
+def one_drawing(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarray, root: int = 1, limit_s: float | None = None, given: object = None, geometry: bool = False, scored: bool = True) -> dict:
+    """Outcome (ok, not_applicable, timeout, failed), scores and flags of one graph under one layout; with geometry also xs, ys
+    and paths, where a straight edge's path is its chord."""
     try:
-        xy, bends = _drawn(layout, graph, n, us, vs, root, limit_s, xy)
-        xy, bends = layouts.standardised(xy, bends, us)
-        lines = {i: np.vstack((xy[us[i]], b, xy[vs[i]])) for i, b in bends.items() if len(b)}
-        return {"outcome": "ok", **scores.score(n, us, vs, xy, lines), "contains_bends": bool(lines), "contains_curves": False}
+        d = drawing(layout, graph, n, us, vs, root, limit_s, given)
+        out = {"outcome": "ok", **(scores.score(n, us, vs, d.xy, d.lines) if scored else {}), **d.flags}
+        if geometry:
+            out |= {"xs": d.xy[:, 0].tolist(), "ys": d.xy[:, 1].tolist(), "paths": [d.paths.get(i) or _path(d.xy[[u, v]]) for i, (u, v) in enumerate(zip(us, vs, strict=True))]}
+        return out
     except layouts.NotApplicable:
         return {"outcome": "not_applicable"}
     except TimedOut:
@@ -61,7 +102,19 @@ def one_drawing(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarr
         return {"outcome": "failed"}
 
 
-def _tasks(packed: DataFrame, names: list[str], done: DataFrame | None = None, flags: bool = False) -> DataFrame:
+#: Geometry that a packed row may have beside its edges.
+GIVEN = ("xs", "ys", "paths", "bends")
+GEOMETRY = "xs array<double>, ys array<double>, paths array<string>"
+
+
+def _ways() -> Column:
+    """The path of each edge: its own, or one through its bends."""
+    at = lambda i: F.struct(F.element_at("xs", i + 1).alias("x"), F.element_at("ys", i + 1).alias("y"))
+    own = lambda e: F.coalesce(e["paths"], bends_path(at(e["us"]), e["bends"], at(e["vs"])))
+    return F.when(F.col("xs").isNotNull() & F.col("bends").isNotNull(), F.transform(F.arrays_zip("us", "vs", "paths", "bends"), own)).otherwise(F.col("paths"))
+
+
+def _tasks(packed: DataFrame, names: list[str], done: DataFrame | None = None, flags: bool = False, first: DataFrame | None = None) -> DataFrame:
     """packed with a row for each of its layouts. Graphs are spread first, each with the list of its open layouts, and meet the
     layouts within the task, so their edges travel once."""
     wanted = F.array(*map(F.lit, names))
@@ -73,57 +126,47 @@ def _tasks(packed: DataFrame, names: list[str], done: DataFrame | None = None, f
         have = done.groupBy(F.col("graph_id").alias("__g")).agg(F.collect_set("layout").alias("__have"))
         packed = packed.join(have, F.col("graph_id") == F.col("__g"), "left").drop("__g")
         wanted = F.array_except(wanted, F.coalesce("__have", F.array().cast("array<string>")))
-    drawn = [c for c in ("xs", "ys") if c in packed.columns]
-    rows = packed.withColumn("__open", wanted).filter(F.size("__open") > 0)
-    return spread(rows.select("graph_id", "n", "us", "vs", *drawn, "__open"), "graph_id").select("graph_id", F.explode("__open").alias("layout"), "n", "us", "vs", *drawn)
+    if "bends" in packed.columns:
+        packed = packed.withColumn("paths", _ways()).drop("bends")
+    drawn = [c for c in GIVEN if c in packed.columns]
+    rows = packed.withColumn("__open", wanted).filter(F.size("__open") > 0).select("graph_id", "n", "us", "vs", *drawn, "__open")
+    if first is None:
+        rows = spread(rows, "graph_id")
+    else:
+        ids = first.select(F.col("graph_id").alias("__g"), F.lit(True).alias("__first")).distinct()
+        rows = spread(rows.join(ids, F.col("graph_id") == F.col("__g"), "left"), "graph_id").sortWithinPartitions(F.desc_nulls_last("__first"), "graph_id")
+    return rows.select("graph_id", F.explode("__open").alias("layout"), "n", "us", "vs", *drawn)
 
 
-def _places(r: object) -> np.ndarray | None:
-    """The places that a row's graph came with, or None."""
-    xs, ys = getattr(r, "xs", None), getattr(r, "ys", None)
-    return None if xs is None or ys is None or not len(xs) else np.array([[np.nan if v is None else v for v in c] for c in (xs, ys)], float).T
-
-
-def laid_out_and_scored(packed: DataFrame, names: list[str], root: int = 1, done: DataFrame | None = None, flags: bool = False, limit_s: float | None = None) -> DataFrame:
-    """(graph_id, layout, outcome, scores, contains_bends, contains_curves) for every graph and layout.
-
-    Pairs in done(graph_id, layout) are left out before anything is computed. With flags, packed has the manifest's
-    is_planar and is_tree (and may have its category), and pairs that these rule out are dropped before the kernel. Columns xs
-    and ys, if there are any, are the places of the layout curated. With limit_s, every layout runs in a child process and is
-    given up after so many seconds.
-    """
-    tasks = _tasks(packed, names, done, flags)
-    schema = T.StructType([tasks.schema["graph_id"], tasks.schema["layout"], T.StructField("outcome", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in scores.NAMES), *(T.StructField(c, T.BooleanType()) for c in scores.FLAGS)])
+def _drawings(tasks: DataFrame, fields: list[T.StructField], root: int, limit_s: float | dict[str, float] | None, **more: bool) -> DataFrame:
+    schema = T.StructType([tasks.schema["graph_id"], tasks.schema["layout"], *fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
-                got = one_drawing(r.layout, r.graph_id, int(r.n), np.asarray(r.us, np.int64), np.asarray(r.vs, np.int64), root, limit_s, _places(r))
+                limit = limit_s.get(r.layout) if isinstance(limit_s, dict) else limit_s
+                got = one_drawing(r.layout, r.graph_id, int(r.n), np.asarray(r.us, np.int64), np.asarray(r.vs, np.int64), root, limit, r, **more)
                 rows.append((r.graph_id, r.layout, *(got.get(c) for c in schema.names[2:])))
             yield pd.DataFrame(rows, columns=schema.names)
 
     return tasks.mapInPandas(run, schema)
 
 
-def laid_out(packed: DataFrame, names: list[str], root: int = 1) -> DataFrame:
-    """(graph_id, layout, outcome, xs, ys, paths): drawings in standard form; the path of a straight edge is its chord."""
-    tasks = _tasks(packed, names)
-    schema = T.StructType([tasks.schema["graph_id"], tasks.schema["layout"], *T._parse_datatype_string("outcome string, xs array<double>, ys array<double>, paths array<string>").fields])
-
-    def one(layout: str, graph: object, n: int, us: np.ndarray, vs: np.ndarray, places: np.ndarray | None) -> tuple:
-        try:
-            xy, bends = layouts.standardised(*_drawn(layout, graph, n, us, vs, root, None, places), us)
-        except layouts.NotApplicable:
-            return "not_applicable", None, None, None
-        except Exception:  # noqa: BLE001
-            return "failed", None, None, None
-        ways = [np.vstack((xy[us[i]], bends[i], xy[vs[i]])) if i in bends else np.vstack((xy[us[i]], xy[vs[i]])) for i in range(len(us))]
-        return "ok", xy[:, 0].tolist(), xy[:, 1].tolist(), ["M " + " L ".join(f"{x:.6g},{y:.6g}" for x, y in w.tolist()) for w in ways]
+def laid_out_and_scored(packed: DataFrame, names: list[str], root: int = 1, done: DataFrame | None = None, flags: bool = False, limit_s: float | dict[str, float] | None = None, geometry: bool = False, first: DataFrame | None = None) -> DataFrame:
+    """(graph_id, layout, outcome, scores, contains_bends, contains_curves) for every graph and layout.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(r.graph_id, r.layout, *one(r.layout, r.graph_id, int(r.n), np.asarray(r.us, np.int64), np.asarray(r.vs, np.int64), _places(r))) for r in b.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=schema.names)
+    Pairs in done(graph_id, layout) are left out before anything is computed. With flags, packed has the manifest's
+    is_planar and is_tree (and may have its category), and pairs that these rule out are dropped before the kernel. Columns xs,
+    ys, paths and bends, if there are any, are the drawing of the layout curated. With limit_s (seconds, or seconds by
+    layout), layouts run in a child process and are given up after so long. With geometry, xs, ys and paths come too. Graphs in
+    first(graph_id) come before others in every task.
+    """
+    fields = [T.StructField("outcome", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in scores.NAMES), *(T.StructField(c, T.BooleanType()) for c in scores.FLAGS)]
+    fields += T._parse_datatype_string(GEOMETRY).fields if geometry else []
+    return _drawings(_tasks(packed, names, done, flags, first), fields, root, limit_s, geometry=geometry)
 
-    return tasks.mapInPandas(run, schema)
+
+def laid_out(packed: DataFrame, names: list[str], root: int = 1) -> DataFrame:
+    """(graph_id, layout, outcome, xs, ys, paths): drawings in standard form; the path of a straight edge is its chord."""
+    return _drawings(_tasks(packed, names), T._parse_datatype_string("outcome string, " + GEOMETRY).fields, root, None, geometry=True, scored=False)

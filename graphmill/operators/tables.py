@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import number
-from ..scale import exact_percentiles, hashed_rank, null_safe, small_or_not
+from ..scale import exact_percentiles, hashed_rank, null_safe, skew_join, small_or_not
 from ..session import materialize
 
 #: Quantile bins by which a source is stratified, for each of n_nodes and density.
@@ -117,6 +117,13 @@ def tier(category: Column, generator: Column, source: Column) -> Column:
 
 
 
+def with_source_size(df: DataFrame) -> DataFrame:
+    """df with source_size: the number of rows of its source; rows without a source are one source."""
+    named = df.withColumn("__s", F.coalesce("source", F.lit("(none)")))
+    sizes = named.groupBy("__s").agg(F.count("*").alias("source_size"))
+    return skew_join(named, sizes, ["__s"]).drop("__s")
+
+
 def duplicates(df: DataFrame, keys: list[str], rank: list[Column]) -> DataFrame:
     """df with class_size, and the graph, source and category that its class keeps (kept_*): the first in rank.
 

@@ -13,20 +13,35 @@ from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import layouts
 from ..operators import corpus, generate, isomorphism, properties, scoring, tables
-from ..sources import readers, registry
+from ..session import materialize
+from ..sources import readers, registry, sinks
 from ..sources.sinks import Versioned
 
 ORDER = ("generate", "stage", "sample", "dedup", "layout", "metrics")
 DEDUP = ("properties", "wl_vf2")
 STAGES: dict[str, Callable[[Context], None]] = {}
+# Sources of which a sample is kept, and its size.
+CAPS = {
+    "TUDataset/QM9": 2500, "TUDataset/ZINC_full": 2500, "TUDataset/Yeast": 2500, "TUDataset/NCI-H23": 2500, "TUDataset/TRIANGLES": 2500,
+    "TUDataset/GITHUB_STARGAZERS": 2500, "TUDataset/deezer_ego_nets": 2500,
+}
+# Seconds after which a layout of one graph is given up.
+LIMITS = {"HOLA": 10.0, "planarization-ortho": 10.0, "drgraph": 10.0}
 
 
 @dataclass(frozen=True)
 class Config:
-    """What a run is told; unknown or missing names are errors."""
+    """What a run is told; unknown or missing names are errors.
+
+    sample_caps has the size of the sample by source, sample_cap that of all others (0: kept whole), sample_offset gives
+    another sample without another seed elsewhere. limit_s is a time limit for every layout of a graph (0: none), limits has
+    others by layout. verify: so many graphs of every source are laid out first. files: graphs and drawings are written as
+    files below out too, which all executors must see.
+    """
 
     out: str
     seed: int = 1
@@ -38,10 +53,16 @@ class Config:
     landing: str = ""
     sources: tuple[str, ...] = ()
     max_graphs: int = 0
-    sample_cap: int = 2500
+    sample_cap: int = 0
+    sample_caps: dict[str, int] = field(default_factory=lambda: dict(CAPS))
+    sample_offset: int = 0
     dedup: str = "properties"
     layouts: tuple[str, ...] = ("circular", "random", "spectral", "stress-majorization")
     exclude_layouts: tuple[str, ...] = ()
+    limit_s: float = 0
+    limits: dict[str, float] = field(default_factory=lambda: dict(LIMITS))
+    verify: int = 0
+    files: bool = False
 
     @staticmethod
     def of(values: dict[str, object]) -> Config:
@@ -118,8 +139,9 @@ def run(context: Context, what: str = "all", only: list[str] | None = None) -> l
     return done
 
 
-GRAPHS = "graph_id string, generator string, category string, source string, seed long, n int, us array<int>, vs array<int>"
+GRAPHS = "graph_id string, generator string, category string, source string, seed long, n int, us array<int>, vs array<int>, xs array<double>, ys array<double>, paths array<string>, bends array<array<struct<x:double,y:double>>>"
 AUDIT = "dropped_graph_id string"
+MARKS = "source string, key string, kept long, cap_reached boolean, completed_at_utc timestamp"
 
 
 def _with_properties(graphs: DataFrame) -> DataFrame:
@@ -127,11 +149,25 @@ def _with_properties(graphs: DataFrame) -> DataFrame:
     return graphs.join(properties.manifest24(graphs.select("graph_id", "n", "us", "vs")), "graph_id").withColumn("generated_at_utc", F.current_timestamp())
 
 
-def _add(c: Context, graphs: DataFrame) -> None:
-    """Append graphs that neither the manifest nor an audit knows."""
-    known = tables.known_ids((c.rows("manifest", GRAPHS), "graph_id"), (c.rows("sampling_audit", AUDIT), "dropped_graph_id"), (c.rows("dedup_audit", AUDIT), "dropped_graph_id"))
-    fresh = tables.not_done(graphs.select(*(x.split()[0] for x in GRAPHS.split(", "))), known, ["graph_id"])
+def _known(c: Context) -> DataFrame:
+    """Ids that the manifest has or an audit dropped."""
+    return tables.known_ids((c.rows("manifest", GRAPHS), "graph_id"), (c.rows("sampling_audit", AUDIT), "dropped_graph_id"), (c.rows("dedup_audit", AUDIT), "dropped_graph_id"))
+
+
+def _add(c: Context, graphs: DataFrame) -> DataFrame:
+    """Append graphs that neither the manifest nor an audit knows; returns those that couldn't be written as files."""
+    schema = T._parse_datatype_string(GRAPHS)
+    graphs = graphs.select(*(F.col(f.name) if f.name in graphs.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+    fresh = materialize(sinks.checked(tables.not_done(graphs, _known(c), ["graph_id"])))
+    lost = fresh.select("graph_id", F.lit("").alias("problem")).limit(0)
+    if c.config.files:
+        named = fresh.withColumn("path", sinks.graph_path(F.col("category"), F.col("source"), F.col("graph_id")))
+        texts = sinks.graph_texts(named, ("graph_id", "path"))
+        written = materialize(sinks.write_files(texts, c.config.out).filter("problem IS NOT NULL"))
+        lost = named.select("graph_id", "path").join(written, "path").select("graph_id", "problem")
+        fresh = fresh.join(lost, "graph_id", "left_anti")
     c.table("manifest").append(_with_properties(fresh))
+    return lost
 
 
 @register("generate")
@@ -146,25 +182,36 @@ def run_generate(c: Context) -> None:
 
 @register("stage")
 def run_stage(c: Context) -> None:
-    """Stage the folders landing/<source> of the sources that were asked for."""
+    """Stage the folders landing/<source> of the sources that were asked for and have no completion mark under the same bounds.
+    A source's mark is written after its graphs and reasons, so a broken run stages it again."""
     for name in c.config.sources:
         source = registry.SOURCES[name]
         drawn = source.category == "graphs_with_drawings"
+        low = corpus.FLOOR if source.category in ("real_world", "benchmark") else corpus.N_MIN
+        key = sinks.completion_key(low, c.config.n_max, c.config.max_graphs)
+        if not sinks.incomplete(c.spark.createDataFrame([(name,)], "source string"), c.rows("completed", MARKS), key).count():
+            continue
         parsed = readers.read_graphs(c.spark, f"{c.config.landing}/{name}", source.format, drawn)
-        known = tables.known_ids((c.rows("manifest", GRAPHS), "graph_id"))
-        kept, reasons = readers.stage(parsed, name, source.category, known, c.config.max_graphs, n_max=c.config.n_max)
-        _add(c, kept.withColumns({"generator": F.lit(name), "seed": F.lit(0).cast("long")}))
-        c.table("reasons").append(reasons)
+        kept, reasons = readers.stage(parsed, name, source.category, _known(c), c.config.max_graphs, low, c.config.n_max)
+        kept = materialize(kept)
+        lost = _add(c, kept.withColumns({"generator": F.lit(name), "seed": F.lit(0).cast("long")}))
+        failed = lost.groupBy(F.lit(name).alias("source"), F.substring_index("problem", "(", 1).alias("reason")).agg(F.count("*").alias("n"))
+        c.table("reasons").append(reasons.unionByName(failed))
+        c.table("completed").append(sinks.completion(name, key, kept, c.config.max_graphs))
 
 
 @register("sample")
 def run_sample(c: Context) -> None:
+    """Sources of real_world graphs keep their caps, spread over strata; all other rows stay, those of no category too."""
     whole = c.table("manifest").read()
-    pool = whole.filter("category = 'real_world'")
-    kept = tables.stratified_sample(pool, c.config.sample_cap, f"sample|{c.config.seed}")
+    pooled = F.coalesce(F.col("category") == "real_world", F.lit(False))
+    pool, k = whole.filter(pooled), c.config
+    caps = k.sample_caps if not k.sample_cap else {r[0]: k.sample_cap for r in pool.select(F.coalesce("source", F.lit(""))).distinct().collect()} | k.sample_caps  # sources are registered ones
+    seed = f"sample|{k.seed}" + (f"|{k.sample_offset}" if k.sample_offset else "")
+    kept = materialize(tables.stratified_sample(pool, caps, seed))
     lost = tables.not_done(pool, kept, ["graph_id"])
     c.table("sampling_audit").append(lost.select(F.col("graph_id").alias("dropped_graph_id"), "source", "n_nodes", "density"))
-    c.table("manifest").write(whole.filter("category <> 'real_world'").unionByName(kept.select(*whole.columns)))
+    c.table("manifest").write(whole.filter(~pooled).unionByName(kept.select(*whole.columns)))
 
 
 @register("dedup")
@@ -179,8 +226,7 @@ def run_dedup(c: Context) -> None:
     source = whole if c.config.dedup == "properties" else whole.join(isomorphism.isomorphism_classes(whole.select("graph_id", "n", "us", "vs")), "graph_id", "left")
     df = source.select("graph_id", "source", "category", "generator", *(e.alias(k) for k, e in keys.items()))
     df = df.withColumn("tier", tables.tier(F.col("category"), F.col("generator"), F.col("source")))
-    sizes = df.groupBy("source").agg(F.count("*").alias("source_size"))
-    df = df.join(sizes, "source", "left").fillna(0, ["source_size"])
+    df = tables.with_source_size(df)
     audit = tables.dedup_audit(tables.duplicates(df, list(keys), [F.col("tier"), F.col("source_size"), F.col("graph_id")]))
     audit = c.table("dedup_audit").append(audit)
     c.table("manifest").write(whole.join(audit.select(F.col("dropped_graph_id").alias("graph_id")).distinct(), "graph_id", "left_anti"))
@@ -194,13 +240,27 @@ def chosen_layouts(k: Config) -> list[str]:
 @register("layout")
 def run_layout(c: Context) -> None:
     """Layout and scores in one pass for the pairs that have no row yet, after rows of lost graphs are removed."""
-    manifest = c.table("manifest").read()
+    k, manifest = c.config, c.table("manifest").read()
     scores = c.table("scores")
     if scores.exists():
         scores.write(tables.without_orphans(scores.read(), manifest))
-    packed = manifest.select("graph_id", "n", "us", "vs", "is_planar", "is_tree")
+    packed = manifest.select("graph_id", "n", "us", "vs", "is_planar", "is_tree", "category", *(x for x in scoring.GIVEN if x in manifest.columns))
     done = scores.read() if scores.exists() else None
-    scores.append(scoring.laid_out_and_scored(packed, chosen_layouts(c.config), c.config.seed, done, flags=True))
+    names = chosen_layouts(k)
+    limits = {x: s for x in names if (s := k.limits.get(x, k.limit_s))}
+    first = tables.top_ids(manifest, k.verify) if k.verify else None
+    drawn = scoring.laid_out_and_scored(packed, names, k.seed, done, flags=True, limit_s=limits, geometry=k.files, first=first)
+    if k.files:
+        drawn = materialize(drawn)
+        at = drawn.filter("outcome = 'ok'").join(manifest.select("graph_id", "n", "us", "vs", "category", "source"), "graph_id")
+        at = at.withColumn("path", sinks.drawing_path(F.col("layout"), F.col("category"), F.col("source"), F.regexp_replace("graph_id", r"\.\w+$", "")))
+        points = F.transform(F.arrays_zip("xs", "ys"), lambda p: F.struct(p["xs"].alias("x"), p["ys"].alias("y")))
+        pictures = at.select(F.concat("path", F.lit(".svg")).alias("path"), sinks.svg(points, F.col("paths")).alias("text"))
+        texts = sinks.graph_texts(at.withColumns({"graph_id": F.concat("graph_id", F.lit(".geg")), "path": F.concat("path", F.lit(".geg"))}), ("path",)).select("path", "text")
+        lost = sinks.write_files(pictures.unionByName(texts), k.out).filter("problem IS NOT NULL")
+        c.table("unwritten").append(lost)
+        drawn = drawn.drop("xs", "ys", "paths")
+    scores.append(drawn)
 
 
 @register("metrics")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import tables
 from ..operators.properties import NAMES
-from ..scale import skew_join
 from .registry import query, table
 
 METRICS = [
@@ -114,9 +113,7 @@ RANKED = """r AS (SELECT graph_id, source, category, n_nodes, n_edges, max_degre
 def classes(spark: SparkSession, sf: str, keys: list[str]) -> DataFrame:
     df = graphs(spark, sf)
     df = df.select("graph_id", "source", "category", *keys, tables.tier(F.col("category"), F.col("generator"), F.col("source")).alias("tier"))
-    sizes = df.groupBy(F.coalesce("source", F.lit("(none)")).alias("__s")).agg(F.count("*").alias("source_size"))
-    df = df.withColumn("__s", F.coalesce("source", F.lit("(none)")))
-    df = skew_join(df, sizes, ["__s"]).drop("__s")
+    df = tables.with_source_size(df)
     return tables.duplicates(df, keys, [F.col("tier"), F.col("source_size"), F.col("graph_id")])
 
 

@@ -68,7 +68,7 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagedJson)
 
 
-def first_of_each(records: DataFrame, most: int = 200) -> DataFrame:
-    """Records with an id, each id once (its first page and place), the first so many in that order."""
+def first_of_each(records: DataFrame, most: int | None = 200) -> DataFrame:
+    """Records with an id, each id once (its first page and place), the first so many in that order, or all."""
     once = records.filter("id IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("page", "place"))).filter("r = 1").drop("r")
-    return once.orderBy("page", "place").limit(most)
+    return once if most is None else once.orderBy("page", "place").limit(most)

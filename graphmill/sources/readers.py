@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..operators import corpus
+from ..session import materialize
 from . import formats
 
 GRAPH = "path string, name string, n int, us array<int>, vs array<int>, orig_ids array<string>, xs array<double>, ys array<double>, attrs array<map<string,string>>, paths array<string>, bends array<array<struct<x:double,y:double>>>, connected boolean, problem string"
@@ -61,20 +62,60 @@ def parse_files(files: DataFrame, fmt: str, drawn: bool = False) -> DataFrame:
 
 def stage(graphs: DataFrame, source: str, category: str, known: DataFrame | None = None, cap: int = 0, n_min: int | None = None, n_max: int = corpus.N_MAX, density_cap: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, reasons): graphs of one source that pass all filters and aren't known yet, the first cap of them by id, and
-    how many rows each reason took. Known ids are left out before any filter."""
+    how many rows each reason took. Known ids are counted as already_in_manifest before any filter. Graphs are parsed and
+    judged once, into a table that both results are read from."""
     suffix = ".geg" if category == "graphs_with_drawings" else ".graphml"
     ids = F.concat(F.regexp_replace(F.lit(source), "/", "_"), F.lit("_"), F.col("name"), F.lit(suffix))
     df = graphs.withColumn("graph_id", ids).withColumns({"source": F.lit(source), "category": F.lit(category)})
-    if known is not None:
-        df = df.join(known.select("graph_id").distinct(), "graph_id", "left_anti")
     low = n_min if n_min is not None else corpus.FLOOR if category in ("real_world", "benchmark") else corpus.N_MIN
     why = corpus.reject_reason(F.col("n"), F.size("us"), F.coalesce("connected", F.lit(False)), low, n_max, None if density_cap is None else F.lit(density_cap))
-    df = df.withColumn("reason", F.coalesce(F.substring_index("problem", "(", 1), why))
+    reason = F.coalesce(F.substring_index("problem", "(", 1), why)
+    if known is not None:
+        marks = known.select(F.col("graph_id").alias("__id"), F.lit("already_in_manifest").alias("__known")).filter("__id IS NOT NULL").distinct()
+        df = df.join(marks, F.col("graph_id") == F.col("__id"), "left").drop("__id")
+        reason = F.coalesce("__known", reason)
+    df = materialize(df.withColumn("reason", reason).drop("__known"))
     kept = corpus.first_accepted(df.filter("reason IS NULL"), ["source"], [F.col("graph_id")], cap)
     reasons = df.groupBy("source", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
     return kept.drop("reason", "problem"), reasons
 
 
+def catalogue(records: DataFrame) -> DataFrame:
+    """Pages of a catalogue of networks, as paged_json has them (id or name of the entry, json), as rows of promising(): one
+    for an entry with one network, one for each network of an entry with several (its analyses are keyed by their names).
+    (entry, network, num_vertices, num_edges, is_directed, edge_reciprocity, largest_component_fraction); restricted entries
+    are left out. A network's file-safe name has _ for / : and backslash."""
+    one = "num_vertices long, num_edges long, is_directed boolean, edge_reciprocity double, largest_component_fraction double"
+    whole = F.from_json("json", "restricted boolean, nets array<string>, analyses string")
+    df = records.select(F.col("id").alias("entry"), whole.alias("r")).filter(~F.coalesce("r.restricted", F.lit(False)))
+    single = F.from_json("r.analyses", one)
+    named = F.from_json("r.analyses", f"map<string, struct<{', '.join(f.replace(' ', ':', 1) for f in one.split(', '))}>>")
+    alone = df.select("entry", F.col("entry").alias("network"), single.alias("a")).filter("a.num_vertices IS NOT NULL")
+    several = df.filter(single["num_vertices"].isNull()).select("entry", F.explode_outer("r.nets").alias("network"), named.alias("m")).filter("network IS NOT NULL")
+    several = several.select("entry", "network", F.element_at("m", F.col("network")).alias("a"))
+    return alone.unionByName(several).select("entry", "network", F.translate("network", "/:\\", "___").alias("safe_name"), "a.*")
+
+
+def adjacency_graphs(records: DataFrame) -> DataFrame:
+    """Pages of graphs as adjacency lists (paged_json) as staged graphs: each record once, by id."""
+    from .paged import first_of_each
+
+    files = first_of_each(records, None).select(F.concat(F.lit("page/"), F.col("id"), F.lit(".json")).alias("path"), F.col("json").cast("binary").alias("content"))
+    return parse_files(files, "adjacency_json")
+
+
+def open_networks(records: DataFrame, most: int = 200) -> DataFrame:
+    """Pages of networks in CX (paged_json; json is the network's list of aspects) as staged drawings: each id once, those whose
+    licence is open, the first most of them by page and place (the feature: a source's limit)."""
+    from .paged import first_of_each
+
+    rights = F.from_json("json", "array<struct<networkAttributes:array<struct<n:string,v:string>>>>")
+    named = lambda k: F.try_element_at(F.transform(F.filter(F.flatten(F.coalesce(F.transform(F.filter(rights, lambda a: a["networkAttributes"].isNotNull()), lambda a: a["networkAttributes"]), F.array())), lambda x: F.lower(F.trim(x["n"])) == k), lambda x: x["v"]), F.lit(1))
+    usable = records.filter(is_open(named("rights")))
+    files = first_of_each(usable, most).select(F.concat(F.lit("page/"), F.col("id"), F.lit(".cx")).alias("path"), F.col("json").cast("binary").alias("content"))
+    return parse_files(files, "cx", drawn=True)
+
+
 def routes_by_country(airports: DataFrame, routes: DataFrame) -> DataFrame:
     """edges(graph_id, u, v): undirected routes between airports of one country; airports(id, country), routes(src, dst)."""
     from ..scale import skew_join

@@ -5,14 +5,19 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+import os
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from urllib.parse import quote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import paths
 from .readers import CATEGORIES, NESTED
 
 #: Columns by which the HTML index filters drawings.
@@ -112,6 +117,78 @@ def completion(source: str, key: str, kept: DataFrame, cap: int) -> DataFrame:
     return kept.agg(F.lit(source).alias("source"), F.lit(key).alias("key"), F.count("*").alias("kept"), ((F.count("*") >= cap) & F.lit(cap > 0)).alias("cap_reached"), F.current_timestamp().alias("completed_at_utc"))
 
 
+def _folder(category: Column, source: Column, kind: Column) -> Column:
+    """category[/source]; a bad category, or a source where none belongs or none where one does, fails the job."""
+    nested = category.isin(*NESTED)
+    has = F.coalesce(source, F.lit("")) != ""
+    bad = F.raise_error(F.concat(F.lit("no path for category "), F.coalesce(category, F.lit("(none)")), F.lit(", source "), F.coalesce(source, F.lit("(none)"))))
+    return F.when(F.coalesce(category.isin(*CATEGORIES), F.lit(False)) & (nested == has), F.concat_ws("/", kind, F.when(nested, source))).otherwise(bad.cast("string"))
+
+
+def graph_path(category: Column, source: Column, graph_id: Column) -> Column:
+    """Where a graph's file is, below the corpus' folder."""
+    top = F.when(category == "graphs_with_drawings", F.lit("graphs-with-drawings")).otherwise(F.concat(F.lit("graphs/"), category))
+    return F.concat_ws("/", _folder(category, source, top), graph_id)
+
+
+def drawing_path(layout: Column, category: Column, source: Column, graph_id: Column) -> Column:
+    """Where a drawing's file is, below the corpus' folder. A cohort without sources has none in the path."""
+    source = F.when(category.isin(*NESTED), source)
+    return F.concat_ws("/", _folder(category, source, F.concat(F.lit("drawings/"), layout, F.lit("/"), category)), graph_id)
+
+
+def graph_texts(graphs: DataFrame, keep: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """keep, text and problem of graphs(graph_id, n, us, vs and maybe xs, ys, paths): GraphML, or drawn JSON where the id ends
+    in .geg; a row that can't be written has a null text and the error's name."""
+    given = [c for c in ("xs", "ys", "paths") if c in graphs.columns]
+    sent = graphs.select(*dict.fromkeys([*keep, "graph_id", "n", "us", "vs", *given]))
+    schema = T.StructType([*(sent.schema[c] for c in keep), T.StructField("text", T.StringType()), T.StructField("problem", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                xs, ys, ways = (getattr(r, c, None) for c in ("xs", "ys", "paths"))
+                try:
+                    xy = None if xs is None or ys is None else [(float(x), float(y)) for x, y in zip(xs, ys, strict=True)]
+                    write = paths.to_geg if str(r.graph_id).endswith(".geg") else paths.to_graphml
+                    rows.append((*(getattr(r, c) for c in keep), write(int(r.n), [int(u) for u in r.us], [int(v) for v in r.vs], xy, None if ways is None else list(ways)), None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((*(getattr(r, c) for c in keep), None, f"write_failed({type(e).__name__})"))
+            yield pd.DataFrame(rows, columns=schema.names).astype({c: b[c].dtype for c in keep})
+
+    return sent.mapInPandas(run, schema)
+
+
+def write_files(texts: DataFrame, root: str) -> DataFrame:
+    """Write texts(path, text) to files below root, a folder that all executors see, and return (path, problem). A file is
+    written beside its name and then renamed, so no reader meets half of one and a repeated task does no harm. Rows without
+    a text have their problem told."""
+    schema = "path string, problem string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text in zip(b["path"], b["text"], strict=True):
+                why = None if isinstance(text, str) else "write_failed(no text)"
+                if why is None:
+                    at = Path(root) / path
+                    part = at.with_name(f".{at.name}.{uuid.uuid4().hex}")
+                    try:
+                        if not at.resolve().is_relative_to(Path(root).resolve()):
+                            raise ValueError(path)
+                        at.parent.mkdir(parents=True, exist_ok=True)
+                        part.write_text(text, encoding="utf-8")
+                        os.replace(part, at)
+                    except (OSError, ValueError) as e:
+                        part.unlink(missing_ok=True)
+                        why = f"write_failed({type(e).__name__})"
+                rows.append((path, why))
+            yield pd.DataFrame(rows, columns=["path", "problem"])
+
+    return texts.select("path", "text").mapInPandas(run, schema)
+
+
 def svg(nodes: Column, edges: Column, radius: float = 7.5) -> Column:
     """The SVG text of a drawing: nodes an array of (x, y), edges an array of path texts."""
     lines = F.array_join(F.transform(edges, lambda p: F.concat(F.lit('<path fill="none" stroke="#777" d="'), p, F.lit('"/>'))), "")

