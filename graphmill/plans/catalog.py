@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
 
-for _name in ("q_corpus", "q_drawings", "q_tables", "q_analysis", "q_algorithms", "q_more"):
+for _name in ("q_corpus", "q_drawings", "q_tables", "q_analysis", "q_algorithms", "q_more", "q_sources"):
     importlib.import_module(f"{__package__}.{_name}")
 
 

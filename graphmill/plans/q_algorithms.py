@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analysis, corpus, generate, isomorphism
+from ..session import materialize
 from ..operators.analysis import QUALITY
-from .q_analysis import _means, clean
+from .q_analysis import CLEAN, _means, clean
 from .q_corpus import edges
+from .q_tables import FIRST_SQL
 from .registry import query
 
 
@@ -50,6 +52,39 @@ def shapley_r2(spark, sf):  # noqa: ANN001, ANN201
     return spark.createDataFrame(analysis.shapley_r2(df, "quality", groups, layout="layout"), "feature string, share double")
 
 
+GROUPS = {"size": ["n_nodes", "n_edges"], "density": ["density", "mean_degree"], "distance": ["diameter", "avg_shortest_path_length"], "clustering": ["transitivity", "average_clustering"]}
+
+
+@query()
+def shapley_boosted(spark, sf):  # noqa: ANN001, ANN201
+    """Shares of held-out R2 of boosted trees: groups of invariants and the layout."""
+    from ..functions.text import number
+    from ..operators import attribution
+    from .q_tables import graphs
+
+    cols = [c for g in GROUPS.values() for c in g]
+    df = clean(spark, sf).select("graph_id", "layout", "quality", "kruskal_stress").join(graphs(spark, sf).select("graph_id", *(number(F.col(c).cast("double")).alias(c) for c in cols)), "graph_id")
+    return attribution.shapley_boosted(df, ["quality", "kruskal_stress"], GROUPS, ["graph_id", "layout"], layout="layout")
+
+
+FITTED = ["n_nodes", "n_edges", "density", "max_degree", "diameter", "transitivity"]
+
+
+@query(f"""WITH {CLEAN}, {FIRST_SQL}, e AS (SELECT graph_id, max(quality) AS m FROM q GROUP BY 1), r AS (SELECT count(*) AS n FROM e JOIN graphs g ON e.graph_id = g.graph_id WHERE m IS NOT NULL AND {' AND '.join(f"g.{c}::VARCHAR NOT IN ('nan', '-nan')" for c in FITTED)})
+  SELECT unnest(['quality_max', 'quality_range']) AS target, n AS n_rows, true AS a_fifth_held_out, true AS r2_below_one FROM r""")
+def envelope_fit(spark, sf):  # noqa: ANN001, ANN201
+    """Boosted trees on all graphs for two envelope statistics: the rows that have all columns, whether a fifth of them is held out, and
+    whether these have an R2 (the tables' scores are random, so there is little to learn; tests have what can be learnt)."""
+    from ..functions.text import number
+    from ..operators import attribution
+    from .q_tables import graphs
+
+    env = analysis.envelope(clean(spark, sf), "graph_id", ["quality"])
+    df = env.join(graphs(spark, sf).select("graph_id", *(number(F.col(c).cast("double")).alias(c) for c in FITTED)), "graph_id")
+    found = attribution.held_out_fit(materialize(df), ["quality_max", "quality_range"], [*FITTED, "n_drawings"], ["graph_id"])
+    return spark.createDataFrame([(t, n + m, 0.1 < m / (n + m) < 0.3, r2 is not None and -1 < r2 < 1) for t, r2, n, m in found], "target string, n_rows long, a_fifth_held_out boolean, r2_below_one boolean")
+
+
 @query()
 def dedup_wl_vf2(spark, sf):  # noqa: ANN001, ANN201
     return isomorphism.isomorphism_classes(corpus.pack(edges(spark, sf)))

@@ -184,12 +184,20 @@ def planar(spark, sf):  # noqa: ANN001, ANN201
     return corpus.per_graph(corpus.pack(edges(spark, sf)), properties.deep_kernel, "is_planar boolean")
 
 
-@query()
+AROUND = """around AS (SELECT DISTINCT graph_id, u AS x, v AS s, v AS b FROM sym UNION SELECT r.graph_id, r.x, r.s, y.v FROM around r JOIN sym y ON r.graph_id = y.graph_id AND r.b = y.u AND y.v <> r.x),
+cuts AS (SELECT graph_id, sum(parts - 1) AS more FROM (SELECT graph_id, x, count(DISTINCT root) AS parts FROM (SELECT graph_id, x, s, min(b) AS root FROM around GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"{WITH_R}, {AROUND} SELECT graph_id, (n_components + more)::INT AS n_biconnected_components FROM comps JOIN cuts USING (graph_id)")
 def biconnected(spark, sf):  # noqa: ANN001, ANN201
     return corpus.per_graph(corpus.pack(edges(spark, sf)), properties.deep_kernel, "n_biconnected_components int")
 
 
-@query()
+PEEL = """peel AS (SELECT graph_id, u, v, 1 AS k FROM sym UNION ALL SELECT graph_id, u, v, CASE WHEN low THEN k ELSE k + 1 END FROM (
+  SELECT *, bool_or(du < k OR dv < k) OVER (PARTITION BY graph_id) AS low FROM (SELECT *, count(*) OVER (PARTITION BY graph_id, u) AS du, count(*) OVER (PARTITION BY graph_id, v) AS dv FROM peel)) WHERE du >= k AND dv >= k)"""
+
+
+@query(f"WITH RECURSIVE {EDGES}, {PEEL} SELECT graph_id, (max(k) - 1)::INT AS degeneracy FROM peel GROUP BY 1")
 def degeneracy(spark, sf):  # noqa: ANN001, ANN201
     return corpus.per_graph(corpus.pack(edges(spark, sf)), properties.deep_kernel, "degeneracy int")
 
