@@ -6,6 +6,7 @@ functions of the graph and the seed.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -67,7 +68,9 @@ def circular(n, us, vs, seed=0):  # noqa: ANN001, ANN201
 
 @register("random")
 def random(n, us, vs, seed=0):  # noqa: ANN001, ANN201
-    return np.random.default_rng(seed).random((n, 2)), {}
+    """Places from the digits of md5 of seed and node, as drawings.random has them."""
+    digests = [hashlib.md5(f"{seed}|{i}".encode()).hexdigest() for i in range(n)]
+    return np.array([[int(d[0:6], 16), int(d[6:12], 16)] for d in digests]) / 16.0**6, {}
 
 
 def bfs_order(n: int, us: np.ndarray, vs: np.ndarray) -> list[int]:

@@ -57,6 +57,7 @@ def sequential_variance(df: DataFrame, metrics: list[str], factors: list[str]) -
     cur = df.crossJoin(F.broadcast(mean)).select(*factors, *((F.col(m) - F.col(f"m{i}")).alias(c) for i, (m, c) in enumerate(zip(metrics, cols, strict=True))))
     sums = [cur.agg(*(F.sum(F.col(c) ** 2).alias(c) for c in cols)).withColumn("step", F.lit(0))]
     for k, f in enumerate(factors, 1):
+        cur = materialize(cur)  # read by the means, the join and the sums
         means = cur.groupBy(f).agg(*(F.avg(c).alias(f"g_{c}") for c in cols))
         cur = skew_join(cur.filter(F.col(f).isNotNull()), means, [f]).select(*factors, *((F.col(c) - F.col(f"g_{c}")).alias(c) for c in cols))
         sums.append(cur.agg(*(F.sum(F.col(c) ** 2).alias(c) for c in cols)).withColumn("step", F.lit(k)))
@@ -181,13 +182,39 @@ def clusters(rho: DataFrame, names: list[str], threshold: float) -> list[tuple[s
     return [(names[i], cluster[i], k) for k, i in enumerate(order)]
 
 
-def representatives(found: list[tuple[str, int, int]], preferred: tuple[str, ...] = ()) -> dict[int, str]:
-    """Of each cluster the first of preferred that it holds, else its first name in the alphabet."""
-    out: dict[int, str] = {}
-    for c in sorted({c for _, c, _ in found}):
-        members = sorted(n for n, k, _ in found if k == c)
-        out[c] = next((p for p in preferred if p in members), members[0])
-    return out
+# How much an invariant is preferred as its cluster's representative, and the names of clusters of just these members.
+PREFERENCE = {
+    "n_edges": 2, "n_nodes": 1, "avg_shortest_path_length": 2, "diameter": 1, "radius": 0, "transitivity": 2, "average_clustering": 1, "n_triangles": 0, "mean_degree": 2, "degeneracy": 1,
+    "max_degree": 2, "degree_std": 1,
+}
+NAMED_CLUSTERS = {
+    frozenset({"n_nodes", "n_edges"}): "Size (|V|, |E|)", frozenset({"max_degree", "degree_std"}): "Degree heterogeneity",
+    frozenset({"n_triangles", "average_clustering", "transitivity", "mean_degree", "degeneracy"}): "Local density / clustering",
+    frozenset({"density", "radius", "diameter", "avg_shortest_path_length"}): "Density / distance", frozenset({"min_degree", "n_biconnected_components"}): "Local connectivity",
+}
+
+
+def representatives(found: list[tuple[str, int, int]], preferred: dict[str, int] | tuple[str, ...] = ()) -> dict[int, str]:
+    """Of each cluster the member of greatest preference (given as numbers, or by order), then the first name in the alphabet."""
+    weights = preferred if isinstance(preferred, dict) else {p: len(preferred) - i for i, p in enumerate(preferred)}
+    clusters: dict[int, list[str]] = {}
+    for name, c, _ in found:
+        clusters.setdefault(c, []).append(name)
+    return {c: min(members, key=lambda m: (-weights.get(m, 0), m)) for c, members in sorted(clusters.items())}
+
+
+def cluster_titles(found: list[tuple[str, int, int]], preferred: dict[str, int] = PREFERENCE, titles: dict[frozenset[str], str] = NAMED_CLUSTERS) -> dict[int, str]:
+    """The title of each cluster: that of its very members, else its representative."""
+    members: dict[int, set[str]] = {}
+    for name, c, _ in found:
+        members.setdefault(c, set()).add(name)
+    return {c: titles.get(frozenset(members[c]), top) for c, top in representatives(found, preferred).items()}
+
+
+def with_composites(found: list[tuple[str, int, int]], names: tuple[str, ...] = ("quality", "empirical_quality")) -> list[tuple[str, int, int]]:
+    """found, behind whose leaves each composite is a cluster of its own."""
+    top, last = max((c for _, c, _ in found), default=0), len(found)
+    return [*found, *((n, top + i, last + i - 1) for i, n in enumerate(names, 1))]
 
 
 #: Values of a column that shapley_r2 takes one-hot.

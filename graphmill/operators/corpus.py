@@ -14,6 +14,8 @@ N_MIN, N_MAX, FLOOR = 1, 75, 8
 #: The greatest density by size; above 30 nodes, DENSITY_REST.
 DENSITY_STEPS = ((8, 1.0), (15, 0.75), (30, 0.6))
 DENSITY_REST = 0.5
+#: Parts of a group that are ranked apart before the group is.
+PARTS = 64
 #: In the order in which they are looked for; already_in_manifest comes before all.
 REASONS = ("out_of_size", "no_edges", "disconnected", "over_density_cap")
 
@@ -72,13 +74,22 @@ def size_floor(category: Column, drawings_min: int = N_MIN) -> Column:
 
 
 def first_accepted(df: DataFrame, by: list[str], order: list[Column], cap: Column | int) -> DataFrame:
-    """The first cap rows of each group in order; a cap of 0 or null keeps all. Give only rows that passed every filter."""
+    """The first cap rows of each group in order; a cap of 0 or null keeps all. Give only rows that passed every filter.
+
+    A number lets every task keep no more than that of a group before the shuffle. With a column, rows are first ranked within
+    parts of a group, so that no task orders a whole one.
+    """
     from pyspark.sql import Window
 
     limit = cap if isinstance(cap, Column) else F.lit(cap)
     if isinstance(cap, int) and cap > 0:  # a literal bound lets each task keep no more than cap rows of a group
         return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__n") <= cap).drop("__n")
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter((F.coalesce(limit, F.lit(0)) == 0) | (F.col("__n") <= limit)).drop("__n")
+    if isinstance(cap, int):
+        return df
+    marked = df.withColumns({"__cap": F.coalesce(limit, F.lit(0)), "__part": F.pmod(F.xxhash64(*df.columns), F.lit(PARTS))})
+    ranked = marked.filter("__cap > 0").withColumn("__n", F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))).filter("__n <= __cap")
+    ranked = ranked.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("__n <= __cap")
+    return marked.filter("__cap = 0").drop("__cap", "__part").unionByName(ranked.drop("__cap", "__part", "__n"))
 
 
 def pack(edges: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ are sampled to polylines by functions.scores.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..seeds import unit
+from ..seeds import seed_column, unit
 
 KEY = ["graph_id", "layout"]
 #: The diagonal of a standardised drawing, and the radius of a node in it.
@@ -26,8 +27,9 @@ def circular(nodes: DataFrame) -> DataFrame:
 
 
 def random(nodes: DataFrame, root: int = 1) -> DataFrame:
-    """Places from md5 of root, layout, graph and node: the same for every order and partitioning."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(root)), F.lit("random"), F.col("graph_id").cast("string"), F.col("node").cast("string")))
+    """Places from md5 of the seed (of root, layout and graph) and the node: the same for every order and partitioning, and in
+    the kernel of that name, for nodes numbered from 0."""
+    digest = F.md5(F.concat_ws("|", seed_column(root, "random", F.col("graph_id")).cast("string"), F.col("node").cast("string")))
     return nodes.select("graph_id", F.lit("random").alias("layout"), "node", unit(digest, 1).alias("x"), unit(digest, 7).alias("y"))
 
 
@@ -231,3 +233,30 @@ def oriented_bends(start: Column, bends: Column) -> Column:
     """bends, turned round if there are two or more and the last is nearer to start than the first."""
     far = lambda p: F.hypot(p["x"] - start["x"], p["y"] - start["y"])
     return F.when((F.size(bends) > 1) & (far(F.element_at(bends, -1)) < far(F.element_at(bends, 1))), F.reverse(bends)).otherwise(bends)
+
+
+#: Scores by name, each a function of edges and places that gives (graph_id, layout, score).
+METRICS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
+
+
+def register_metric(name: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    if name in METRICS:
+        raise ValueError(f"metric {name} exists")
+    METRICS[name] = f
+
+
+register_metric("aspect_ratio", lambda edges, at: aspect_ratio(at))
+register_metric("node_resolution", lambda edges, at: node_resolution(at))
+register_metric("node_uniformity", lambda edges, at: node_uniformity(at))
+register_metric("edge_crossings", lambda edges, at: crossing_scores(edges, at).select(*KEY, "edge_crossings"))
+register_metric("crossing_angle", lambda edges, at: crossing_scores(edges, at).select(*KEY, "crossing_angle"))
+for _f in (edge_length_deviation, edge_orthogonality, angular_resolution, gabriel_ratio, node_edge_occlusion, neighbourhood_preservation):
+    register_metric("gabriel_ratio_nodes" if _f is gabriel_ratio else _f.__name__, _f)
+
+
+def measured(edges: DataFrame, at: DataFrame, names: list[str]) -> DataFrame:
+    """(graph_id, layout, names): the registered scores of every drawing, null where one has none."""
+    out = at.select(*KEY).distinct()
+    for name in names:
+        out = out.join(METRICS[name](edges, at).select(*KEY, name), KEY, "left")
+    return out

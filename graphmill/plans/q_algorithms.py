@@ -15,14 +15,14 @@ from .registry import query
 
 def _clusters(spark, rho, names, threshold, preferred=()):  # noqa: ANN001, ANN202
     found = analysis.clusters(rho, names, threshold)
-    top = analysis.representatives(found, preferred)
-    return spark.createDataFrame([(n, c, k, top[c]) for n, c, k in found], "name string, cluster int, leaf int, representative string")
+    top, titles = analysis.representatives(found, preferred), analysis.cluster_titles(found)
+    return spark.createDataFrame([(n, c, k, top[c], titles[c]) for n, c, k in found], "name string, cluster int, leaf int, representative string, title string")
 
 
 @query()
 def cluster_upgma(spark, sf):  # noqa: ANN001, ANN201
     names = analysis.PROPERTIES
-    return _clusters(spark, analysis.spearman(_means(spark, sf, names, ["quality"]), names, names, key="graph_id"), names, 0.75, ("n_nodes", "density"))
+    return _clusters(spark, analysis.spearman(_means(spark, sf, names, ["quality"]), names, names, key="graph_id"), names, 0.75, analysis.PREFERENCE)
 
 
 @query()

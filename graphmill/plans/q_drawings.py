@@ -47,7 +47,7 @@ def _unit(at: int) -> str:
     return f"({digits})::DOUBLE / {16 ** 6}"
 
 
-@query(f"{WITH}, h AS (SELECT graph_id, node, md5('1|random|' || graph_id || '|' || node) AS d FROM deg) SELECT graph_id, 'random' AS layout, node, {_unit(1)} AS x, {_unit(7)} AS y FROM h")
+@query(f"{WITH}, h AS (SELECT graph_id, node, md5(('0x' || substr(md5('1|random|' || graph_id), 1, 15))::BIGINT || '|' || node) AS d FROM deg) SELECT graph_id, 'random' AS layout, node, {_unit(1)} AS x, {_unit(7)} AS y FROM h")
 def layout_random(spark, sf):  # noqa: ANN001, ANN201
     return drawings.random(nodes(spark, sf))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analysis, corpus, flows, properties, tables
 from ..scale import skew_join, small_or_not
+from ..session import materialize
 from ..sources import readers
 from .q_corpus import edges
 from .q_tables import FIRST_SQL, graphs
@@ -55,7 +56,7 @@ def layout_cluster_map(spark, sf):  # noqa: ANN001, ANN201
 @query(f"WITH {FIRST_SQL}, l AS (SELECT DISTINCT layout FROM metrics), d AS (SELECT DISTINCT graph_id, layout FROM metrics) SELECT l.layout, count(*) AS tasks, count(*) FILTER (WHERE d.graph_id IS NULL) AS open FROM graphs g CROSS JOIN l LEFT JOIN d ON g.graph_id = d.graph_id AND l.layout = d.layout WHERE (l.layout <> 'planar' OR g.is_planar) AND (l.layout <> 'radial-tree' OR g.is_tree) GROUP BY 1")
 def layout_tasks(spark, sf):  # noqa: ANN001, ANN201
     m = table(spark, sf, "metrics").select("graph_id", "layout")
-    tasks = graphs(spark, sf).select("graph_id", "is_planar", "is_tree").crossJoin(F.broadcast(m.select("layout").distinct()))  # layouts are few by their nature
+    tasks = graphs(spark, sf).select("graph_id", "is_planar", "is_tree").crossJoin(small_or_not(materialize(m.select("layout").distinct())))
     tasks = tasks.filter("(layout <> 'planar' OR is_planar) AND (layout <> 'radial-tree' OR is_tree)")
     left = tables.not_done(tasks, m, ["graph_id", "layout"]).groupBy("layout").agg(F.count("*").alias("open"))
     return tasks.groupBy("layout").agg(F.count("*").alias("tasks")).join(left, "layout", "left").fillna(0, ["open"])

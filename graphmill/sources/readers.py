@@ -192,3 +192,12 @@ def log_totals(lines: DataFrame, order: str = "line_no") -> DataFrame:
     last = hit.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc(order)))).filter("r = 1")
     counts = last.select(F.explode(F.from_json("json", "map<string,bigint>")).alias("reason", "n"))
     return counts.groupBy("reason").agg(F.sum("n").alias("n"))
+
+
+def load_corpus(spark: SparkSession, folder: str, metrics: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(drawings, envelopes) of a corpus folder with manifest.csv and metrics/<layout>.csv: every drawing with its graph's row, and
+    for each graph n_drawings, min, max and range of each metric, with the same row."""
+    manifest = read_manifest(spark, f"{folder}/manifest.csv")
+    drawings = read_scores(spark, f"{folder}/metrics").join(manifest, "graph_id", "left")
+    stats = [x for m in metrics for x in (F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"), (F.max(m) - F.min(m)).alias(f"{m}_range"))]
+    return drawings, drawings.groupBy("graph_id").agg(F.count("*").alias("n_drawings"), *stats).join(manifest, "graph_id", "left")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphmill import scale, seeds
-from graphmill.functions import generators, scores
+from graphmill.functions import generators, layouts, scores
 from graphmill.operators import analysis, corpus, drawings, isomorphism, properties, scoring, tables
 
 
@@ -105,6 +105,9 @@ def test_caps(spark):
     assert corpus.first_accepted(df, ["source"], [F.col("i")], 2).count() == 3
     assert corpus.first_accepted(df, ["source"], [F.col("i")], 0).count() == 10
     assert corpus.first_accepted(df, ["source"], [F.col("i")], F.lit(2)).count() == 3
+    caps = F.when(F.col("source") == "s", 4)  # none for t
+    assert rows(corpus.first_accepted(df.withColumn("__x", F.lit(1)), ["source"], [F.desc("i")], caps).select("source", "i")) == [("s", 5), ("s", 6), ("s", 7), ("s", 8), ("t", 1)]
+    assert corpus.first_accepted(df, ["source"], [F.col("i")], F.lit(None).cast("int")).count() == 10
 
 
 def test_isomorphism_classes(spark):
@@ -237,3 +240,43 @@ def test_standard_form_is_idempotent(spark):
     once = drawings.standardise(at)
     a, b = (x.orderBy("graph_id", "node").toPandas() for x in (once, drawings.standardise(once)))
     assert np.allclose(a[["x", "y"]], b[["x", "y"]]) and np.allclose(a.iloc[-1][["x", "y"]].astype(float), 0)
+
+
+def test_random_places_are_the_same_in_columns_and_kernel(spark):
+    g = generators.graph(6, [(i, (i + 1) % 6) for i in range(6)])
+    at = {r.node: (r.x, r.y) for r in drawings.random(spark.createDataFrame([("g1", i) for i in range(6)], "graph_id string, node long"), root=5).collect()}
+    xy, _ = layouts.lay_out("random", *g, seed=seeds.seed(5, "random", "g1"))
+    assert np.allclose(xy, [at[i] for i in range(6)])
+
+
+def test_registered_metrics(spark, named):
+    e = as_edges(spark, {k: named[k] for k in ("petersen", "K_5")})
+    at = drawings.circular(corpus.degrees(e).select("graph_id", "node"))
+    got = drawings.measured(e, at, sorted(drawings.METRICS)).toPandas().set_index("graph_id")
+    for k in ("petersen", "K_5"):
+        want = scores.score(*named[k], layouts.lay_out("circular", *named[k])[0])
+        assert all(abs(got.loc[k, m] - want[m]) < 1e-6 for m in drawings.METRICS), k
+    with pytest.raises(ValueError, match="exists"):
+        drawings.register_metric("aspect_ratio", drawings.METRICS["aspect_ratio"])
+
+
+def test_titles_of_clusters():
+    found = [("n_nodes", 1, 0), ("n_edges", 1, 1), ("diameter", 2, 2), ("radius", 2, 3), ("density", 3, 4)]
+    assert analysis.representatives(found, analysis.PREFERENCE) == {1: "n_edges", 2: "diameter", 3: "density"}
+    assert analysis.cluster_titles(found) == {1: "Size (|V|, |E|)", 2: "diameter", 3: "density"}
+    assert analysis.with_composites(found)[-2:] == [("quality", 4, 5), ("empirical_quality", 5, 6)]
+
+
+def test_generated_parameters_are_in_range():
+    """Ring widths, mean degrees and radii over many draws."""
+    widths, means, dense = set(), [], []
+    for seed in range(300):
+        r = np.random.default_rng(seed)
+        n, us, vs = generators.FAMILIES["nws"].make(r, 13)
+        deg = np.bincount(np.concatenate((us, vs)), minlength=n)
+        widths.add(int(deg.min()))
+        n, us, _ = generators.FAMILIES["lfr"].make(np.random.default_rng(seed), 60)
+        means.append(2 * len(us) / n)
+        n, us, _ = generators.FAMILIES["geo"].make(np.random.default_rng(seed), 40)
+        dense.append(2 * len(us) / (n * (n - 1)))
+    assert {2, 4} <= widths and 3.0 < np.mean(means) < 7.5 and 0.1 < np.mean(dense) < 0.5
