@@ -93,10 +93,10 @@ def spearman(df: DataFrame, xs: list[str], ys: list[str], key: str | None = None
     long = _pairs(df, pairs)
     rank = F.col("before") + (F.col("n") + 1) / 2
     of_x = ordered_counts(long, ["p"], "vx").withColumn("r", rank)
-    square = of_x.groupBy("p").agg(F.sum(F.col("n") * F.col("r") ** 2).alias("xx"))
-    by_y = long.join(of_x.select("p", "vx", "r"), ["p", "vx"]).groupBy("p", "vy").agg(F.count("*").alias("n"), F.sum("r").alias("rx"))
+    met = long.join(of_x.select("p", "vx", "r"), ["p", "vx"])
+    by_y = materialize(met.groupBy("p", "vy").agg(F.count("*").alias("n"), F.sum("r").alias("rx"), F.sum(F.col("r") ** 2).alias("rxx")))
     of_y = in_order(by_y, ["p"], "vy").withColumn("r", rank)
-    sums = of_y.groupBy("p").agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("rx")).alias("xy"), F.sum(F.col("n") * F.col("r") ** 2).alias("yy")).join(square, "p")
+    sums = of_y.groupBy("p").agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("rx")).alias("xy"), F.sum("rxx").alias("xx"), F.sum(F.col("n") * F.col("r") ** 2).alias("yy"))
     mid = F.col("n") * ((F.col("n") + 1) / 2) ** 2  # n times the squared mean rank
     var = (F.col("xx") - mid) * (F.col("yy") - mid)
     rho = F.when((F.col("xx") - mid > 1e-6) & (F.col("yy") - mid > 1e-6), (F.col("xy") - mid) / F.sqrt(var))

@@ -137,7 +137,21 @@ def property_timings(spark, sf):  # noqa: ANN001, ANN201
 def layout_baur_brandes(spark, sf):  # noqa: ANN001, ANN201
     from ..operators.scoring import laid_out_and_scored
 
-    return laid_out_and_scored(graphs_packed(spark, sf), ["baur-brandes", "circular", "planar", "sugiyama", "kamada-kawai", "forceatlas2", "fruchterman-reingold"])
+    return laid_out_and_scored(graphs_packed(spark, sf), ["baur-brandes", "circular"])
+
+
+@query()
+def layout_planar_layered(spark, sf):  # noqa: ANN001, ANN201
+    from ..operators.scoring import laid_out_and_scored
+
+    return laid_out_and_scored(graphs_packed(spark, sf), ["planar", "sugiyama"])
+
+
+@query()
+def layout_forces(spark, sf):  # noqa: ANN001, ANN201
+    from ..operators.scoring import laid_out_and_scored
+
+    return laid_out_and_scored(graphs_packed(spark, sf), ["kamada-kawai", "forceatlas2", "fruchterman-reingold"])
 
 
 def graphs_packed(spark, sf):  # noqa: ANN001, ANN201

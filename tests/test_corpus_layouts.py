@@ -17,7 +17,7 @@ def sf(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize(("query", "n_layouts"), [(q_more.layout_baur_brandes, 7), (q_more.drawings_svg, 2)])
+@pytest.mark.parametrize(("query", "n_layouts"), [(q_more.layout_baur_brandes, 2), (q_more.layout_planar_layered, 2), (q_more.layout_forces, 3), (q_more.drawings_svg, 2)])
 def test_every_graph_is_laid_out(spark, sf, query, n_layouts):
     got = query(spark, sf).select("graph_id", "layout", "outcome").collect()
     want = {"7", "8", *(f"calibration_{k}_n{g[0]:03d}_m{len(g[1]):04d}.graphml" for k, g in generators.calibration())}
