@@ -6,7 +6,7 @@ segment, source its nation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import corpus, properties
@@ -25,14 +25,21 @@ WITH, WITH_R = f"WITH {EDGES}", f"WITH RECURSIVE {EDGES}, {REACH}"
 DENSITY = "CASE WHEN n_nodes >= 2 THEN 2.0::DOUBLE * n_edges / (n_nodes * (n_nodes - 1)) ELSE 0.0 END"
 CAP = "CASE WHEN n_nodes <= 8 THEN 1.0 WHEN n_nodes <= 15 THEN 0.75 WHEN n_nodes <= 30 THEN 0.6 ELSE 0.5 END"
 REASON = f"CASE WHEN NOT n_nodes BETWEEN lo AND 75 THEN 'out_of_size' WHEN n_edges = 0 THEN 'no_edges' WHEN NOT connected THEN 'disconnected' WHEN {DENSITY} > {CAP} THEN 'over_density_cap' END"
-JUDGED = f"""judged AS (SELECT d.graph_id, category, source, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges, coalesce(n_components = 1, false) AS connected, lo
-  FROM (SELECT *, LO_RULE AS lo FROM dims WHERE graph_id IN (SELECT o_custkey FROM orders)) d LEFT JOIN sizes USING (graph_id) LEFT JOIN comps USING (graph_id))"""
+JUDGED = f"""items AS (SELECT graph_id, count(DISTINCT node) AS n_items FROM li GROUP BY 1),
+judged AS (SELECT d.graph_id, category, source, coalesce(n_nodes, n_items, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges, coalesce(n_components = 1, false) AS connected, lo
+  FROM (SELECT *, LO_RULE AS lo FROM dims WHERE graph_id IN (SELECT o_custkey FROM orders)) d LEFT JOIN sizes USING (graph_id) LEFT JOIN comps USING (graph_id) LEFT JOIN items USING (graph_id))"""
+LO_RULE = "CASE WHEN category IN ('BUILDING', 'MACHINERY') THEN 8 ELSE 1 END"
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % 32).alias("node"))
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(l_orderkey, node, o_orderkey, o_custkey) of every line."""
+    items = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % 32).alias("node"))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return corpus.cooccurrence(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey", "l_orderkey", "node")
+    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.cooccurrence(lines(spark, sf), "o_custkey", "l_orderkey", "node")
 
 
 def dims(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,11 +49,14 @@ def dims(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf: str, floor: object = corpus.FLOOR) -> DataFrame:
-    """Every graph with an order, its size, and why it is left out (reason is null if it stays)."""
+    """Every graph with an order, its size (of one without an edge, the number of its items), and why it is left out (reason is
+    null if it stays)."""
     packed = corpus.pack(edges(spark, sf))
     known = dims(spark, sf).join(table(spark, sf, "orders").select(F.col("o_custkey").alias("graph_id")), "graph_id", "left_semi")
     low = floor(F.col("category")) if callable(floor) else F.lit(floor)
-    df = known.join(packed, "graph_id", "left").withColumns({"n_nodes": F.coalesce("n", F.lit(0)), "n_edges": F.coalesce(F.size("us"), F.lit(0)), "lo": low})
+    alone = lines(spark, sf).groupBy(F.col("o_custkey").alias("graph_id")).agg(F.countDistinct("node").cast("int").alias("n_items"))
+    known = known.join(alone, "graph_id", "left")
+    df = known.join(packed, "graph_id", "left").withColumns({"n_nodes": F.coalesce("n", "n_items", F.lit(0)), "n_edges": F.coalesce(F.size("us"), F.lit(0)), "lo": low})
     sized = df.filter(F.col("n_nodes").between(F.col("lo"), corpus.N_MAX) & (F.col("n_edges") > 0))  # only these go to the kernel
     shape = corpus.per_graph(sized, _parts, "n_components int")
     df = df.drop("n", "us", "vs").join(shape, "graph_id", "left")
@@ -86,9 +96,14 @@ def canonicalise_multigraph(spark, sf):  # noqa: ANN001, ANN201
     return corpus.canonical_edges(steps, "user_id", "a", "b")
 
 
-@query(f"{WITH_R}, {JUDGED.replace('LO_RULE', '8')} SELECT source, coalesce({REASON}, 'kept') AS reason, count(*) AS n FROM judged GROUP BY 1, 2")
+def by_cohort(category: Column) -> Column:
+    """The least size by market segment: two stand for collections, the others for drawn graphs."""
+    return corpus.size_floor(F.when(category.isin("BUILDING", "MACHINERY"), F.lit("real_world")).otherwise(F.lit("graphs_with_drawings")))
+
+
+@query(f"{WITH_R}, {JUDGED.replace('LO_RULE', LO_RULE)} SELECT source, coalesce({REASON}, 'kept') AS reason, count(*) AS n FROM judged GROUP BY 1, 2")
 def reject_reasons(spark, sf):  # noqa: ANN001, ANN201
-    return judged(spark, sf).groupBy("source", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    return judged(spark, sf, by_cohort).groupBy("source", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(f"{WITH} SELECT graph_id, n_nodes, round({DENSITY}, 6) AS density, ({CAP})::DOUBLE AS cap, {DENSITY} <= {CAP} AS passes FROM sizes")
@@ -97,17 +112,16 @@ def density_ladder(spark, sf):  # noqa: ANN001, ANN201
     return df.select("graph_id", "n_nodes", F.round("density", 6).alias("density"), "cap", (F.col("density") <= F.col("cap")).alias("passes"))
 
 
-@query(f"{WITH_R}, {JUDGED.replace('LO_RULE', chr(67) + 'ASE WHEN category IN (' + repr('BUILDING') + ', ' + repr('MACHINERY') + ') THEN 8 ELSE 1 END')} SELECT category, count(*) AS n, count(*) FILTER (WHERE {REASON} IS NULL) AS kept FROM judged GROUP BY 1")
+@query(f"{WITH_R}, {JUDGED.replace('LO_RULE', LO_RULE)} SELECT category, count(*) AS n, count(*) FILTER (WHERE {REASON} IS NULL) AS kept FROM judged GROUP BY 1")
 def cohort_bounds(spark, sf):  # noqa: ANN001, ANN201
-    cohort = lambda c: F.when(c.isin("BUILDING", "MACHINERY"), F.lit("real_world")).otherwise(F.lit("graphs_with_drawings"))
-    df = judged(spark, sf, lambda c: corpus.size_floor(cohort(c)))
+    df = judged(spark, sf, by_cohort)
     return df.groupBy("category").agg(F.count("*").alias("n"), F.count(F.when(F.col("reason").isNull(), 1)).alias("kept"))
 
 
-@query(f"""{WITH_R}, {JUDGED.replace('LO_RULE', '8')}, c AS (SELECT source, {REASON} AS reason, count(*) AS n FROM judged GROUP BY 1, 2)
+@query(f"""{WITH_R}, {JUDGED.replace('LO_RULE', LO_RULE)}, c AS (SELECT source, {REASON} AS reason, count(*) AS n FROM judged GROUP BY 1, 2)
   SELECT source, reason, n, r FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, reason) AS r FROM c WHERE reason IS NOT NULL) WHERE r <= 3""")
 def top_reasons(spark, sf):  # noqa: ANN001, ANN201
-    counts = judged(spark, sf).filter("reason IS NOT NULL").groupBy("source", "reason").agg(F.count("*").alias("n"))
+    counts = judged(spark, sf, by_cohort).filter("reason IS NOT NULL").groupBy("source", "reason").agg(F.count("*").alias("n"))
     return counts.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "reason"))).filter("r <= 3").withColumn("r", F.col("r").cast("long"))
 
 
