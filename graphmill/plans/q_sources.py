@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scores
 from ..operators import corpus, generate, scoring, tables
@@ -21,8 +22,10 @@ NUMBERED = f"""WITH {EDGES}, num AS (SELECT graph_id, node, dense_rank() OVER (P
 
 
 def read_back(packed: DataFrame, fmt: str) -> DataFrame:
-    """(name, u, v) of graphs that were written in a format and parsed again, by the numbers that they had before."""
-    parsed = readers.parse_files(writers.encoded(packed, fmt), fmt, drawn=True)
+    """(name, u, v) of graphs that were written in a format and parsed again, by the numbers that they had before. A file is
+    parsed in the task that wrote it, one after the other, so none of them travels."""
+    schema = T._parse_datatype_string("path string, us array<int>, vs array<int>, orig_ids array<string>, problem string")
+    parsed = packed.select("graph_id", "n", "us", "vs").mapInPandas(lambda batches: readers.parsed(writers.files(batches, fmt), fmt, True, schema.names), schema)
     label = lambda i: F.element_at("orig_ids", i + 1).cast("int") - writers.FIRST.get(fmt, 0)
     ends = parsed.filter("problem IS NULL").select(F.regexp_extract("path", r"(\d+)\.dat$", 1).alias("name"), "orig_ids", F.explode(F.arrays_zip("us", "vs")).alias("e"))
     return ends.select("name", F.least(label(F.col("e.us")), label(F.col("e.vs"))).alias("u"), F.greatest(label(F.col("e.us")), label(F.col("e.vs"))).alias("v"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from ..session import materialize
 from . import formats
 
 GRAPH = "path string, name string, n int, us array<int>, vs array<int>, orig_ids array<string>, xs array<double>, ys array<double>, attrs array<map<string,string>>, paths array<string>, bends array<array<struct<x:double,y:double>>>, connected boolean, problem string"
+#: Nodes and edges of parsed graphs that are handed on together.
+BLOCK = 20_000
 #: Columns of the manifest in their order.
 MANIFEST = T.StructType([
     T.StructField(n, t) for n, t in [
@@ -43,23 +46,39 @@ def parse_files(files: DataFrame, fmt: str, drawn: bool = False) -> DataFrame:
     schema = T._parse_datatype_string(GRAPH)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                rows = []
-                try:
-                    for raw in formats.PARSERS[fmt](r.path, bytes(r.content)):
-                        g = formats.canonical(raw, drawn)
-                        one = kernels.n_components(g["n"], pd.array(g["us"], "int64").to_numpy(), pd.array(g["vs"], "int64").to_numpy()) == 1 if g["n"] else False
-                        rows.append({"path": r.path, "connected": one, **g})
-                except formats.Skip as e:
-                    rows.append({"path": r.path, "problem": str(e)})
-                except Exception as e:  # noqa: BLE001
-                    rows.append({"path": r.path, "problem": f"read_error({type(e).__name__})"})
-                yield pd.DataFrame([[x.get(c) for c in schema.names] for x in rows], columns=schema.names, dtype=object)
+        contents = ((r.path, bytes(r.content)) for b in batches for r in b.itertuples(index=False))
+        return parsed(contents, fmt, drawn, schema.names)
 
     return files.mapInPandas(run, schema)
 
 
+def parsed(contents: Iterator[tuple[str, bytes]], fmt: str, drawn: bool, names: list[str]) -> Iterator[pd.DataFrame]:
+    """Columns names of read_graphs of files (path, content), in blocks of BLOCK nodes and edges or little more. A file is asked
+    for when those before it are parsed, so no more than a block is in memory."""
+    rows, held = [], 0
+    for path, content in contents:
+        for x in _of_file(path, content, fmt, drawn):
+            rows.append([x.get(c) for c in names])
+            held += 1 + x.get("n", 0) + len(x.get("us", ()))
+            if held >= BLOCK:
+                yield pd.DataFrame(rows, columns=names, dtype=object)
+                rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=names, dtype=object)
+
+
+def _of_file(path: str, content: bytes, fmt: str, drawn: bool) -> Iterator[dict]:
+    try:
+        for raw in formats.PARSERS[fmt](path, content):
+            g = formats.canonical(raw, drawn)
+            one = kernels.n_components(g["n"], np.asarray(g["us"], np.int64), np.asarray(g["vs"], np.int64)) == 1 if g["n"] else False
+            yield {"path": path, "connected": one, **g}
+    except formats.Skip as e:
+        yield {"path": path, "problem": str(e)}
+    except Exception as e:  # noqa: BLE001
+        yield {"path": path, "problem": f"read_error({type(e).__name__})"}
+
+
 def stage(graphs: DataFrame, source: str, category: str, known: DataFrame | None = None, cap: int = 0, n_min: int | None = None, n_max: int = corpus.N_MAX, density_cap: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, reasons): graphs of one source that pass all filters and aren't known yet, the first cap of them by id, and
     how many rows each reason took. Known ids are counted as already_in_manifest before any filter. Graphs are parsed and
