@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import layouts, paths, scores
+from ..functions import batches, layouts, paths, scores
 from ..functions.guard import TimedOut, guarded
 from ..seeds import seed
 from .corpus import spread
@@ -114,9 +114,8 @@ def _ways() -> Column:
     return F.when(F.col("xs").isNotNull() & F.col("bends").isNotNull(), F.transform(F.arrays_zip("us", "vs", "paths", "bends"), own)).otherwise(F.col("paths"))
 
 
-def _tasks(packed: DataFrame, names: list[str], done: DataFrame | None = None, flags: bool = False, first: DataFrame | None = None) -> DataFrame:
-    """packed with a row for each of its layouts. Graphs are spread first, each with the list of its open layouts, and meet the
-    layouts within the task, so their edges travel once."""
+def _open(packed: DataFrame, names: list[str], done: DataFrame | None = None, flags: bool = False, first: DataFrame | None = None) -> DataFrame:
+    """packed with the list of its open layouts (__open), spread; graphs without any are left out."""
     wanted = F.array(*map(F.lit, names))
     if flags:
         needs = {k: F.col(v) for k, v in layouts.NEEDS.items()} | {"curated": F.col("category") == "graphs_with_drawings"}
@@ -131,11 +130,95 @@ def _tasks(packed: DataFrame, names: list[str], done: DataFrame | None = None, f
     drawn = [c for c in GIVEN if c in packed.columns]
     rows = packed.withColumn("__open", wanted).filter(F.size("__open") > 0).select("graph_id", "n", "us", "vs", *drawn, "__open")
     if first is None:
-        rows = spread(rows, "graph_id")
+        return spread(rows, "graph_id")
+    ids = first.select(F.col("graph_id").alias("__g"), F.lit(True).alias("__first")).distinct()
+    return spread(rows.join(ids, F.col("graph_id") == F.col("__g"), "left"), "graph_id").sortWithinPartitions(F.desc_nulls_last("__first"), "graph_id")
+
+
+def _tasks(packed: DataFrame, names: list[str], done: DataFrame | None = None, flags: bool = False, first: DataFrame | None = None) -> DataFrame:
+    """packed with a row for each of its open layouts. Graphs meet the layouts within the task, so their edges travel once."""
+    rows = _open(packed, names, done, flags, first)
+    return rows.select("graph_id", F.explode("__open").alias("layout"), "n", "us", "vs", *(c for c in GIVEN if c in rows.columns))
+
+
+#: Drawings that are handed on together.
+ROWS = 5_000
+
+
+def _chunks(rows: list) -> Iterator[tuple[list, batches.Chunk | None]]:
+    """rows in parts: graphs of one size with the same open layouts as a chunk; those that batches can't take without one."""
+    alike: dict[tuple, list] = {}
+    for r in rows:
+        us, vs = np.asarray(r.us, np.int64), np.asarray(r.vs, np.int64)
+        plain = r.n > 2 and len(us) > 0 and bool((us != vs).all()) and len(np.unique(np.minimum(us, vs) * int(r.n) + np.maximum(us, vs))) == len(us)
+        alike.setdefault((int(r.n), tuple(r.open)) if plain else None, []).append((r, us, vs))
+    for key, part in alike.items():
+        step = len(part) if key is None else max(1, batches.PAIRS // key[0] ** 2)
+        for i in range(0, len(part), step):
+            few = part[i : i + step]
+            yield [r for r, _, _ in few], None if key is None else batches.Chunk(key[0], [(us, vs) for _, us, vs in few])
+
+
+def _scored_chunk(rows: list, c: batches.Chunk, layout: str, root: int) -> list[tuple]:
+    """one_drawing of each row under one layout, as (outcome, scores, flags)."""
+    lines: list | np.ndarray | None = None
+    if layout == "arc-bfs":
+        xy, lines = batches.arc_bfs(c)
+    elif layout in batches.LAYOUTS:
+        xy = batches.standardised(batches.LAYOUTS[layout](c, [seed(root, layout, r.graph_id) for r in rows]))
     else:
-        ids = first.select(F.col("graph_id").alias("__g"), F.lit(True).alias("__first")).distinct()
-        rows = spread(rows.join(ids, F.col("graph_id") == F.col("__g"), "left"), "graph_id").sortWithinPartitions(F.desc_nulls_last("__first"), "graph_id")
-    return rows.select("graph_id", F.explode("__open").alias("layout"), "n", "us", "vs", *drawn)
+        found: list[Drawing | None] = []
+        outcomes = []
+        for r, (us, vs) in zip(rows, c.graphs, strict=True):
+            try:
+                found.append(drawing(layout, r.graph_id, c.n, us, vs, root, None, r))
+                outcomes.append("ok")
+            except layouts.NotApplicable:
+                found.append(None)
+                outcomes.append("not_applicable")
+            except Exception:  # noqa: BLE001
+                found.append(None)
+                outcomes.append("failed")
+        some = [d for d in found if d is not None]
+        if len(some) < len(found):
+            c = c.part([i for i, d in enumerate(found) if d is not None]) if some else c
+        got = iter(_columns(batches.scores(c, np.array([d.xy for d in some]), [d.lines for d in some] if any(d.lines for d in some) else None)) if some else ())
+        return [(o, *((None,) * len(scores.NAMES) if d is None else next(got)), *(None if d is None else d.flags[f] for f in scores.FLAGS)) for o, d in zip(outcomes, found, strict=True)]
+    return [("ok", *got, lines is not None, False) for got in _columns(batches.scores(c, xy, lines))]
+
+
+def _columns(got: dict[str, np.ndarray]) -> Iterator[tuple]:
+    return zip(*(got[name].tolist() for name in scores.NAMES), strict=True)
+
+
+def _scored(tasks: DataFrame, fields: list[T.StructField], root: int) -> DataFrame:
+    """_drawings without geometry or time limits: graphs of one size are laid out and scored together."""
+    schema = T.StructType([tasks.schema["graph_id"], T.StructField("layout", T.StringType()), *fields])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for b in parts:
+            for rows, c in _chunks(list(b.itertuples(index=False))):
+                for layout in rows[0].open if c is not None else ():
+                    try:
+                        got = _scored_chunk(rows, c, layout, root)
+                    except Exception:  # noqa: BLE001
+                        got = [_alone(r, layout, root) for r in rows]
+                    out += [(r.graph_id, layout, *g) for r, g in zip(rows, got, strict=True)]
+                if c is None:
+                    out += [(r.graph_id, layout, *_alone(r, layout, root)) for r in rows for layout in r.open]
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=schema.names)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return tasks.withColumnRenamed("__open", "open").mapInPandas(run, schema)
+
+
+def _alone(r: object, layout: str, root: int) -> tuple:
+    got = one_drawing(layout, r.graph_id, int(r.n), np.asarray(r.us, np.int64), np.asarray(r.vs, np.int64), root, None, r)  # type: ignore[attr-defined]
+    return got["outcome"], *(got.get(c) for c in (*scores.NAMES, *scores.FLAGS))
 
 
 def _drawings(tasks: DataFrame, fields: list[T.StructField], root: int, limit_s: float | dict[str, float] | None, **more: bool) -> DataFrame:
@@ -164,6 +247,8 @@ def laid_out_and_scored(packed: DataFrame, names: list[str], root: int = 1, done
     """
     fields = [T.StructField("outcome", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in scores.NAMES), *(T.StructField(c, T.BooleanType()) for c in scores.FLAGS)]
     fields += T._parse_datatype_string(GEOMETRY).fields if geometry else []
+    if limit_s is None and first is None and not geometry:
+        return _scored(_open(packed, names, done, flags), fields, root)
     return _drawings(_tasks(packed, names, done, flags, first), fields, root, limit_s, geometry=geometry)
 
 

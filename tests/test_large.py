@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import numpy as np
 import pytest
 
+from graphmill.functions import batches, generators, kernels, scores
+from graphmill.operators import scoring
 from graphmill.plans import q_sources
 from graphmill.sources import readers, writers
 
@@ -31,3 +36,55 @@ def test_no_more_than_a_block_is_parsed_at_once(monkeypatch):
     rows = [first, *blocks]
     assert [p for b in rows for p in b.path] == [f"{i}.dat" for i in range(50)] and max(map(len, rows)) <= 5
     assert [(p, why) for b in rows for p, why in zip(b.path, b.problem, strict=True) if why] == [("7.dat", "parse_error")]
+
+
+def corpus_of(seed, sizes):
+    r, out = np.random.default_rng(seed), []
+    for k, n in enumerate(sizes):
+        i, j = np.triu_indices(n, 1)
+        c = np.sort(r.choice(len(i), int(r.integers(1, len(i) + 1)), replace=False))
+        out.append((k, n, i[c].tolist(), j[c].tolist()))
+    return [*out, *((100 + k, g[0], g[1].tolist(), g[2].tolist()) for k, (_, g) in enumerate(generators.calibration()) if g[0] < 20)]
+
+
+ALL = ["circular", "random", "spectral", "arc-bfs", "stress-majorization", "pivot-mds", "radial-tree", "kamada-kawai", "forceatlas2", "fruchterman-reingold", "planar", "sugiyama", "baur-brandes"]
+
+
+def test_batches_equal_single_graphs(spark, monkeypatch):
+    graphs = [*corpus_of(3, [2, 3, 4, 9, 9, 9, 9, 14, 14, 14]), (90, 1, [], []), (91, 3, [0, 1], [0, 2]), (92, 6, [0, 1, 3], [1, 2, 4])]
+    packed = spark.createDataFrame(graphs, "graph_id long, n int, us array<int>, vs array<int>")
+    got = {(r.graph_id, r.layout): r.asDict() for r in scoring.laid_out_and_scored(packed, ALL).collect()}
+    assert len(got) == len(graphs) * len(ALL)
+    for g, n, us, vs in graphs:
+        for layout in ALL:
+            want, have = scoring.one_drawing(layout, g, n, np.array(us, np.int64), np.array(vs, np.int64)), got[g, layout]
+            for c in ("outcome", *scores.FLAGS):
+                assert have[c] == want.get(c), (g, layout, c)
+            for c in scores.NAMES:
+                near = want.get(c) if want.get(c) is None else pytest.approx(want[c], abs=1e-6)
+                assert have[c] == near, (g, layout, c)
+
+
+def test_graphs_of_one_size_share_a_call(spark, monkeypatch):
+    called = []
+    monkeypatch.setattr(batches, "scores", lambda c, xy, lines=None, f=batches.scores: called.append(c.size) or f(c, xy, lines))
+    rows = [SimpleNamespace(graph_id=k, n=n, us=us, vs=vs, open=("circular", "arc-bfs")) for k, n, us, vs in corpus_of(4, [9] * 40)[:40]]
+    parts = list(scoring._chunks(rows))
+    assert len(parts) == 1 and len(scoring._scored_chunk(*parts[0], "arc-bfs", 1)) == 40 and called == [40]
+
+
+def isotonic(y):
+    blocks = []
+    for v in y:
+        blocks.append([v, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] > blocks[-1][0] * blocks[-2][1]:
+            s, k = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + k]
+    return [s / k for s, k in blocks for _ in range(k)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_isotonic_equals_pooling_one_by_one(seed):
+    r = np.random.default_rng(seed)
+    y = np.concatenate([np.sort(r.integers(0, 30, int(r.integers(1, 40))) / 7) for _ in range(seed % 5 + 1)])
+    assert kernels.isotonic(y).tolist() == isotonic(y.tolist())
