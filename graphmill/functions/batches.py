@@ -71,7 +71,7 @@ class _Pairs:
 
     def __init__(self, n: int) -> None:
         i, j = np.triu_indices(n, 1)
-        self.n, self.at, self.back = n, i * n + j, np.full(n * n, len(i))
+        self.n, self.i, self.j, self.at, self.back = n, i, j, i * n + j, np.full(n * n, len(i))
         self.back[i * n + j] = self.back[j * n + i] = np.arange(len(i))
 
     def of(self, x: np.ndarray) -> np.ndarray:
@@ -81,8 +81,9 @@ class _Pairs:
         """The symmetric matrices with 0 on the diagonal."""
         return np.take(np.concatenate((x, np.zeros((len(x), 1))), axis=1), self.back, axis=1).reshape(-1, self.n, self.n)
 
-    def gaps(self, ex: np.ndarray, ey: np.ndarray) -> np.ndarray:
-        return np.hypot(self.of(ex), self.of(ey))
+    def gaps(self, xy: np.ndarray) -> np.ndarray:
+        ex, ey = (np.take(v, self.i, axis=1) - np.take(v, self.j, axis=1) for v in (xy[:, :, 0].copy(), xy[:, :, 1].copy()))
+        return np.sqrt(ex * ex + ey * ey)
 
 
 def _smacof(d: np.ndarray, xy: np.ndarray, rounds: int = 80, tol: float = 1e-4) -> np.ndarray:
@@ -102,7 +103,7 @@ def _smacof(d: np.ndarray, xy: np.ndarray, rounds: int = 80, tol: float = 1e-4)
         e *= w
         return e.sum(axis=1)
 
-    gap = pairs.gaps(*_steps(xy))
+    gap = pairs.gaps(xy)
     old = energy(gap)
     for _ in range(rounds):
         np.putmask(gap, gap <= 1e-12, np.inf)
@@ -112,7 +113,7 @@ def _smacof(d: np.ndarray, xy: np.ndarray, rounds: int = 80, tol: float = 1e-4)
         b[:, on, on] = total
         rhs = b @ xy - first * xy[:, :1]
         xy = np.concatenate((xy[:, :1], solve @ rhs[:, 1:]), axis=1)
-        gap = pairs.gaps(*_steps(xy))
+        gap = pairs.gaps(xy)
         new = energy(gap)
         end = old - new < tol * np.maximum(old, 1e-300)
         old = new
@@ -134,14 +135,46 @@ def stress_majorization(c: Chunk, seeds: list[int]) -> np.ndarray:
     return _smacof(c.filled_hops(), _starts(c, seeds) * np.sqrt(c.n))
 
 
+def kamada_kawai(c: Chunk, seeds: list[int]) -> np.ndarray:
+    d = c.filled_hops()
+    return _smacof(d, circular(c, seeds) * d.max(axis=(1, 2))[:, None, None] / 2, 300, 1e-6)
+
+
 def circular(c: Chunk, seeds: list[int]) -> np.ndarray:
     return np.broadcast_to(layouts.circular(c.n, None, None)[0], (c.size, c.n, 2))
 
 
-def _steps(xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How far each node (last axis) is from each other one (middle axis)."""
-    x, y = xy[:, :, 0].copy(), xy[:, :, 1].copy()
-    return x[:, None] - x[:, :, None], y[:, None] - y[:, :, None]
+def _to_all(v: np.ndarray) -> np.ndarray:
+    """How far each node (middle axis) is from each other one (first axis); graphs are on the last."""
+    return v[None] - v[:, None]
+
+
+def fruchterman_reingold(c: Chunk, seeds: list[int]) -> np.ndarray:
+    a, (x, y) = c.adjacency.transpose(1, 2, 0).astype(float, order="C"), _starts(c, seeds).transpose(2, 1, 0).copy()
+    k, step = 1 / np.sqrt(c.n), 0.1
+    for r in range(50):
+        ex, ey = _to_all(x), _to_all(y)
+        d = np.maximum(np.sqrt(ex * ex + ey * ey), 0.01)
+        f = k * k / d**2 - a * d / k
+        fx, fy = (ex * f).sum(axis=0), (ey * f).sum(axis=0)
+        far = step * (1 - r / 50) / np.maximum(np.hypot(fx, fy), 0.01)
+        x, y = x + fx * far, y + fy * far
+    return np.stack((x.T, y.T), axis=2)
+
+
+def forceatlas2(c: Chunk, seeds: list[int]) -> np.ndarray:
+    a, (x, y) = c.adjacency.transpose(1, 2, 0).astype(float, order="C"), (_starts(c, seeds) * 10).transpose(2, 1, 0).copy()
+    mass, last_x, last_y = a.sum(axis=1) + 1, 0.0, 0.0
+    push = 2.0 * mass[:, None] * mass[None]
+    for _ in range(100):
+        ex, ey = _to_all(x), _to_all(y)
+        f = push / np.maximum(ex * ex + ey * ey, 1e-4) - a
+        out = np.maximum(np.hypot(x, y), 1e-9)
+        fx, fy = ((e * f).sum(axis=0) - v / out * mass for e, v in ((ex, x), (ey, y)))
+        swing, size = np.hypot(fx - last_x, fy - last_y), np.maximum(np.hypot(fx, fy), 1e-9)
+        speed = np.minimum(0.1 / (1 + np.sqrt(0.1 * swing)), 10 / size)
+        x, y, last_x, last_y = x + fx * speed, y + fy * speed, fx, fy
+    return np.stack((x.T, y.T), axis=2)
 
 
 def spectral(c: Chunk, seeds: list[int]) -> np.ndarray:
@@ -176,7 +209,8 @@ def arc_bfs(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 #: Layouts without bends that every graph of a chunk can have: chunk, seeds -> places. The others run graph by graph.
 LAYOUTS: dict[str, Callable[[Chunk, list[int]], np.ndarray]] = {
-    "circular": circular, "pivot-mds": pivot_mds, "spectral": spectral, "stress-majorization": stress_majorization,
+    "circular": circular, "fruchterman-reingold": fruchterman_reingold, "forceatlas2": forceatlas2, "kamada-kawai": kamada_kawai,
+    "pivot-mds": pivot_mds, "spectral": spectral, "stress-majorization": stress_majorization,
 }
 
 
