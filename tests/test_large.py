@@ -10,6 +10,7 @@ import pytest
 from graphmill.functions import batches, generators, kernels, scores
 from graphmill.operators import scoring
 from graphmill.plans import q_sources
+from graphmill.plans.q_drawings import FUSED
 from graphmill.sources import readers, writers
 
 
@@ -50,7 +51,7 @@ def corpus_of(seed, sizes):
 ALL = ["circular", "random", "spectral", "arc-bfs", "stress-majorization", "pivot-mds", "radial-tree", "kamada-kawai", "forceatlas2", "fruchterman-reingold", "planar", "sugiyama", "baur-brandes"]
 
 
-def test_batches_equal_single_graphs(spark, monkeypatch):
+def test_batches_equal_single_graphs(spark):
     graphs = [*corpus_of(3, [2, 3, 4, 9, 9, 9, 9, 14, 14, 14]), (90, 1, [], []), (91, 3, [0, 1], [0, 2]), (92, 6, [0, 1, 3], [1, 2, 4])]
     packed = spark.createDataFrame(graphs, "graph_id long, n int, us array<int>, vs array<int>")
     got = {(r.graph_id, r.layout): r.asDict() for r in scoring.laid_out_and_scored(packed, ALL).collect()}
@@ -88,3 +89,12 @@ def test_isotonic_equals_pooling_one_by_one(seed):
     r = np.random.default_rng(seed)
     y = np.concatenate([np.sort(r.integers(0, 30, int(r.integers(1, 40))) / 7) for _ in range(seed % 5 + 1)])
     assert kernels.isotonic(y).tolist() == isotonic(y.tolist())
+
+
+def test_layout_bounds_takes_a_graphs_layouts_together(spark, tmp_path):
+    spark.createDataFrame([(o, p) for o in range(30) for p in (o, o + 1, o + 3, 31)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, o // 2) for o in range(30)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    df = q_sources.layout_bounds(spark, str(tmp_path))
+    assert "explode(__open" not in df._jdf.queryExecution().optimizedPlan().toString()  # a graph's layouts reach the task together
+    got = {r.layout: r for r in df.collect()}
+    assert set(got) == set(FUSED) and all((r.n_graphs, r.within_bounds, r.circle_fits) == (15, True, True) for r in got.values())
