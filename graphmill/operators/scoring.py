@@ -159,8 +159,13 @@ def _chunks(rows: list) -> Iterator[tuple[list, batches.Chunk | None]]:
             yield [r for r, _, _ in few], None if key is None else batches.Chunk(key[0], [(us, vs) for _, us, vs in few])
 
 
-def _scored_chunk(rows: list, c: batches.Chunk, layout: str, root: int) -> list[tuple]:
-    """one_drawing of each row under one layout, as (outcome, scores, flags)."""
+#: What is told of a drawing, a row for each; a score is NaN where a drawing has none.
+TOLD = np.dtype([("outcome", object), *((c, float) for c in scores.NAMES), *((c, object) for c in scores.FLAGS)])
+
+
+def _scored_chunk(rows: list, c: batches.Chunk, layout: str, root: int) -> np.ndarray:
+    """one_drawing of each row under one layout, as TOLD."""
+    out = np.empty(len(rows), TOLD)
     lines: list | np.ndarray | None = None
     if layout == "arc-bfs":
         xy, lines = batches.arc_bfs(c)
@@ -182,36 +187,51 @@ def _scored_chunk(rows: list, c: batches.Chunk, layout: str, root: int) -> list[
         some = [d for d in found if d is not None]
         if len(some) < len(found):
             c = c.part([i for i, d in enumerate(found) if d is not None]) if some else c
-        got = iter(_columns(batches.scores(c, np.array([d.xy for d in some]), [d.lines for d in some] if any(d.lines for d in some) else None)) if some else ())
-        return [(o, *((None,) * len(scores.NAMES) if d is None else next(got)), *(None if d is None else d.flags[f] for f in scores.FLAGS)) for o, d in zip(outcomes, found, strict=True)]
-    return [("ok", *got, lines is not None, False) for got in _columns(batches.scores(c, xy, lines))]
-
-
-def _columns(got: dict[str, np.ndarray]) -> Iterator[tuple]:
-    return zip(*(got[name].tolist() for name in scores.NAMES), strict=True)
+        out["outcome"] = outcomes
+        for f in scores.FLAGS:
+            out[f] = [None if d is None else d.flags[f] for d in found]
+        for name in scores.NAMES:
+            out[name] = np.nan
+        if some:
+            drawn = np.array([d is not None for d in found])
+            for name, got in batches.scores(c, np.array([d.xy for d in some]), [d.lines for d in some] if any(d.lines for d in some) else None).items():
+                out[name][drawn] = got
+        return out
+    out["outcome"], out["contains_bends"], out["contains_curves"] = "ok", lines is not None, False
+    for name, got in batches.scores(c, xy, lines).items():
+        out[name] = got
+    return out
 
 
 def _scored(tasks: DataFrame, fields: list[T.StructField], root: int) -> DataFrame:
     """_drawings without geometry or time limits: graphs of one size are laid out and scored together."""
     schema = T.StructType([tasks.schema["graph_id"], T.StructField("layout", T.StringType()), *fields])
 
+    def table(ids: list, names: list[str], told: list[np.ndarray]) -> pd.DataFrame:
+        got = np.concatenate(told)
+        return pd.DataFrame({schema.names[0]: ids, "layout": names, **{c: got[c] for c in schema.names[2:]}})
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
+        ids, names, told = [], [], []
         for b in parts:
             for rows, c in _chunks(list(b.itertuples(index=False))):
                 for layout in rows[0].open if c is not None else ():
                     try:
-                        got = _scored_chunk(rows, c, layout, root)
+                        told.append(_scored_chunk(rows, c, layout, root))
                     except Exception:  # noqa: BLE001
-                        got = [_alone(r, layout, root) for r in rows]
-                    out += [(r.graph_id, layout, *g) for r, g in zip(rows, got, strict=True)]
+                        told.append(np.array([_alone(r, layout, root) for r in rows], TOLD))
+                    ids += [r.graph_id for r in rows]
+                    names += [layout] * len(rows)
                 if c is None:
-                    out += [(r.graph_id, layout, *_alone(r, layout, root)) for r in rows for layout in r.open]
-                if len(out) >= ROWS:
-                    yield pd.DataFrame(out, columns=schema.names)
-                    out = []
-        if out:
-            yield pd.DataFrame(out, columns=schema.names)
+                    each = [(r, layout) for r in rows for layout in r.open]
+                    told.append(np.array([_alone(r, layout, root) for r, layout in each], TOLD))
+                    ids += [r.graph_id for r, _ in each]
+                    names += [layout for _, layout in each]
+                if len(ids) >= ROWS:
+                    yield table(ids, names, told)
+                    ids, names, told = [], [], []
+        if ids:
+            yield table(ids, names, told)
 
     return tasks.withColumnRenamed("__open", "open").mapInPandas(run, schema)
 

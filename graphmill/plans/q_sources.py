@@ -12,7 +12,7 @@ from ..functions import scores
 from ..operators import corpus, generate, scoring, tables
 from ..session import shared_dir
 from ..sources import readers, sinks, writers
-from .q_corpus import CAP, DENSITY, EDGES, REACH, edges
+from .q_corpus import CAP, DENSITY, EDGES, REACH, edges, packed
 from .q_drawings import FUSED
 from .q_tables import FIRST_SQL, SAMPLE_SQL, _pool, graphs
 from .registry import query, table
@@ -159,7 +159,7 @@ def generator_checks(spark, sf):  # noqa: ANN001, ANN201
 def layout_bounds(spark, sf):  # noqa: ANN001, ANN201
     """Seven layouts of every graph: each has an outcome, ok or not_applicable (only radial-tree may have that), every score is in
     [0, 1], and circles are nearly square."""
-    df = scoring.laid_out_and_scored(corpus.pack(edges(spark, sf)), FUSED)
+    df = scoring.laid_out_and_scored(packed(spark, sf), FUSED)
     inside = F.lit(True)
     for c in scores.NAMES:
         inside = inside & F.coalesce(F.col(c).between(-1e-9, 1 + 1e-9), F.lit(True))

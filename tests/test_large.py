@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 
 from graphmill.functions import batches, generators, kernels, scores
-from graphmill.operators import scoring
-from graphmill.plans import q_sources
+from graphmill.operators import corpus, scoring
+from graphmill.plans import q_corpus, q_sources
 from graphmill.plans.q_drawings import FUSED
 from graphmill.sources import readers, writers
 
@@ -98,3 +98,37 @@ def test_layout_bounds_takes_a_graphs_layouts_together(spark, tmp_path):
     assert "explode(__open" not in df._jdf.queryExecution().optimizedPlan().toString()  # a graph's layouts reach the task together
     got = {r.layout: r for r in df.collect()}
     assert set(got) == set(FUSED) and all((r.n_graphs, r.within_bounds, r.circle_fits) == (15, True, True) for r in got.values())
+
+
+def test_graphs_of_one_row_equal_packed_edges(spark, tmp_path):
+    r = np.random.default_rng(5)
+    lines = [(int(o), None if p % 50 == 0 else int(p)) for o, p in zip(r.integers(0, 300, 1500), r.integers(-90, 90, 1500), strict=True)]
+    spark.createDataFrame([*lines, (None, 7), (None, 8)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([*((o, o % 70 if o % 9 else None) for o in range(290)), (3, 3), (3, 65), (None, 4)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = q_corpus.packed(spark, str(tmp_path))
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no pair of nodes is a row
+    want = corpus.pack(q_corpus.edges(spark, str(tmp_path))).filter("graph_id IS NOT NULL")
+    assert sorted(got.collect()) == sorted(want.collect()) and want.count() > 60
+    counts = {r.layout: r.n_graphs for r in q_sources.layout_bounds(spark, str(tmp_path)).collect()}
+    assert counts == dict.fromkeys(FUSED, want.count())
+
+
+@pytest.mark.parametrize("n", [3, 9, 17, 30])
+def test_arcs_that_are_looked_up_equal_their_points(n, monkeypatch):
+    graphs = [(np.array(us), np.array(vs)) for k, size, us, vs in corpus_of(n, [n] * 12) if k < 100]
+    c = batches.Chunk(n, graphs)
+    got = batches.scores(c, *batches.arc_bfs(c))
+    monkeypatch.setattr(batches, "ARCS", 0)
+    assert batches.arc_bfs(c)[1].shape[1:] == (10, 2)
+    want = batches.scores(c, *batches.arc_bfs(c))
+    for name in scores.NAMES:
+        np.testing.assert_allclose(got[name], want[name], atol=1e-9, err_msg=name)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_pooled_equals_isotonic(seed):
+    r = np.random.default_rng(seed)
+    hops = np.sort(r.integers(1, 2 + seed % 5, (20, 45)), axis=1)
+    dist = np.round(r.random((20, 45)), 1) if seed % 2 else r.random((20, 45))
+    dist = dist[np.arange(20)[:, None], np.lexsort((dist, hops), axis=1)]
+    np.testing.assert_allclose(batches._pooled(dist, hops), [kernels.isotonic(x) for x in dist], atol=1e-9)
